@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 #: White space as ECMAScript defines it (fixed values); Java's ``\\s`` and Spark's ``trim`` know less.
 WS = "[\\t\\n\\x0B\\f\\r \\xA0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000\\uFEFF]"
 
+WS_INLINE = "[\\t\\x0B\\f\\r \\xA0\\u1680\\u2000-\\u200A\\u202F\\u205F\\u3000\\uFEFF]"
+
 #: Stop words of retrieval (fixed values).
 STOP_WORDS = "the a an and or of to in is are was were for on with as at by it this that be from".split()
 
@@ -72,7 +74,7 @@ def content_key(c: Column) -> Column:
     return F.lower(collapse_ws(strip_ws(c)))
 
 
-def tag_list(tags: Column, base: str = "engram") -> Column:
+def tag_list(tags: Column, base: str) -> Column:
     """Tags as written into a note: the base tag first, ``#`` off, white space as ``-``, each once."""
     clean = F.transform(tags, lambda t: F.regexp_replace(strip_ws(F.regexp_replace(strip_ws(t), "^#+", "")), f"{WS}++", "-"))
     return F.array_distinct(F.concat(F.array(F.lit(base)), F.filter(clean, lambda t: t != "")))
@@ -80,3 +82,61 @@ def tag_list(tags: Column, base: str = "engram") -> Column:
 
 def day_label(ms: Column) -> Column:
     return F.coalesce(F.date_format(F.timestamp_millis(ms), "yyyy-MM-dd"), F.lit(""))
+
+
+def one_line(c: Column) -> Column:
+    """A value that must stay on one line: line breaks with the white space around them become a space."""
+    return strip_ws(F.regexp_replace(c, f"{WS}*[\\r\\n]+{WS}*", " "))
+
+
+def neutral_headings(c: Column) -> Column:
+    """Lines that would read as the heading of an inbox block are indented by a space."""
+    return F.regexp_replace(c, "(?m)^(?=## Pending Memory: )", " ")
+
+
+def breadcrumb(heading_path: Column, heading: Column) -> Column:
+    parts = F.filter(F.concat(F.coalesce(heading_path, F.array().cast("array<string>")), F.array(F.coalesce(heading, F.lit("")))), lambda x: strip_ws(x) != "")
+    return F.when(F.size(parts) == 0, "(top)").otherwise(F.array_join(parts, " › "))
+
+
+def line_range(start: Column, end: Column) -> Column:
+    """Label of a 0-based line span, counted from 1."""
+    return F.when(start == end, F.concat(F.lit("line "), (start + 1).cast("string"))).otherwise(F.concat(F.lit("lines "), (start + 1).cast("string"), F.lit("-"), (end + 1).cast("string")))
+
+
+def clipped(c: Column, most: int, hint: str = "\n… (clipped)") -> Column:
+    return F.when(F.length(c) > most, F.concat(F.substring(c, 1, most), F.lit(hint))).otherwise(c)
+
+
+def project_folder(c: Column) -> Column:
+    """A project name as one safe path segment; null if nothing safe is left."""
+    clean = F.regexp_replace(strip_ws(c), "[\\\\/]+", "-")
+    clean = F.regexp_replace(F.regexp_replace(clean, '[<>:"|?*]+', ""), "\\.+$", "")
+    clean = strip_ws(collapse_ws(clean))
+    return F.when((clean != "") & (clean != ".") & (clean != ".."), clean)
+
+
+def title_words(c: Column) -> Column:
+    return F.initcap(F.replace(c, F.lit("-"), F.lit(" ")))
+
+
+def attachment_title(path: Column) -> Column:
+    return F.regexp_replace(basename(path), "(?i)\\.[a-z0-9]+$", "")
+
+
+def normal_text(c: Column) -> Column:
+    """Extracted text: lines without trailing white space, at most one blank line in a row."""
+    return F.regexp_replace(F.regexp_replace(c, f"(?m)(?<!{WS_INLINE}){WS_INLINE}++$", ""), "\n{3,}", "\n\n")
+
+
+def inline_tags(c: Column) -> Column:
+    """``#tags`` of a text that follow its start, white space or an opening bracket; mere numbers are none."""
+    found = F.regexp_extract_all(c, F.lit(f"(^|{WS}|\\()#([A-Za-z0-9_][A-Za-z0-9_/-]*)"), F.lit(2))
+    return F.filter(found, lambda t: ~t.rlike("^[0-9]+$"))
+
+
+def fnv1a(c: Column) -> Column:
+    """FNV-1a of 32 bits over the characters of a text, as hexadecimal digits."""
+    codes = F.transform(F.filter(F.split(c, ""), lambda s: s != ""), lambda s: F.ascii(s).cast("long"))
+    h = F.aggregate(codes, F.lit(2166136261).cast("long"), lambda a, x: (a.bitwiseXOR(x) * 16777619).bitwiseAND(F.lit(4294967295)))
+    return F.lower(F.hex(h))

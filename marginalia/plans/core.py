@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from marginalia.plans import records
+from importlib import import_module
 
-QUERIES = {**records.QUERIES}
-SQL = {**records.SQL}
+_PARTS = ("records", "search", "notes", "upkeep", "memory", "streams")
+
+QUERIES: dict = {}
+SQL: dict = {}
+for _name in _PARTS:
+    _part = import_module(f"marginalia.plans.{_name}")
+    QUERIES |= _part.QUERIES
+    SQL |= _part.SQL
