@@ -44,15 +44,83 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return spans.sharing_pairs(table(spark, d, "documents"))
 
 
+def p1_clean(spark: SparkSession, d: str) -> DataFrame:
+    return markup.clean(table(spark, d, "chunks")).select("chunk_id", "heading", "text")
+
+
+def p3_scores(spark: SparkSession, d: str) -> DataFrame:
+    scored = distinctive.ppmi(table(spark, d, "chunks"), "chunk_id", F.col("text"), F.array_join("aliases", "\n"))
+    return scored.select(F.col("record").alias("chunk_id"), "term", "n", "records", F.round("ppmi", 6).alias("ppmi"))
+
+
+def p4_neighbors(spark: SparkSession, d: str) -> DataFrame:
+    return neighbors.nearest(neighbors.current_vectors(table(spark, d, "vectors")), "chunk_id", "v")
+
+
+def p4_search(spark: SparkSession, d: str) -> DataFrame:
+    """Greedy graph search for every stored example vector whose id is divisible by 50."""
+    rows = table(spark, d, "embeddings")
+    asked = rows.where(F.col("vec_id") % 50 == 0).select(F.col("vec_id").cast("string").alias("query_id"), "embedding")
+    return neighbors.search(rows.withColumn("vec_id", F.col("vec_id").cast("string")), "vec_id", "embedding", asked, "query_id", "embedding")
+
+
+def p5_classes(spark: SparkSession, d: str) -> DataFrame:
+    return canonical.classes(table(spark, d, "pending_entries"), "entry_id", "content", "entry_type", "project")
+
+
+def p6_pieces(spark: SparkSession, d: str) -> DataFrame:
+    return splitting.split_pieces(table(spark, d, "chunks"))
+
+
+def p8_leaks(spark: SparkSession, d: str) -> DataFrame:
+    return evalleak.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.shares(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
+def p9_plan(spark: SparkSession, d: str) -> DataFrame:
+    plan = mixing.source_rates(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+    return plan.select("source", "tokens", "capped", F.round("wanted", 3).alias("wanted"), F.round("rate", 6).alias("rate"))
+
+
+def p10_shared(spark: SparkSession, d: str) -> DataFrame:
+    return spans.shared_parts(table(spark, d, "documents"))
+
+
+def p10_kept(spark: SparkSession, d: str) -> DataFrame:
+    return spans.without_repeats(table(spark, d, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "p1_found": p1_found,
-    "p3_found": p3_found,
-    "p4_found": p4_found,
-    "p5_found": p5_found,
-    "p6_found": p6_found,
-    "p8_found": p8_found,
-    "p9_found": p9_found,
-    "p10_found": p10_found,
+    f.__name__: f
+    for f in (
+        p1_found, p1_clean, p3_found, p3_scores, p4_found, p4_neighbors, p4_search, p5_found, p5_classes, p6_found, p6_pieces, p8_found, p8_leaks, p9_found, p9_mix, p9_plan, p9_shares, p10_found, p10_shared, p10_kept,
+    )
+}
+
+_TERMS = """one AS (SELECT chunk_id, max(concat_ws(chr(10), text, array_to_string(aliases, chr(10)))) AS t FROM chunks WHERE chunk_id IS NOT NULL GROUP BY chunk_id),
+  bags AS (SELECT chunk_id, list_transform(regexp_extract_all(t, '\\pL{5,}'), lambda x: lower(x)) AS terms FROM one),
+  joint AS (SELECT chunk_id, term, count(*) AS n FROM (SELECT chunk_id, unnest(terms) AS term FROM bags) GROUP BY ALL),
+  marginal AS (SELECT term, sum(n) AS term_n, count(*) AS records FROM joint GROUP BY term)"""
+_BLANK = "chr(32) || chr(9) || chr(13) || chr(10)"
+_WS_TOKENS = "len(regexp_extract_all(text, '[^\\s\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+'))"
+_PLAN = f"""sizes AS (SELECT source, sum(coalesce({_WS_TOKENS}, 0)) AS tokens FROM documents WHERE source IS NOT NULL GROUP BY source),
+  known AS (SELECT t.source, target_share, max_repeats, coalesce(tokens, 0)::BIGINT AS tokens FROM mix_targets t LEFT JOIN sizes s ON s.source = t.source),
+  plan AS (SELECT *, target_share * sum(tokens) OVER () AS wanted FROM known)"""
+
+SQL: dict[str, str] = {
+    "p3_found": f"WITH {_TERMS} SELECT chunk_id, term FROM joint JOIN marginal USING (term) WHERE n >= 3 AND records BETWEEN 2 AND 6",
+    "p3_scores": f"""WITH {_TERMS}, z AS (SELECT sum(len(terms) ** 0.75) AS z FROM bags WHERE len(terms) > 0)
+        SELECT j.chunk_id, term, n, records, round(greatest(0, log2(n * z / (term_n * len(terms) ** 0.75))), 6) AS ppmi FROM joint j JOIN marginal USING (term) JOIN bags b ON b.chunk_id = j.chunk_id CROSS JOIN z""",
+    "p6_found": f"""WITH t AS (SELECT DISTINCT chunk_id, trim(text, {_BLANK}) AS t FROM chunks), big AS (SELECT * FROM t WHERE length(t) > 2000),
+        m AS (SELECT chunk_id, list_max(list_transform(regexp_split_to_array(t, '\\n(?:[ \\t\\r]*\\n)+'), lambda x: length(x))) AS p, list_max(list_transform(string_split(t, chr(10)), lambda x: length(x))) AS l, list_max(list_transform(regexp_split_to_array(t, '[ \\t\\r\\n]+'), lambda x: length(x))) AS w FROM big)
+        SELECT chunk_id, CASE WHEN p <= 2000 THEN 'paragraph' WHEN l <= 2000 THEN 'line' WHEN w <= 2000 THEN 'word' ELSE 'none' END AS cut_at FROM m""",
+    "p9_found": f"WITH {_PLAN} SELECT source FROM plan WHERE tokens * max_repeats < wanted",
+    "p9_plan": f"WITH {_PLAN} SELECT source, tokens, tokens * max_repeats < wanted AS capped, round(wanted, 3) AS wanted, round(CASE WHEN tokens > 0 THEN least(max_repeats, wanted / tokens) ELSE 0 END, 6) AS rate FROM plan",
 }
-
-SQL: dict[str, str] = {}

@@ -9,6 +9,7 @@ its first ``REACH`` characters, and with ``REACH + ANCHOR = SPAN`` the span from
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -228,3 +229,59 @@ def shared_parts(documents: DataFrame, span: int = SPAN) -> DataFrame:
     return rows.select(
         "doc_id", "cls", F.coalesce("copies", F.lit(1)).alias("copies"), F.coalesce("links", F.lit(0)).alias("links"), shared.cast("long").alias("shared_chars"), F.coalesce(shared / F.col("len"), F.lit(0.0)).alias("share")
     )
+
+
+def without_repeats(documents: DataFrame, span: int = SPAN) -> DataFrame:
+    """Texts without the sentences that a repeated span covers where it is not the first: doc_id, text, removed (sentences).
+
+    Of the texts that share a stretch that with the smallest doc_id keeps it; of copies the first keeps its text and the
+    others lose all of it (they are the repeated stretch as a whole) if it has ``span`` characters. A sentence goes only if
+    it lies wholly in such a stretch. Documents without text keep theirs; null ids are left out.
+    """
+    links, windows = shared_intervals(documents, span)
+    links, windows = materialize(links, "span-links"), materialize(windows, "span-windows")
+    classes = text_classes(documents)
+    firsts = classes.groupBy("cls").agg(F.min("doc_id").alias("first"))
+    ranked = links.join(firsts.select(F.col("cls").alias("cls_a"), F.col("first").alias("a")), "cls_a").join(firsts.select(F.col("cls").alias("cls_b"), F.col("first").alias("b")), "cls_b")
+    later = ranked.select(
+        F.when(F.col("a") < F.col("b"), F.col("cls_b")).otherwise(F.col("cls_a")).alias("cls"),
+        F.when(F.col("a") < F.col("b"), F.col("from_b")).otherwise(F.col("from_a")).alias("lo"),
+        F.when(F.col("a") < F.col("b"), F.col("to_b")).otherwise(F.col("to_a")).alias("hi"),
+    )
+    of_window = windows.join(firsts, "cls")
+    owner = of_window.groupBy("w").agg(F.min("first").alias("owner"))
+    frequent = of_window.join(owner, "w").where(F.col("first") > F.col("owner")).select("cls", F.col("start").alias("lo"), (F.col("start") + span).alias("hi"))
+    gone = merged(later.unionByName(frequent)).groupBy("cls").agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("gone"))
+
+    def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts, removed = [], []
+            for text, copy, cuts in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                kept, n = strip_sentences(text or "", [(0, len(text or ""))] if copy else [(c["lo"], c["hi"]) for c in cuts or []])
+                texts.append(kept)
+                removed.append(n)
+            yield pa.record_batch([b.column(0), pa.array(texts, pa.string()), pa.array(removed, pa.int32())], names=["doc_id", "text", "removed"])
+
+    rows = documents.where(F.col("doc_id").isNotNull()).select("doc_id", "text", F.when(F.length("text") > 0, F.xxhash64("text")).alias("cls"))
+    known = rows.join(firsts, "cls", "left").join(gone, "cls", "left")
+    copy = F.coalesce((F.col("doc_id") > F.col("first")) & (F.length("text") >= span), F.lit(False))
+    return known.select("doc_id", "text", copy.alias("copy"), "gone").mapInArrow(strip, "doc_id long, text string, removed int")
+
+
+def strip_sentences(text: str, cuts: list[tuple[int, int]]) -> tuple[str, int]:
+    """The text without the sentences that lie wholly in one of the sorted, disjoint cuts, and how many they are."""
+    if not cuts:
+        return text, 0
+    out, removed, at, c = [], 0, 0, 0
+    for m in re.finditer(r"[^.!?\n。！？]*(?:[.!?。！？]+[ \t]*|\n+|\Z)", text):
+        if m.start() == m.end():
+            continue
+        while c < len(cuts) and cuts[c][1] <= m.start():
+            c += 1
+        end = m.start() + len(m[0].rstrip())
+        if c < len(cuts) and cuts[c][0] <= m.start() and end <= cuts[c][1] and m[0].strip():
+            removed += 1
+        else:
+            out.append(m[0])
+        at = m.end()
+    return "".join([*out, text[at:]]), removed
