@@ -126,7 +126,7 @@ def attachment_title(path: Column) -> Column:
 
 def normal_text(c: Column) -> Column:
     """Extracted text: lines without trailing white space, at most one blank line in a row."""
-    return F.regexp_replace(F.regexp_replace(c, f"(?m)(?<!{WS_INLINE}){WS_INLINE}++$", ""), "\n{3,}", "\n\n")
+    return F.regexp_replace(F.regexp_replace(c, f"(?<!{WS_INLINE}){WS_INLINE}++(?=\\n|\\z)", ""), "\n{3,}", "\n\n")
 
 
 def inline_tags(c: Column) -> Column:

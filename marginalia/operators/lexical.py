@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import window as W
 
 from marginalia.functions.text import basename, tokens
 from marginalia.operators.ranking import diversified
@@ -15,8 +16,8 @@ MOST_BROADCAST_TERMS = 200_000
 
 def distinct_chunks(chunks: DataFrame) -> DataFrame:
     """Each chunk id once; of several rows that of the highest run."""
-    cols = [c for c in chunks.columns if c != "chunk_id"]
-    return chunks.where(F.col("chunk_id").isNotNull()).groupBy("chunk_id").agg(F.max_by(F.struct(*cols), F.struct("run_id", "indexed_at")).alias("s")).select("chunk_id", "s.*")
+    latest = W.Window.partitionBy("chunk_id").orderBy(F.desc("run_id"), F.desc("indexed_at"))
+    return chunks.where(F.col("chunk_id").isNotNull()).withColumn("__n", F.row_number().over(latest)).where("__n = 1").drop("__n")
 
 
 def field_terms(note_path: Column, aliases: Column, heading_path: Column) -> Column:
@@ -36,35 +37,54 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query")))).alias("term"))
 
 
+def indexed(chunks: DataFrame) -> DataFrame:
+    """The tokenised form of chunks that searches read: their own columns without the text, and toks, heads, fields, dl.
+
+    Written once (see ``session.materialize``), it spares every search the tokenising; a table that is one already stays."""
+    if "toks" in chunks.columns:
+        return chunks
+    keep = [c for c in chunks.columns if c not in ("text", "links")]
+    toks, heads = tokens(F.col("text")).alias("toks"), tokens(F.coalesce("heading", F.lit(""))).alias("heads")
+    fields = field_terms(F.col("note_path"), F.col("aliases"), F.col("heading_path")).alias("fields")
+    return chunks.select(*keep, toks, heads, fields).withColumn("dl", F.size("toks"))
+
+
 def search_scores(chunks: DataFrame, queries: DataFrame) -> DataFrame:
-    """query_id, chunk_id, note_path, score, matched of every chunk with a positive score.
+    """query_id, chunk_id, note_path, score of every chunk with a positive score.
 
     ``chunks`` are distinct and already filtered: the statistics are those of the filtered collection. A body term adds its
     BM25 part, more if it stands in the chunk's heading; a term that only name, aliases or ancestors have adds its idf. The
     chunks are read once and cut down to the terms of the queries before anything moves.
     """
     asked = query_terms(queries)
-    small = asked.count() <= MOST_BROADCAST_TERMS
-    hint = F.broadcast if small else (lambda df: df)
+    hint = F.broadcast if asked.count() <= MOST_BROADCAST_TERMS else (lambda df: df)
     terms = asked.select("term").distinct()
-    own = chunks.select("chunk_id", "note_path", tokens(F.col("text")).alias("toks"), tokens(F.coalesce("heading", F.lit(""))).alias("heads"), field_terms(F.col("note_path"), F.col("aliases"), F.col("heading_path")).alias("fields"))
-    sized = own.withColumn("dl", F.size("toks"))
-    totals = chunks.select(F.size(tokens(F.col("text"))).alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    each = sized.select("chunk_id", "note_path", "dl", "heads", "toks", F.explode(F.concat("toks", "fields")).alias("term"))
-    hits = each.join(hint(terms), "term", "left_semi") if small else each.join(terms, "term", "left_semi")
-    body = F.size(F.filter("toks", lambda t: t == F.col("term")))
-    facts = hits.select("chunk_id", "note_path", "dl", "term", body.alias("tf"), F.array_contains("heads", F.col("term")).alias("in_head")).distinct()
+    own = indexed(chunks)
+    totals = own.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+
+    def kinds(name: str, kind: int):
+        return F.transform(name, lambda t: F.struct(t.alias("term"), F.lit(kind).alias("kind")))
+
+    each = own.select("chunk_id", "note_path", "dl", F.explode(F.concat(kinds("toks", 0), kinds("heads", 1), kinds("fields", 2))).alias("x")).select("chunk_id", "note_path", "dl", "x.term", "x.kind")
+    hits = each.join(hint(terms), "term", "left_semi").groupBy("chunk_id", "note_path", "dl", "term")
+    facts = hits.agg(F.count(F.when(F.col("kind") == 0, 1)).alias("tf"), (F.count(F.when(F.col("kind") == 1, 1)) > 0).alias("in_head"), (F.count(F.when(F.col("kind") == 2, 1)) > 0).alias("in_field"))
     df = facts.where("tf > 0").groupBy("term").agg(F.count("*").alias("df"))
     n = F.coalesce("df", F.lit(0))
     idf = terms.join(df, "term", "left").crossJoin(F.broadcast(totals)).select("term", F.log(1 + (F.col("n") - n + 0.5) / (n + 0.5)).alias("idf"), "avgdl")
     part = F.when(
         F.col("tf") > 0,
         F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))) * F.when(F.col("in_head"), HEADING).otherwise(1.0),
-    ).otherwise(F.col("idf"))
-    scored = facts.join(hint(idf), "term").select("chunk_id", "note_path", "term", part.alias("part")).join(hint(asked), "term")
-    return scored.groupBy("query_id", "chunk_id", "note_path").agg(F.sum("part").alias("score"), F.array_sort(F.collect_set("term")).alias("matched")).where("score > 0")
+    ).when(F.col("in_field"), F.col("idf"))
+    scored = facts.join(hint(idf), "term").select("chunk_id", "note_path", "term", part.alias("part")).where("part is not null").join(hint(asked), "term")
+    return scored.groupBy("query_id", "chunk_id", "note_path").agg(F.sum("part").alias("score")).where("score > 0")
 
 
 def search(chunks: DataFrame, queries: DataFrame, limit: int = 8, cap: int | None = None) -> DataFrame:
-    """The page of every query: query_id, rank, chunk_id, note_path, score, matched."""
-    return diversified(search_scores(chunks, queries), limit, cap).select("query_id", "rank", "chunk_id", "note_path", "score", "matched")
+    """The page of every query: query_id, rank, chunk_id, note_path, score, matched (the query's terms the chunk has)."""
+    index = indexed(chunks)
+    page = diversified(search_scores(index, queries), limit, cap)
+    asked = query_terms(queries).groupBy("query_id").agg(F.collect_set("term").alias("asked"))
+    # only the chunks on a page are looked at again for the terms they match
+    has = index.select("chunk_id", F.array_union("toks", "fields").alias("has"))
+    full = page.join(asked, "query_id").join(has, "chunk_id")
+    return full.select("query_id", "rank", "chunk_id", "note_path", "score", F.array_sort(F.array_intersect("asked", "has")).alias("matched"))

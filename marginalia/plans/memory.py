@@ -27,7 +27,7 @@ def e2_split_inbox(spark, d):
 
 
 def e3_parse_blocks(spark, d):
-    return memory.parse_inbox(_entries(spark, d), "entry_id").select(F.col("key").cast("long").alias("entry_id"), "timestamp_label", "source", "origin_tool", "confidence", "status", F.array_join("tags", " ").alias("tags"), F.array_join("related_paths", " ").alias("related_paths"))
+    return memory.parse_inbox(_entries(spark, d), "entry_id").select(F.col("key").cast("long").alias("entry_id"), "timestamp_label", "source", "origin_tool", "status", F.array_join("tags", " ").alias("tags"))
 
 
 def e3_round_trip(spark, d):
@@ -105,7 +105,7 @@ SQL = {
     "e1_render_blocks": f"""SELECT entry_id, concat_ws(chr(10), '## Pending Memory: ' || {_ONE('timestamp_label')}, '', 'Type: ' || {_ONE('entry_type')}, CASE WHEN coalesce(project, '') <> '' THEN 'Project: ' || {_ONE('project')} END, 'Source: ' || {_ONE('source')},
         CASE WHEN coalesce(origin_tool, '') <> '' THEN 'Origin: ' || {_ONE('origin_tool')} END, CASE WHEN coalesce(confidence, '') <> '' THEN 'Confidence: ' || {_ONE('confidence')} END, 'Tags: ' || {_HASHTAGS}, chr(10) || 'Content:' || chr(10), {S.strip('content')}, {_PATHS}, chr(10) || 'Status: ' || {_ONE('status')}, chr(10) || '---' || chr(10)) AS block FROM pending_entries""",
     "e2_split_inbox": "SELECT timestamp_label[1:10] AS day, (row_number() OVER (PARTITION BY timestamp_label[1:10] ORDER BY entry_id) - 1)::INT AS entry_index, length(raw)::INT AS chars FROM pending_entries",
-    "e3_parse_blocks": "SELECT entry_id, timestamp_label, source, origin_tool, confidence, status, array_to_string(coalesce(tags, []), ' ') AS tags, array_to_string(coalesce(related_paths, []), ' ') AS related_paths FROM pending_entries",
+    "e3_parse_blocks": "SELECT entry_id, timestamp_label, source, origin_tool, status, array_to_string(coalesce(tags, []), ' ') AS tags FROM pending_entries",
     "e4_discard": "WITH r AS (SELECT min_by(raw, entry_id) AS raw FROM pending_entries WHERE entry_id % 7 = 0) SELECT entry_id FROM pending_entries WHERE entry_id <> (SELECT min(entry_id) FROM pending_entries WHERE raw = (SELECT raw FROM r))",
     "e5_propose": f"""WITH e AS (SELECT *, lower({_KEY}) AS k, coalesce(entry_type, '') AS t, coalesce(project, '') AS p FROM pending_entries), o AS (SELECT *, row_number() OVER (PARTITION BY k, t, p ORDER BY proposed_at, entry_id) AS n FROM e WHERE entry_index % 5 <> 0)
         SELECT entry_id FROM o WHERE n = 1 AND NOT EXISTS (SELECT 1 FROM e WHERE entry_index % 5 = 0 AND e.k = o.k AND e.t = o.t AND e.p = o.p)""",

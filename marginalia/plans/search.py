@@ -9,7 +9,7 @@ from pyspark.sql import window as W
 from marginalia.functions import text as T
 from marginalia.operators import filters, lexical, ranking, vector
 from marginalia.plans import sqlparts as S
-from marginalia.session import table
+from marginalia.session import materialize, table
 
 LIMIT = 8
 
@@ -18,6 +18,11 @@ def _chunks(spark: SparkSession, d: str) -> DataFrame:
     return lexical.distinct_chunks(table(spark, d, "chunks"))
 
 
+def _index(spark: SparkSession, d: str) -> DataFrame:
+    """What searches run on: each chunk once and tokenised, written once, since a search reads it several times."""
+    return materialize(lexical.indexed(_chunks(spark, d)), "index")
+
+
 def _queries(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "eval_items").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
@@ -87,12 +92,18 @@ def g6_heading_terms(spark, d):
 
 
 def q1_lexical_search(spark, d):
-    return _rounded(lexical.search(_chunks(spark, d), _queries(spark, d), LIMIT)).withColumn("matched", F.array_join("matched", " "))
+    return _rounded(lexical.search(_index(spark, d), _queries(spark, d), LIMIT)).withColumn("matched", F.array_join("matched", " "))
+
+
+def q1_short_queries(spark, d):
+    """Questions of three words, as users type them."""
+    q = _queries(spark, d).withColumn("query", F.array_join(F.slice(T.tokens(F.col("query")), 1, 3), " "))
+    return _rounded(lexical.search(_index(spark, d), q, LIMIT)).withColumn("matched", F.array_join("matched", " "))
 
 
 def _filtered(where):
     def run(spark, d):
-        return _rounded(lexical.search(where(_chunks(spark, d)), _queries(spark, d), LIMIT)).withColumn("matched", F.array_join("matched", " "))
+        return _rounded(lexical.search(where(_index(spark, d)), _queries(spark, d), LIMIT)).withColumn("matched", F.array_join("matched", " "))
 
     return run
 
@@ -103,7 +114,7 @@ b12_search_since = _filtered(lambda c: filters.retrieval_filter(c, since_mtime=1
 
 
 def b13_empty_query(spark, d):
-    return _rounded(lexical.search(_chunks(spark, d), _queries(spark, d).withColumn("query", F.lit("the and ...")), LIMIT)).select("query_id", "chunk_id")
+    return _rounded(lexical.search(_index(spark, d), _queries(spark, d).withColumn("query", F.lit("the and ...")), LIMIT)).select("query_id", "chunk_id")
 
 
 def b1_include_folders(spark, d):
@@ -147,13 +158,13 @@ def q2_vector_search(spark, d):
 def q3_hybrid_search(spark, d):
     vq = _vector_queries(spark, d).withColumnRenamed("query_id", "vec_id")
     q = _queries(spark, d).withColumn("vec_id", ((F.col("query_id") - 5000) / 7 * 50).cast("long")).join(vq, "vec_id", "left")
-    page = vector.hybrid(_chunks(spark, d), _stored(spark, d), q.select("query_id", "query", "qv"), LIMIT)
+    page = vector.hybrid(_index(spark, d), _stored(spark, d), q.select("query_id", "query", "qv"), LIMIT)
     return page.select("query_id", "rank", "chunk_id", F.round("score", 9).alias("score"))
 
 
 def t7_near_duplicates(spark, d):
     c = _chunks(spark, d)
-    page = lexical.search(c, _queries(spark, d), 2 * LIMIT)
+    page = lexical.search(_index(spark, d), _queries(spark, d), 2 * LIMIT)
     with_text = page.join(c.select("chunk_id", T.tokens(F.col("text")).alias("toks")), "chunk_id")
     return ranking.without_near_duplicates(with_text, "toks")
 
@@ -170,19 +181,19 @@ def g15_jaccard(spark, d):
 
 def f5_snippets(spark, d):
     c = _chunks(spark, d)
-    page = lexical.search(c, _queries(spark, d), LIMIT)
+    page = lexical.search(_index(spark, d), _queries(spark, d), LIMIT)
     return page.join(c.select("chunk_id", "text"), "chunk_id").select("query_id", "rank", ranking.snippet("text", "matched").alias("snippet"))
 
 
 def f26_highlight(spark, d):
     c = _chunks(spark, d)
-    page = lexical.search(c, _queries(spark, d), LIMIT)
+    page = lexical.search(_index(spark, d), _queries(spark, d), LIMIT)
     return page.join(c.select("chunk_id", "text"), "chunk_id").select("query_id", "rank", ranking.highlight("text", "matched").alias("marked"))
 
 
 def q5_search_page(spark, d):
     c = _chunks(spark, d)
-    page = vector.top_ranks(lexical.search(c, _queries(spark, d), 2 * LIMIT).drop("rank"), 2 * LIMIT)
+    page = vector.top_ranks(lexical.search(_index(spark, d), _queries(spark, d), 2 * LIMIT).drop("rank"), 2 * LIMIT)
     best = ranking.diversified(page.drop("rank"), LIMIT)
     info = c.select("chunk_id", "heading", "heading_path", "start_line", "end_line", "mtime")
     crumbs = F.array_join(F.filter(F.concat(F.coalesce("heading_path", F.array().cast("array<string>")), F.array(F.coalesce("heading", F.lit("")))), lambda x: F.trim(x) != ""), " › ")
@@ -194,7 +205,7 @@ def q5_search_page(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        f1_tokens, f2_summary_tokens, f3_mock_tokens, f6_sentences, f13_link_keys, f23_field_terms, g1_term_frequency, g2_document_frequency, g3_corpus_size, g4_idf, g6_heading_terms, q1_lexical_search,
+        f1_tokens, f2_summary_tokens, f3_mock_tokens, f6_sentences, f13_link_keys, f23_field_terms, g1_term_frequency, g2_document_frequency, g3_corpus_size, g4_idf, g6_heading_terms, q1_lexical_search, q1_short_queries,
         b13_empty_query, b1_include_folders, b2_exclude_folders, b2_blank_excludes_all, b3_path_patterns, b4_exclude_tags, b7_chunks_of_note, j3_vectors_of_chunks, m1_cosine, q2_vector_search, q3_hybrid_search,
         t7_near_duplicates, g14_centroid, g15_jaccard, f5_snippets, f26_highlight, q5_search_page,
     )
@@ -207,9 +218,9 @@ _VALID = "valid AS (SELECT * FROM stored WHERE len(list_filter(v, lambda x: x IS
 _VSCORES = "vscores AS (SELECT query_id, chunk_id, note_path, list_cosine_similarity(v, qv) AS score FROM valid CROSS JOIN vq WHERE list_cosine_similarity(v, qv) > 0)"
 
 
-def _lexical(source: str = "dchunks", where: str = "") -> str:
+def _lexical(source: str = "dchunks", where: str = "", queries: str = _Q) -> str:
     pick = f", picked AS (SELECT * FROM dchunks WHERE {where})" if where else ""
-    return f"WITH {S.DISTINCT_CHUNKS}{pick}, {_Q}, {S.scores(source)}, {S.page('scores', LIMIT, 3)} SELECT query_id, rank, chunk_id, note_path, round(score, 6) AS score, array_to_string(matched, ' ') AS matched FROM page"
+    return f"WITH {S.DISTINCT_CHUNKS}{pick}, {queries}, {S.scores(source)}, {S.page('scores', LIMIT, 3)} SELECT query_id, rank, chunk_id, note_path, round(score, 6) AS score, array_to_string(matched, ' ') AS matched FROM page"
 
 
 _SENT_MARK = f"regexp_replace({S.strip('x')}, '^(?:#{{1,6}}{S.WS}+|[-*+]{S.WS}+|>{S.WS}*|[0-9]+[.)]{S.WS}+)', '')"
@@ -229,6 +240,7 @@ SQL = {
     "g4_idf": f"WITH {S.DISTINCT_CHUNKS}, t AS (SELECT DISTINCT chunk_id, unnest({S.tokens('text')}) AS term FROM dchunks), n AS (SELECT count(*) AS n FROM dchunks) SELECT term, round(ln(1 + (any_value(n) - count(*) + 0.5) / (count(*) + 0.5)), 6) AS idf FROM t CROSS JOIN n GROUP BY term",
     "g6_heading_terms": f"WITH {S.DISTINCT_CHUNKS} SELECT DISTINCT chunk_id, unnest({S.tokens("coalesce(heading, '')")}) AS term FROM dchunks",
     "q1_lexical_search": _lexical(),
+    "q1_short_queries": _lexical(queries=f"queries AS (SELECT item_id AS query_id, array_to_string({S.tokens('text')}[1:3], ' ') AS query FROM eval_items)"),
     "b6_search_in_folder": _lexical("picked", "note_path = 'Projects/Heronfield' OR starts_with(note_path, 'Projects/Heronfield/')"),
     "b6_search_with_tag": _lexical("picked", "len(list_filter(coalesce(tags, []), lambda t: lower(t) = 'todo' OR lower(t) = '#todo')) > 0"),
     "b12_search_since": _lexical("picked", "mtime >= 1750000000000"),
