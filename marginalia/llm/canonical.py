@@ -13,7 +13,7 @@ _JSON = "map<string,string>"
 
 def bare(c: Column) -> Column:
     """Letters and digits in order, whatever their case; null is empty."""
-    return F.lower(F.upper(F.regexp_replace(F.coalesce(c, F.lit("")), "[^\\p{L}\\p{N}]++", "")))
+    return F.replace(F.lower(F.upper(F.regexp_replace(F.coalesce(c, F.lit("")), "[^\\p{L}\\p{N}]++", ""))), F.lit("ß"), F.lit("ss"))
 
 
 def fields(content: Column) -> Column:

@@ -108,17 +108,27 @@ def gram_hits(documents: DataFrame, grams: DataFrame, n: int = GRAM) -> DataFram
 
 
 def rare_seeds(grams: DataFrame, hits: DataFrame, n: int = GRAM, stretch: int = STRETCH) -> DataFrame:
-    """Of every stretch of ``stretch`` words of an item its n-gram that the fewest documents have: item_id, gram.
+    """Of every stretch of ``stretch`` words of an item its n-gram that the fewest documents, but some, have: item_id, gram, pos, whole.
 
     A document with all words of a stretch has each of its n-grams, so also the rarest: no leak of a stretch is lost,
-    however common the other n-grams are. An item shorter than a stretch counts as one.
+    however common its other n-grams are. ``whole`` says that all n-grams of the stretch occur somewhere; only then can it
+    have leaked word for word. An item shorter than a stretch counts as one.
     """
     df = hits.groupBy("gram").agg(F.count("*").alias("df"))
-    known = grams.join(df, "gram", "left").withColumn("df", F.coalesce("df", F.lit(0)))
-    ahead = W.Window.partitionBy("item_id").orderBy("pos").rowsBetween(0, stretch - n)
-    best = F.min(F.struct("df", "gram")).over(ahead)
-    full = (F.max("pos").over(W.Window.partitionBy("item_id")) >= F.col("pos") + stretch - n) | (F.col("pos") == 0)
-    return known.select("item_id", best.alias("b"), full.alias("full")).where("full").select("item_id", F.col("b.gram").alias("gram")).distinct()
+    length = grams.groupBy("item_id").agg((F.max("pos") + 1).alias("size"))
+    known = grams.join(df, "gram").join(length, "item_id")
+    ahead = W.Window.partitionBy("item_id").orderBy("pos").rangeBetween(0, stretch - n)
+    wide = F.least(F.lit(stretch - n + 1), "size")
+    best = known.select("item_id", "pos", "size", wide.alias("wide"), F.min(F.struct("df", "gram", "pos")).over(ahead).alias("b"), F.count("*").over(ahead).alias("there"), F.min("pos").over(W.Window.partitionBy("item_id")).alias("first"))
+    full = best.where((F.col("pos") + F.col("wide") <= F.col("size")) | (F.col("pos") == F.col("first")))
+    return full.groupBy("item_id", F.col("b.gram").alias("gram"), F.col("b.pos").alias("pos")).agg(F.max(F.col("there") == F.col("wide")).alias("whole"))
+
+
+def candidates(hits: DataFrame, seeds: DataFrame, n: int = GRAM) -> DataFrame:
+    """doc_id, item_id of the pairs to align: the document has the seed of a stretch that may have leaked whole, or, as an edited
+    copy has, seeds at two places of the item that do not overlap."""
+    met = hits.join(seeds, "gram").groupBy("doc_id", "item_id").agg(F.max("whole").alias("whole"), (F.max("pos") - F.min("pos") >= n).alias("apart"))
+    return met.where("whole or apart").select("doc_id", "item_id")
 
 
 def align(pairs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -138,11 +148,6 @@ def align(pairs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.nd
     slope = np.arange(cols + 1, dtype=np.int32) * -GAP
     for r in range(rows):
         equal = A[:, r : r + 1] == B
-        if not equal.any():
-            H = np.maximum(H + GAP, 0)
-            H = np.maximum(np.maximum.accumulate(H + slope, axis=1) - slope, 0)
-            R[:] = 0
-            continue
         N = np.maximum(H + GAP, 0)
         N[:, 1:] = np.maximum(N[:, 1:], H[:, :-1] + np.where(equal, MATCH, MISMATCH))
         N = np.maximum(np.maximum.accumulate(N + slope, axis=1) - slope, 0)
@@ -158,17 +163,17 @@ def leaks(documents: DataFrame, items: DataFrame, n: int = GRAM, stretch: int =
     """Documents that hold passages of test items: item_id, doc_id, score, run, part.
 
     ``score`` is the best local alignment of their words (edited and paraphrased copies included), ``run`` the longest run
-    of consecutive equal words, ``part`` the score as a part of that of the whole item. A pair is aligned if the document
-    has the rarest n-gram of some stretch of the item. Texts without words leak nothing and null ids are left out; of
+    of consecutive equal words, ``part`` the score as a part of that of the whole item. Pairs are found by
+    rare n-grams (see :func:`rare_seeds` and :func:`candidates`). Texts without words leak nothing and null ids are left out; of
     repeated ids each text counts and the best values are given. Every text is compared whole.
     """
     grams = materialize(item_grams(items, n), "item-grams")
     hits = materialize(gram_hits(documents, grams, n), "gram-hits")
     seeds = rare_seeds(grams, hits, n, stretch)
-    candidates = materialize(hits.join(seeds, "gram").select("doc_id", "item_id").distinct(), "leak-candidates")
+    pairs = materialize(candidates(hits, seeds, n), "leak-candidates")
     item_texts = items.select(F.col("item_id").cast("long"), F.col("text").alias("item_text"))
-    near = bloom.build(candidates, "doc_id", candidates.count()).probe(documents.select(F.col("doc_id").cast("long"), "text"), "doc_id")
-    texts = candidates.join(near.where("maybe").drop("maybe"), "doc_id").join(item_texts, "item_id")
+    near = bloom.build(pairs, "doc_id", pairs.count()).probe(documents.select(F.col("doc_id").cast("long"), "text"), "doc_id")
+    texts = pairs.join(near.where("maybe").drop("maybe"), "doc_id").join(item_texts, "item_id")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code: dict[str, int] = {}

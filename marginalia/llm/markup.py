@@ -68,6 +68,10 @@ _AUTOLINK = re.compile(r"<((?:https?|ftp|mailto):[^\s<>]{1,1000})>")
 _MD_STRONG = re.compile(r"(?<![\\*])(\*{1,3})(?![\s*])([^*\n]{1,1000}?)(?<![\s*\\])\1(?!\*)|(?<![\w\\])(_{1,3})(?![\s_])([^_\n]+(?:_[^_\n]+)*?)(?<![\s_])\3(?!\w)|(?<!~)~~(?![\s~])([^~\n]{1,1000}?)(?<![\s~])~~(?!~)")
 
 
+#: Elements and arguments are nested so deep at most.
+_DEEPEST = 100
+
+
 class Node:
     __slots__ = ("tag", "kids", "text", "note")
 
@@ -95,7 +99,7 @@ class Builder:
             self.open("tr")
         node = Node(tag, note=note)
         self.stack[-1].kids.append(node)
-        if tag not in _VOID:
+        if tag not in _VOID and len(self.stack) < _DEEPEST:  # deeper elements lie side by side
             self.stack.append(node)
 
     def close(self, tag: str) -> None:
@@ -423,7 +427,7 @@ class Scanner:
                 at = m.end()
         b.text(self.plain(s[at:], held))
 
-    def latex(self, s: str, held: list) -> str:
+    def latex(self, s: str, held: list, depth: int = 0) -> str:
         if "$" in s:
 
             def formula(m: re.Match) -> str:
@@ -435,23 +439,23 @@ class Scanner:
         if "\\" not in s:
             return s
         out, at = [], 0
+        ends, opened = {}, []
+        for m in re.finditer(r"[{}]", s):
+            if m[0] == "{":
+                opened.append(m.start())
+            elif opened:
+                ends[opened.pop()] = m.start()
         for m in _LATEX.finditer(s):
             if m.start() < at or not (m[3] or m[1] in _COMMANDS):
                 continue
             self.families.add("latex")
             out.append(s[at : m.start()])
             arguments, at = [], m.end()
-            if m[3]:
+            if m[3] and m.end() - 1 in ends:
                 at -= 1
-                while at < len(s) and s[at] == "{":
-                    depth, e = 0, at
-                    for x in re.compile(r"[{}]").finditer(s, at):
-                        depth += 1 if x[0] == "{" else -1
-                        e = x.end()
-                        if not depth:
-                            break
-                    arguments.append(s[at + 1 : e - 1] if not depth else s[at + 1 :])
-                    at = e if not depth else len(s)
+                while at in ends:
+                    arguments.append(s[at + 1 : ends[at]])
+                    at = ends[at] + 1
             name = m[1]
             if name in ("begin", "end") and arguments:
                 what = arguments[0].rstrip("*")
@@ -475,7 +479,7 @@ class Scanner:
             elif name in _LATEX_MUTE or name in ("begin", "end"):
                 pass
             elif arguments:
-                out.append(self.latex(arguments[-1], held))
+                out.append(self.latex(arguments[-1], held, depth + 1) if depth < _DEEPEST // 5 else arguments[-1])
             elif name in _COMMANDS:
                 out.append(m[0])
         return "".join([*out, s[at:]])
