@@ -21,8 +21,12 @@ SUMMARY_STOP_WORDS = (
 ).split()
 
 
+#: The same characters one by one.
+WS_CHARS = "\t\n\x0b\f\r \xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+
+
 def strip_ws(c: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(c, f"^{WS}++", ""), f"(?<!{WS}){WS}++$", "")
+    return F.btrim(c, F.lit(WS_CHARS))
 
 
 def collapse_ws(c: Column) -> Column:
@@ -35,9 +39,10 @@ def basename(path: Column) -> Column:
 
 def link_key(c: Column) -> Column:
     """Key under which links and paths meet: the last non-empty segment, trimmed, without ``.md``, in lower case; '' if none."""
-    cut = F.replace(F.regexp_replace(c, "(?s)[#|].*+", ""), F.lit("\\"), F.lit("/"))
-    last = F.coalesce(F.get(F.reverse(F.filter(F.split(cut, "/"), lambda s: s != "")), F.lit(0)), F.lit(""))
-    return F.when(c.isNotNull(), F.lower(strip_ws(F.regexp_replace(strip_ws(last), "(?i)\\.md$", ""))))
+    cut = F.translate(F.substring_index(F.substring_index(c, "#", 1), "|", 1), "\\", "/")
+    last = strip_ws(F.substring_index(F.rtrim(cut, F.lit("/")), "/", -1))
+    name = F.when(F.lower(last).endswith(".md"), F.substring(last, F.lit(1), F.length(last) - 3)).otherwise(last)
+    return F.lower(strip_ws(name))
 
 
 def tokens(c: Column) -> Column:
