@@ -52,10 +52,12 @@ def identity(provider: str, model: str, endpoint: str, key: str) -> str:
 
 
 def hashed_words(rows: DataFrame, key: str, text: str, dim: int = 64) -> DataFrame:
-    """key, v: each word adds or takes one at the place its hash names; unit length, all zero without words. Inside the JVM."""
-    codes = F.transform(T.raw_tokens(F.col(text)), lambda t: F.conv(T.fnv1a(t), 16, 10).cast("long"))
-    one = rows.select(key, codes.alias("c")).withColumn(
-        "s", F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.aggregate("c", F.lit(0.0), lambda a, h: a + F.when(h % dim == i, F.when(h.bitwiseAND(F.lit(1).cast("long")) == 1, 1.0).otherwise(-1.0)).otherwise(0.0)))
-    )
-    norm = F.sqrt(F.aggregate("s", F.lit(0.0), lambda a, x: a + x * x))
-    return one.withColumn("n", norm).select(key, F.transform("s", lambda x: F.when(F.col("n") > 0, x / F.col("n")).otherwise(0.0)).alias("v"))
+    """key, v: each word adds or takes one at the place its hash names; unit length, all zero without words. Inside the JVM; one row a row of ``key``."""
+    h = F.conv(T.fnv1a(F.col("w")), 16, 10).cast("long")
+    words = rows.select(key, F.explode(T.raw_tokens(F.col(text))).alias("w")).groupBy(key, "w").agg(F.count("*").alias("n"))
+    placed = words.select(key, "n", h.alias("h")).select(key, (F.col("h") % dim).cast("int").alias("i"), F.when(F.col("h") % 2 == 1, F.col("n")).otherwise(-F.col("n")).alias("s"))
+    sums = placed.groupBy(key, "i").agg(F.sum("s").cast("double").alias("s"))
+    # a key has at most dim sums
+    known = sums.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("i", "s"))).alias("m"), F.sqrt(F.sum(F.col("s") * F.col("s"))).alias("n"))
+    every = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.when(F.col("n") > 0, F.coalesce(F.try_element_at("m", i), F.lit(0.0)) / F.col("n")).otherwise(0.0))
+    return rows.select(key).join(known, key, "left").select(key, every.alias("v"))

@@ -39,7 +39,7 @@ def e3_round_trip(spark, d):
 
 def e4_discard(spark, d):
     e = _entries(spark, d).withColumn("entry_index", F.col("entry_id"))
-    raw = e.where("entry_id % 7 = 0").agg(F.min_by("raw", "entry_id")).first()[0]
+    raw = e.agg(F.max_by("raw", "entry_id")).first()[0]
     return memory.without_first(e, raw).select("entry_id")
 
 
@@ -106,7 +106,7 @@ SQL = {
         CASE WHEN coalesce(origin_tool, '') <> '' THEN 'Origin: ' || {_ONE('origin_tool')} END, CASE WHEN coalesce(confidence, '') <> '' THEN 'Confidence: ' || {_ONE('confidence')} END, 'Tags: ' || {_HASHTAGS}, chr(10) || 'Content:' || chr(10), {S.strip('content')}, {_PATHS}, chr(10) || 'Status: ' || {_ONE('status')}, chr(10) || '---' || chr(10)) AS block FROM pending_entries""",
     "e2_split_inbox": "SELECT timestamp_label[1:10] AS day, (row_number() OVER (PARTITION BY timestamp_label[1:10] ORDER BY entry_id) - 1)::INT AS entry_index, length(raw)::INT AS chars FROM pending_entries",
     "e3_parse_blocks": "SELECT entry_id, timestamp_label, source, origin_tool, status, array_to_string(coalesce(tags, []), ' ') AS tags FROM pending_entries",
-    "e4_discard": "WITH r AS (SELECT min_by(raw, entry_id) AS raw FROM pending_entries WHERE entry_id % 7 = 0) SELECT entry_id FROM pending_entries WHERE entry_id <> (SELECT min(entry_id) FROM pending_entries WHERE raw = (SELECT raw FROM r))",
+    "e4_discard": "WITH r AS (SELECT max_by(raw, entry_id) AS raw FROM pending_entries) SELECT entry_id FROM pending_entries WHERE entry_id <> (SELECT min(entry_id) FROM pending_entries WHERE raw = (SELECT raw FROM r))",
     "e5_propose": f"""WITH e AS (SELECT *, lower({_KEY}) AS k, coalesce(entry_type, '') AS t, coalesce(project, '') AS p FROM pending_entries), o AS (SELECT *, row_number() OVER (PARTITION BY k, t, p ORDER BY proposed_at, entry_id) AS n FROM e WHERE entry_index % 5 <> 0)
         SELECT entry_id FROM o WHERE n = 1 AND NOT EXISTS (SELECT 1 FROM e WHERE entry_index % 5 = 0 AND e.k = o.k AND e.t = o.t AND e.p = o.p)""",
     "e6_coerced_types": "SELECT entry_id, CASE WHEN entry_type IN ('note', 'decision', 'architecture', 'preference', 'task', 'action-item', 'open-question', 'session') THEN entry_type ELSE 'note' END AS entry_type FROM pending_entries",

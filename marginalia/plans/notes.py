@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from marginalia.functions import text as T
-from marginalia.operators import budget, chunker, context, links, summarize
+from marginalia.operators import budget, chunker, context, embed, links, summarize
 from marginalia.operators.lexical import distinct_chunks
 from marginalia.plans import sqlparts as S
 from marginalia.session import table
@@ -153,10 +153,33 @@ def u2_term_sources(spark, d):
     return c.select("chunk_id", F.size(F.array_union(F.coalesce("aliases", F.array().cast(_EMPTY)), F.coalesce("heading_path", F.array().cast(_EMPTY)))).alias("n"))
 
 
+def m2_hashed_words(spark, d):
+    v = embed.hashed_words(table(spark, d, "eval_items"), "item_id", "text")
+    return v.select("item_id", F.posexplode("v").alias("i", "x")).where("x <> 0").select("item_id", "i", F.round("x", 6).alias("x"))
+
+
+def f10_markdown_links(spark, d):
+    found = F.regexp_extract_all("text", F.lit(r"\[[^\]]*\]\(([^)]+)\)"), F.lit(1))
+    return _chunks(spark, d).select("chunk_id", F.array_join(F.filter(found, lambda t: ~t.rlike("(?i)^([a-z][a-z0-9+.-]*://|mailto:)")), "\n").alias("targets"))
+
+
+def d2_minute_labels(spark, d):
+    return table(spark, d, "pending_entries").select("entry_id", F.date_format("proposed_at", "yyyy-MM-dd HH:mm").alias("label"), F.date_format("proposed_at", "yyyy-MM-dd-HHmm").alias("stamp"))
+
+
+def g17_distinct_sentences(spark, d):
+    notes = table(spark, d, "eval_items").select(F.col("item_id").cast("string").alias("note_path"), "text")
+    return summarize.units(notes).groupBy("note_path").agg(F.count("*").alias("units"), F.sum(F.length("sentence")).alias("chars"))
+
+
+def u4_removed_vectors(spark, d):
+    return table(spark, d, "vectors").select("chunk_id").distinct().join(table(spark, d, "chunks").select("chunk_id").distinct(), "chunk_id", "left_anti")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        i1_chunk_notes, i6_build_counts, f7_metadata, f8_inline_tags, f9_link_targets, f12_titles, f15_fnv_hashes, f18_breadcrumbs, f19_line_ranges, f20_clipped, d1_day_labels, q6_related_notes, j9_link_edges, g8_paths_per_key,
+        m2_hashed_words, f10_markdown_links, d2_minute_labels, g17_distinct_sentences, u4_removed_vectors, i1_chunk_notes, i6_build_counts, f7_metadata, f8_inline_tags, f9_link_targets, f12_titles, f15_fnv_hashes, f18_breadcrumbs, f19_line_ranges, f20_clipped, d1_day_labels, q6_related_notes, j9_link_edges, g8_paths_per_key,
         g11_note_mtimes, w3_ordinals, w6_budgeted_blocks, w7_listed_links, b9_line_range, q8_outline, q8_passages, q9_project_context, q10_recent_sessions, g12_projects, g10_index_stats, q7_summaries, q7_note_summaries, t6_diverse_vectors, u2_term_sources,
     )
 }
@@ -168,6 +191,11 @@ _EDGES = f"""outl AS (SELECT DISTINCT note_path AS src, {S.link_key('l')} AS key
 _UNITS = "l AS (SELECT item_id::VARCHAR AS note_path, list_transform(regexp_split_to_array(text, '\\r?\\n+'), lambda x: trim(regexp_replace(trim(x), '^(?:#{1,6}\\s+|[-*+]\\s+|>\\s*|[0-9]+[.)]\\s+)', ''))) AS lines FROM eval_items)"
 
 SQL = {
+    "m2_hashed_words": f"""WITH t AS (SELECT item_id, unnest({S.raw_tokens('text')}) AS w FROM eval_items), h AS (SELECT item_id, list_reduce(list_transform(string_split(w, ''), lambda c: unicode(c)::HUGEINT), lambda h, c: (xor(h::BIGINT, c::BIGINT)::HUGEINT * 16777619) % 4294967296, 2166136261::HUGEINT)::BIGINT AS h FROM t),
+        s AS (SELECT item_id, (h % 64)::INT AS i, sum(CASE WHEN h % 2 = 1 THEN 1.0 ELSE -1.0 END)::DOUBLE AS s FROM h GROUP BY ALL), n AS (SELECT *, sqrt(sum(s * s) OVER (PARTITION BY item_id)) AS n FROM s) SELECT item_id, i, round(s / n, 6) AS x FROM n WHERE s <> 0""",
+    "f10_markdown_links": f"{_DC} SELECT chunk_id, array_to_string(list_filter(regexp_extract_all(text, '\\[[^\\]]*\\]\\(([^)]+)\\)', 1), lambda t: NOT regexp_matches(t, '(?i)^([a-z][a-z0-9+.-]*://|mailto:)')), chr(10)) AS targets FROM dchunks",
+    "d2_minute_labels": "SELECT entry_id, strftime(proposed_at, '%Y-%m-%d %H:%M') AS label, strftime(proposed_at, '%Y-%m-%d-%H%M') AS stamp FROM pending_entries",
+    "u4_removed_vectors": "SELECT DISTINCT chunk_id FROM vectors WHERE chunk_id NOT IN (SELECT chunk_id FROM chunks)",
     "f8_inline_tags": f"{_DC} SELECT chunk_id, array_to_string(list_filter(regexp_extract_all(text, '(^|{S.WS}|\\()#([A-Za-z0-9_][A-Za-z0-9_/-]*)', 2), lambda t: NOT regexp_full_match(t, '[0-9]+')), ' ') AS tags FROM dchunks",
     "f9_link_targets": f"{_DC} SELECT chunk_id, array_to_string(regexp_extract_all(text, '\\[\\[([^\\]|#]+)(?:[#|][^\\]]*)?\\]\\]', 1), chr(10)) AS targets FROM dchunks",
     "f12_titles": "SELECT doc_id, nullif(regexp_extract(replace(text, chr(13), ''), '(?m)^# +(\\S[^\\n]*)$', 1), '') AS title FROM documents",
