@@ -1,4 +1,4 @@
-"""Evaluation texts leaking into training text: rare n-gram seeds, then local alignment of the candidates."""
+"""Evaluation texts leaking into training text: n-gram seeds, then local alignment of the candidates."""
 
 from __future__ import annotations
 
@@ -64,14 +64,15 @@ def gram_hashes(texts: list[str | None], n: int) -> tuple[np.ndarray, np.ndarray
 
 
 def item_grams(items: DataFrame, n: int = GRAM) -> DataFrame:
-    """N-grams of the test items: item_id, gram, pos."""
+    """N-grams of the test items, each place once: item_id, copy (hash of the text; repeated ids may have several), gram, pos."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            h, owner, at = gram_hashes(b.column(1).to_pylist(), n)
-            yield pa.record_batch([b.column(0).take(pa.array(owner)), pa.array(h), pa.array(at, pa.int32())], names=["item_id", "gram", "pos"])
+            h, owner, at = gram_hashes(b.column(2).to_pylist(), n)
+            yield pa.record_batch([b.column(0).take(pa.array(owner)), b.column(1).take(pa.array(owner)), pa.array(h), pa.array(at, pa.int32())], names=["item_id", "copy", "gram", "pos"])
 
-    return items.select(F.col("item_id").cast("long"), "text").where("item_id is not null").mapInArrow(cut, "item_id long, gram long, pos int")
+    texts = items.select(F.col("item_id").cast("long"), F.xxhash64("text").alias("copy"), "text").where("item_id is not null")
+    return texts.mapInArrow(cut, "item_id long, copy long, gram long, pos int").distinct()
 
 
 def gram_hits(documents: DataFrame, grams: DataFrame, n: int = GRAM) -> DataFrame:
@@ -108,70 +109,79 @@ def gram_hits(documents: DataFrame, grams: DataFrame, n: int = GRAM) -> DataFram
 
 
 def rare_seeds(grams: DataFrame, hits: DataFrame, n: int = GRAM, stretch: int = STRETCH) -> DataFrame:
-    """Of every stretch of ``stretch`` words of an item its n-gram that the fewest documents, but some, have: item_id, gram, pos, whole.
+    """Of every stretch of ``stretch`` words of an item that may have leaked word for word its n-gram that the fewest documents have: item_id, copy, gram, pos.
 
-    A document with all words of a stretch has each of its n-grams, so also the rarest: no leak of a stretch is lost,
-    however common its other n-grams are. ``whole`` says that all n-grams of the stretch occur somewhere; only then can it
-    have leaked word for word. An item shorter than a stretch counts as one.
+    It may have leaked so if all its n-grams occur somewhere. A document with all words of a stretch has each of its n-grams,
+    so also the rarest: no leak of a stretch is lost, however common its other n-grams are. An item shorter than a stretch
+    counts as one. Edited copies may lack just the rarest, see :func:`candidates`.
     """
+    text = ["item_id", "copy"]
     df = hits.groupBy("gram").agg(F.count("*").alias("df"))
-    length = grams.groupBy("item_id").agg((F.max("pos") + 1).alias("size"))
-    known = grams.join(df, "gram").join(length, "item_id")
-    ahead = W.Window.partitionBy("item_id").orderBy("pos").rangeBetween(0, stretch - n)
+    length = grams.groupBy(text).agg((F.max("pos") + 1).alias("size"))
+    known = grams.join(df, "gram").join(length, text)
+    ahead = W.Window.partitionBy(text).orderBy("pos").rangeBetween(0, stretch - n)
     wide = F.least(F.lit(stretch - n + 1), "size")
-    best = known.select("item_id", "pos", "size", wide.alias("wide"), F.min(F.struct("df", "gram", "pos")).over(ahead).alias("b"), F.count("*").over(ahead).alias("there"), F.min("pos").over(W.Window.partitionBy("item_id")).alias("first"))
-    full = best.where((F.col("pos") + F.col("wide") <= F.col("size")) | (F.col("pos") == F.col("first")))
-    return full.groupBy("item_id", F.col("b.gram").alias("gram"), F.col("b.pos").alias("pos")).agg(F.max(F.col("there") == F.col("wide")).alias("whole"))
+    best = known.select(*text, "pos", "size", wide.alias("wide"), F.min(F.struct("df", "gram", "pos")).over(ahead).alias("b"), F.count("*").over(ahead).alias("there"))
+    full = best.where((F.col("pos") + F.col("wide") <= F.col("size")) & (F.col("there") == F.col("wide")))
+    return full.select(*text, F.col("b.gram").alias("gram"), F.col("b.pos").alias("pos")).distinct()
 
 
-def candidates(hits: DataFrame, seeds: DataFrame, n: int = GRAM) -> DataFrame:
+def candidates(hits: DataFrame, grams: DataFrame, seeds: DataFrame, n: int = GRAM) -> DataFrame:
     """doc_id, item_id of the pairs to align: the document has the seed of a stretch that may have leaked whole, or, as an edited
-    copy has, seeds at two places of the item that do not overlap."""
-    met = hits.join(seeds, "gram").groupBy("doc_id", "item_id").agg(F.max("whole").alias("whole"), (F.max("pos") - F.min("pos") >= n).alias("apart"))
-    return met.where("whole or apart").select("doc_id", "item_id")
+    copy has, any n-grams (rare or not) at two places of the item that do not overlap."""
+    known = grams.join(seeds.withColumn("whole", F.lit(True)), ["item_id", "copy", "gram", "pos"], "left")
+    met = hits.join(known, "gram").groupBy("doc_id", "item_id", "copy").agg(F.max("whole").alias("whole"), (F.max("pos") - F.min("pos") >= n).alias("apart"))
+    return met.where("whole or apart").select("doc_id", "item_id").distinct()
 
 
 def align(pairs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Smith-Waterman over words of many pairs at once: best score, longest run of equal words, item words aligned in all.
 
-    All pairs advance together, one document word a step; the gap along a row is a running maximum.
+    All pairs advance together, one document word a step; gaps along the item are taken in doubled lengths.
     """
     k = len(pairs)
     rows, cols = max((len(a) for a, _ in pairs), default=0), max((len(b) for _, b in pairs), default=0)
     if not k or not rows or not cols:
         return np.zeros(k, np.int32), np.zeros(k, np.int32), np.zeros(k, np.float64)
-    A, B = np.zeros((k, rows), np.int64), np.full((k, cols), -1, np.int64)
+    kind = np.int16 if cols < 10_000 else np.int32  # scores are at most MATCH a word
+    A, B = np.zeros((rows, k), np.int32), np.full((cols, k), -1, np.int32)
     for i, (a, b) in enumerate(pairs):
-        A[i, : len(a)], B[i, : len(b)] = a + 1, b + 1
-    H, R = np.zeros((k, cols + 1), np.int32), np.zeros((k, cols + 1), np.int32)
-    score, run = np.zeros(k, np.int32), np.zeros(k, np.int32)
-    slope = np.arange(cols + 1, dtype=np.int32) * -GAP
+        A[: len(a), i], B[: len(b), i] = a + 1, b + 1
+    H, R = np.zeros((cols + 1, k), kind), np.zeros((cols + 1, k), kind)
+    score, run, most = np.zeros_like(H), np.zeros_like(R), 0
     for r in range(rows):
-        equal = A[:, r : r + 1] == B
-        N = np.maximum(H + GAP, 0)
-        N[:, 1:] = np.maximum(N[:, 1:], H[:, :-1] + np.where(equal, MATCH, MISMATCH))
-        N = np.maximum(np.maximum.accumulate(N + slope, axis=1) - slope, 0)
+        equal = A[r] == B
+        N = np.maximum(H + kind(GAP), kind(0))
+        np.maximum(N[1:], H[:-1] + (equal.view(np.int8) * np.int8(MATCH - MISMATCH) + np.int8(MISMATCH)), out=N[1:])
+        most, gap = int(score.max()) + MATCH if r % 16 == 0 else most + MATCH, 1
+        while gap <= cols and gap * -GAP < most:  # a longer gap leaves nothing of the best score so far
+            N[gap:] = np.maximum(N[gap:], N[:-gap] + kind(gap * GAP))
+            gap *= 2
         S = np.zeros_like(R)
-        S[:, 1:] = np.where(equal, R[:, :-1] + 1, 0)
+        np.multiply(R[:-1] + kind(1), equal, out=S[1:])
         H, R = N, S
-        score, run = np.maximum(score, H.max(axis=1)), np.maximum(run, R.max(axis=1))
+        np.maximum(score, H, out=score)
+        np.maximum(run, R, out=run)
+    score, run = score.max(axis=0).astype(np.int32), run.max(axis=0).astype(np.int32)
     length = np.array([max(1, len(b)) for _, b in pairs])
     return score, run, score / (MATCH * length)
 
 
-def leaks(documents: DataFrame, items: DataFrame, n: int = GRAM, stretch: int = STRETCH) -> DataFrame:
+def leaks(documents: DataFrame, items: DataFrame, n: int = GRAM, stretch: int = STRETCH, edited: bool = True) -> DataFrame:
     """Documents that hold passages of test items: item_id, doc_id, score, run, part.
 
     ``score`` is the best local alignment of their words (edited and paraphrased copies included), ``run`` the longest run
     of consecutive equal words, ``part`` the score as a part of that of the whole item. Pairs are found by
-    rare n-grams (see :func:`rare_seeds` and :func:`candidates`). Texts without words leak nothing and null ids are left out; of
-    repeated ids each text counts and the best values are given. Every text is compared whole.
+    n-grams (see :func:`rare_seeds` and :func:`candidates`). Texts without words leak nothing and null ids are left out; of
+    repeated ids each text counts and the best values are given. Every text is compared whole. Without ``edited`` only pairs
+    that may share ``stretch`` consecutive words are compared: enough, and all, for runs of that length.
     """
     grams = materialize(item_grams(items, n), "item-grams")
     hits = materialize(gram_hits(documents, grams, n), "gram-hits")
     seeds = rare_seeds(grams, hits, n, stretch)
-    pairs = materialize(candidates(hits, seeds, n), "leak-candidates")
-    item_texts = items.select(F.col("item_id").cast("long"), F.col("text").alias("item_text"))
+    met = candidates(hits, grams, seeds, n) if edited else hits.join(seeds, "gram").select("doc_id", "item_id").distinct()
+    pairs = materialize(met, "leak-candidates")
+    item_texts = items.select(F.col("item_id").cast("long"), F.col("text").alias("item_text")).distinct()
     near = bloom.build(pairs, "doc_id", pairs.count()).probe(documents.select(F.col("doc_id").cast("long"), "text"), "doc_id")
     texts = pairs.join(near.where("maybe").drop("maybe"), "doc_id").join(item_texts, "item_id")
 
@@ -184,7 +194,7 @@ def leaks(documents: DataFrame, items: DataFrame, n: int = GRAM, stretch: int =
             cells = 0
             group: list[int] = []
             for i in [*order, None]:
-                if i is None or (group and cells + len(item[i]) > 16384):
+                if i is None or (group and cells + len(item[i]) > 65536):
                     if group:
                         out[:, group] = align([(doc[j], item[j]) for j in group])
                     group, cells = [], 0

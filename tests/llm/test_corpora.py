@@ -125,6 +125,17 @@ def test_edited_copies_score_high(spark):
     assert [(r["item_id"], r["doc_id"]) for r in rows] == [(7, 1)] and rows[0]["part"] > 0.5
 
 
+def test_edited_copy_is_found_beside_a_verbatim_one(spark):
+    item = ["t%d" % i for i in range(200)]
+    edited = [f"e{i}" if i % 15 == 7 else w for i, w in enumerate(item)]
+    docs = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(edited)), (3, "nothing of it here")], "doc_id bigint, text string")
+    it = spark.createDataFrame([(7, " ".join(item))] * 2, "item_id bigint, text string")
+    rows = {r["doc_id"]: r for r in evalleak.leaks(docs, it).collect()}
+    assert set(rows) == {1, 2} and rows[1]["run"] == 200 and rows[2]["run"] == 14 and rows[2]["part"] > 0.85
+    tail = spark.createDataFrame([(1, " ".join(item[40:60]))], "doc_id bigint, text string")
+    assert [r["run"] for r in evalleak.leaks(tail, it).collect()] == [20]
+
+
 def _vectors(n=900, seed=1):
     rng = np.random.default_rng(seed)
     x = rng.standard_normal((n, 64)) @ np.diag(np.linspace(1, 0.2, 64))
