@@ -204,21 +204,45 @@ def merged(intervals: DataFrame) -> DataFrame:
     return marked.withColumn("g", F.sum("new").over(order)).groupBy("cls", "g").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).drop("g")
 
 
+def link_counts(links: DataFrame, windows: DataFrame) -> DataFrame:
+    """How many different other texts each text shares with, by pairs and frequent windows together: cls, links.
+
+    Windows that the same texts have are one group, and texts with the same groups are one kind; only kinds that meet in a
+    group are paired, so a passage that very many texts have costs a row a text, not all pairs of texts.
+    """
+    place = windows.select("w", "cls").distinct()
+
+    def named(rows: DataFrame, of: str, by: str, name: str) -> DataFrame:
+        """One name for equal sets of ``by``: of, name (three 64-bit numbers)."""
+        marks = (F.bit_xor(F.xxhash64(by)), F.bit_xor(F.xxhash64(by, F.lit(1))), F.count("*"))
+        return rows.groupBy(of).agg(F.struct(*marks).alias("marks")).select(of, F.xxhash64("marks").alias(name))
+
+    groups = materialize(place.join(named(place, "w", "cls", "g"), "w").select("g", "cls").distinct(), "window-groups")
+    kinds = materialize(named(groups, "cls", "g", "kind"), "text-kinds")
+    within = groups.join(kinds, "cls").select("kind", "g").distinct()
+    meets = materialize(within.join(within.withColumnRenamed("kind", "other"), "g").select("kind", "other").distinct(), "kinds-that-meet")
+    sizes = kinds.groupBy(F.col("kind").alias("other")).agg(F.count("*").alias("n"))
+    frequent = kinds.join(meets.join(sizes, "other").groupBy("kind").agg((F.sum("n") - 1).alias("n")), "kind").select("cls", "n")
+    both = links.select(F.col("cls_a").alias("cls"), F.col("cls_b").alias("to")).distinct()
+    both = both.unionByName(both.select(F.col("to").alias("cls"), F.col("cls").alias("to")))
+    known = both.join(kinds, "cls", "left").join(kinds.select(F.col("cls").alias("to"), F.col("kind").alias("other")), "to", "left")
+    paired = known.join(meets, ["kind", "other"], "left_anti").groupBy("cls").agg(F.count("*").alias("n"))
+    return frequent.unionByName(paired).groupBy("cls").agg(F.sum("n").alias("links"))
+
+
 def shared_parts(documents: DataFrame, span: int = SPAN) -> DataFrame:
     """One row a document: doc_id, cls (its text class), copies (documents with its text), links (other texts it shares with),
     shared_chars (of its text that stand, in stretches of ``span``, in another document), share (their part of the text).
 
-    A text that has copies is shared as a whole. Documents without text have cls null and share 0. ``links`` counts the
-    texts found by pairing and, for spans too frequent to pair, the other texts of the most frequent shared window.
+    A text that has copies is shared as a whole. Documents without text have cls null and share 0. ``links`` counts each
+    other text once, however many spans are shared with it and however frequent they are (see :func:`link_counts`).
     """
     links, windows = shared_intervals(documents, span)
     links, windows = materialize(links, "span-links"), materialize(windows, "span-windows")
-    sides = links.select(F.col("cls_a").alias("cls"), F.col("cls_b").alias("other"), F.col("from_a").alias("lo"), F.col("to_a").alias("hi")).unionByName(
-        links.select(F.col("cls_b").alias("cls"), F.col("cls_a").alias("other"), F.col("from_b").alias("lo"), F.col("to_b").alias("hi"))
+    sides = links.select(F.col("cls_a").alias("cls"), F.col("from_a").alias("lo"), F.col("to_a").alias("hi")).unionByName(
+        links.select(F.col("cls_b").alias("cls"), F.col("from_b").alias("lo"), F.col("to_b").alias("hi"))
     )
-    frequent = windows.join(windows.groupBy("w").agg((F.countDistinct("cls") - 1).alias("n")), "w").groupBy("cls").agg(F.max("n").alias("more"))
-    count = sides.groupBy("cls").agg(F.countDistinct("other").alias("links")).join(frequent, "cls", "full_outer")
-    count = count.select("cls", (F.coalesce("links", F.lit(0)) + F.coalesce("more", F.lit(0))).alias("links"))
+    count = link_counts(links, windows)
     parts = merged(sides.select("cls", "lo", "hi").unionByName(windows.select("cls", F.col("start").alias("lo"), (F.col("start") + span).alias("hi"))))
     covered = parts.groupBy("cls").agg(F.sum(F.col("hi") - F.col("lo")).alias("covered"))
     classes = text_classes(documents)

@@ -70,6 +70,20 @@ def test_shared_parts_and_removal(spark):
     assert kept[2]["removed"] > 0 and len(kept[2]["text"]) < len(docs[1][1]) - 200 and kept[3]["removed"] == 0 and kept[7]["text"].strip() == ""
 
 
+def test_links_count_every_other_text_once(spark):
+    rng = random.Random(4)
+    footer, licence, pair = (_text(rng, 260) for _ in range(3))
+    docs = [(i, _text(rng, 60) + (footer if i < 80 else licence) + _text(rng, 40)) for i in range(160)]
+    docs += [(200, _text(rng, 60) + footer + _text(rng, 60) + licence), (201, pair + _text(rng, 50) + footer), (202, pair + footer), (203, licence + pair)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    want = {d: 0 for d, _ in docs}
+    for p in _pairs(docs, 200):
+        for d in p:
+            want[d] += 1
+    assert spans.shared_intervals(df)[1].count() > 0 and want[200] == 163
+    assert {r["doc_id"]: r["links"] for r in spans.shared_parts(df).collect()} == want
+
+
 def test_strip_sentences():
     assert spans.strip_sentences("One. Two! Three", [(0, 4)]) == ("Two! Three", 1)
     assert spans.strip_sentences("One. Two! Three", [(2, 9)]) == ("One. Three", 1)
