@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.llm import canonical, distinctive, evalleak, markup, mixing, neighbors, spans, splitting
-from marginalia.session import table
+from marginalia.session import materialize, table
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -58,10 +58,10 @@ def p4_neighbors(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_search(spark: SparkSession, d: str) -> DataFrame:
-    """Greedy graph search for every stored example vector whose id is divisible by 50."""
-    rows = table(spark, d, "embeddings")
-    asked = rows.where(F.col("vec_id") % 50 == 0).select(F.col("vec_id").cast("string").alias("query_id"), "embedding")
-    return neighbors.search(rows.withColumn("vec_id", F.col("vec_id").cast("string")), "vec_id", "embedding", asked, "query_id", "embedding")
+    """Greedy graph search over the current vectors for those of the chunks whose id has an xxhash64 divisible by 100."""
+    rows = materialize(neighbors.current_vectors(table(spark, d, "vectors")), "current-vectors")
+    asked = rows.where(F.xxhash64("chunk_id") % 100 == 0).select(F.col("chunk_id").alias("query_id"), "v")
+    return neighbors.search(rows, "chunk_id", "v", asked, "query_id", "v")
 
 
 def p5_classes(spark: SparkSession, d: str) -> DataFrame:

@@ -201,3 +201,25 @@ def test_greedy_search_recall(spark):
     rows = got.collect()
     hit = sum(s[int(r["query"][1:])][int(r["other_key"][1:])] >= np.sort(s[int(r["query"][1:])])[-10] - 1e-3 for r in rows)
     assert len(rows) == 600 and hit / 600 >= 0.9
+
+
+def test_search_expands_until_nothing_changes(spark):
+    turn = np.linspace(0, 3, 400)  # a chain: what is far from the entry is many steps away
+    x = np.zeros((400, 64))
+    x[:, 0], x[:, 1] = np.cos(turn), np.sin(turn)
+    df = spark.createDataFrame([(f"v{i:04d}", [float(a) for a in v]) for i, v in enumerate(x)], "k string, v array<double>")
+    asked = df.where("k in ('v0000', 'v0200', 'v0399')").withColumnRenamed("k", "q")
+    got = {}
+    for r in neighbors.search(df, "k", "v", asked, "q", "v", beam=12, starts=1, trees=4, block=128).collect():
+        got.setdefault(int(r["query"][1:]), set()).add(int(r["other_key"][1:]))
+    assert got[0] == set(range(1, 11)) and got[399] == set(range(389, 399)) and got[200] == {*range(195, 200), *range(201, 206)}
+
+
+def test_search_query_runs_over_the_current_vectors(spark, tmp_path):
+    from marginalia.llm import queries
+
+    x = _vectors(600, 3)
+    rows = [(f"n::{i}", "h", [float(a) for a in v], 1) for i, v in enumerate(x)]
+    spark.createDataFrame(rows, "chunk_id string, h string, v array<double>, run_id int").write.parquet(f"{tmp_path}/vectors.parquet")
+    found = queries.p4_search(spark, str(tmp_path)).collect()
+    assert found and len(found) == 10 * len({r["query"] for r in found}) and {r["query"] for r in found} | {r["other_key"] for r in found} <= {r[0] for r in rows}
