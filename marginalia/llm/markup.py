@@ -4,7 +4,8 @@ A scanner turns all four families into one stream of events (elements and text);
 item ends the one before it, a cell its neighbour, a block the open paragraph); a renderer emits the visible text block by
 block: headings as ``# ...``, list items with marks and indentation, code and formulas unchanged, table cells aligned.
 Comments, scripts, styles, templates and elements that are hidden are not visible. The scanner also names the families it met.
-All scanning is linear: constructs are found by their ends, and an end that is missing is looked for once.
+All scanning is linear: constructs are found by their ends, and an end that is missing is looked for once; braces of
+templates are matched with a stack.
 """
 
 from __future__ import annotations
@@ -192,13 +193,13 @@ class Scanner:
 
     def regions(self, text: str, hold) -> str:
         """Constructs over several lines, found by their ends."""
-        out, at, gone = [], 0, set()
+        out, at, gone, templates = [], 0, set(), self.templates(text) if "{{" in text else {}
         for m in re.finditer(r"<!--|\$\$|\\\[|\\\(|\\begin\{([A-Za-z]+\*?)\}|\{\{|(?m:^)[ \t]*\{\||<(script|style|pre|nowiki)\b[^<>]*>", text):
             if m.start() < at:
                 continue
             opener = m[0].strip()
             if opener == "{{":
-                end, kind = self.template(text, m.start(), gone), "wiki:"
+                end, kind = templates.get(m.start(), -1), "wiki:"
             else:
                 closer, kind = {"<!--": ("-->", "html:"), "$$": ("$$", "latex:math"), "\\[": ("\\]", "latex:math"), "\\(": ("\\)", "latex:formula"), "{|": ("\n|}", "wiki:table")}.get(opener, ("", ""))
                 if m[1]:
@@ -242,17 +243,15 @@ class Scanner:
         return "".join(out)
 
     @staticmethod
-    def template(text: str, start: int, gone: set[str]) -> int:
-        """Where the template that begins at ``start`` ends, -1 if nowhere."""
-        if "}}" in gone:
-            return -1
-        depth = 0
-        for m in re.compile(r"\{\{|\}\}").finditer(text, start):
-            depth += 1 if m[0] == "{{" else -1
-            if not depth:
-                return m.end()
-        gone.add("}}")
-        return -1
+    def templates(text: str) -> dict[int, int]:
+        """Where the templates end, by where they begin; an opening without an end has none and hides no other."""
+        ends, opened = {}, []
+        for m in re.finditer(r"\{\{|\}\}", text):
+            if m[0] == "{{":
+                opened.append(m.start())
+            elif opened:
+                ends[opened.pop()] = m.end()
+        return ends
 
     def wiki_table(self, body: str) -> None:
         self.b.open("table")

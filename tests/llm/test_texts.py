@@ -178,3 +178,10 @@ def test_tokens_of_a_public_tokenizer(spark):
     count = mixing.bpe_tokens(public.path("byte_bpe_50k.tiktoken"), public.PATTERN)
     df = spark.createDataFrame([("Hello world",), (None,), ("",)], "text string")
     assert [r[0] for r in df.select(count("text")).collect()] == [2, 0, 0]
+
+
+def test_stray_braces_hide_no_template():
+    text, families = markup.render("a {{ stray, then {{stub}} and {{Infobox\n|a={{b}}\n}} end")
+    assert families == {"wiki"} and text == "a {{ stray, then and end"
+    assert markup.render("}} {{x}} y")[0] == "}} y"
+    assert markup.render("{{ " * 20000)[1] == set() and markup.render("{{ " * 20000 + "{{x}}")[1] == {"wiki"}
