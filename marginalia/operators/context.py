@@ -71,8 +71,20 @@ def projects(paths: DataFrame, root: str) -> DataFrame:
 def assembled_context(notes: DataFrame, names: list[str], folder: str, most: int = DEFAULT_CHARS) -> DataFrame:
     """The named files of a folder in their fixed order, blank ones left out, within a budget: ord, note_path, shown, kept."""
     order = F.coalesce(*[F.when(F.col("note_path") == f"{folder}/{n}.md", F.lit(i)) for i, n in enumerate(names)])
-    some = notes.withColumn("ord", order).where("ord is not null").withColumn("content", T.strip_ws(F.col("content"))).where("content <> ''")
-    return budget.assembled(some.withColumn("g", F.lit(0)), "content", ["g"], ["ord"], most).select("ord", "note_path", "kept", "shown")
+    return _assembled(notes.withColumn("folder", F.lit(folder)).withColumn("ord", order), most).drop("folder")
+
+
+def project_contexts(notes: DataFrame, root: str, most: int = DEFAULT_CHARS) -> DataFrame:
+    """The contexts of all projects below a folder, each within its own budget: folder, ord, note_path, shown, kept."""
+    inside = F.split(F.expr(f"substring(note_path, {len(root) + 2})"), "/")
+    order = F.coalesce(*[F.when(inside[1] == f"{n}.md", F.lit(i)) for i, n in enumerate(PROJECT_FILES)])
+    direct = notes.where(F.col("note_path").startswith(root + "/")).where((F.size(inside) == 2) & (inside[0] != ""))
+    return _assembled(direct.withColumn("folder", F.concat(F.lit(root + "/"), inside[0])).withColumn("ord", order), most)
+
+
+def _assembled(notes: DataFrame, most: int) -> DataFrame:
+    some = notes.where("ord is not null").withColumn("content", T.strip_ws(F.col("content"))).where("content <> ''")
+    return budget.assembled(some, "content", ["folder"], ["ord"], most).select("folder", "ord", "note_path", "kept", "shown")
 
 
 def recent(notes: DataFrame, folder: str, limit: int = SESSIONS) -> DataFrame:

@@ -116,9 +116,9 @@ def q8_passages(spark, d):
 
 def q9_project_context(spark, d):
     notes = _chunks(spark, d).groupBy("note_path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start_line", "chunk_id", "text"))), lambda x: x["text"]), "\n\n").alias("content"))
-    first = notes.where(F.col("note_path").startswith("Memory/Global/")).withColumn("n", F.row_number().over(W.Window.partitionBy(F.lit(0)).orderBy("note_path")))
-    named = first.where("n <= 3").withColumn("note_path", F.concat(F.lit("Memory/Global/"), F.element_at(F.array(*[F.lit(x) for x in context.GLOBAL_FILES]), F.col("n").cast("int")), F.lit(".md")))
-    return context.assembled_context(named, context.GLOBAL_FILES, "Memory/Global", 2500).select("ord", "kept", F.length("shown").alias("chars"))
+    everywhere = context.assembled_context(notes, context.GLOBAL_FILES, "Memory/Global", 2500).withColumn("folder", F.lit("Memory/Global"))
+    both = context.project_contexts(notes, "Projects", 2500).unionByName(everywhere)
+    return both.select("folder", "ord", "note_path", "kept", F.length("shown").alias("chars"))
 
 
 def q10_recent_sessions(spark, d):

@@ -125,3 +125,19 @@ def test_text_functions(spark):
     assert one(T.project_folder(F.lit(" a/b:c.. "))) == "a-bc" and one(T.project_folder(F.lit(".."))) is None
     assert one(T.day_label(F.lit(None).cast("long"))) == ""
     assert one(T.title_words(F.lit("action-item"))) == "Action Item"
+
+
+def test_project_context_takes_the_named_files(spark, tmp_path):
+    from marginalia.plans import notes
+
+    paths = ["Memory/Global/a.md", "Memory/Global/b.md", "Memory/Global/c.md", "Memory/Global/profile.md", "Projects/x/tasks.md", "Projects/x/overview.md", "Projects/x/other.md", "Projects/y/open-questions.md", "Projects/x/sub/tasks.md", "Projects/tasks.md", "Notes/overview.md"]
+    corpus(spark, [{"id": p, "path": p, "text": "y" * (2490 if p.endswith("overview.md") else 20)} for p in paths]).write.parquet(f"{tmp_path}/chunks.parquet")
+    runs = spark.createDataFrame([(1, None, None, "succeeded")], "run_id int, started_at timestamp_ntz, finished_at timestamp_ntz, status string")
+    runs.write.parquet(f"{tmp_path}/index_runs.parquet")
+    got = {(r["folder"], r["ord"], r["note_path"], r["kept"], r["chars"]) for r in notes.q9_project_context(spark, str(tmp_path)).collect()}
+    assert got == {
+        ("Memory/Global", 0, "Memory/Global/profile.md", True, 20),
+        ("Projects/x", 0, "Projects/x/overview.md", True, 2490),
+        ("Projects/x", 3, "Projects/x/tasks.md", False, None),
+        ("Projects/y", 4, "Projects/y/open-questions.md", True, 20),
+    }
