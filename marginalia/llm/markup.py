@@ -41,7 +41,14 @@ _IMPLIED = {
     "li": ({"li"}, {"ul", "ol"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}),
     "tr": ({"tr", "td", "th"}, {"table"}), "tbody": ({"tbody", "thead", "tr", "td", "th"}, {"table"}), "thead": ({"tbody", "tr", "td", "th"}, {"table"}), "option": ({"option"}, {"select"}),
 }
-_MATH = set("equation equation* align align* math displaymath gather gather* multline eqnarray cases matrix pmatrix bmatrix".split())
+_MATH = set(
+    "equation equation* align align* aligned alignat alignat* alignedat flalign flalign* math displaymath gather gather* gathered multline multline* eqnarray eqnarray* "
+    "split array subequations cases dcases rcases matrix pmatrix bmatrix Bmatrix vmatrix Vmatrix smallmatrix".split()
+)
+#: What shows that an environment of another name holds mathematics, and formulas within that do not count for it.
+_MATHLIKE = re.compile(r"\^|_\{|\b[A-Za-z]_\w\b|\\(?:d?frac|sqrt|sum|int|prod|leq?|geq?|neq?|infty|times|cdot|alpha|beta|gamma|delta|theta|lambda|mu|sigma|phi|omega|math[a-z]+)\b")
+_FORMULAS = re.compile(r"\$\$[^$]*\$\$|\$[^$]*\$")
+_TEXTUAL = set("document itemize enumerate description tabular table figure center quote quotation abstract".split())
 _VERBATIM = {"verbatim", "lstlisting", "minted"}
 #: LaTeX commands that stand alone (fixed values); any other needs a brace to count as one.
 _COMMANDS = set(
@@ -51,9 +58,9 @@ _COMMANDS = set(
 _LATEX_HEADS = {"part": 1, "chapter": 1, "section": 2, "subsection": 3, "subsubsection": 4, "paragraph": 5}
 _LATEX_MUTE = set("label cite ref eqref citep citet pageref usepackage documentclass bibliography bibliographystyle vspace hspace input include index".split())
 _LATEX = re.compile(r"(?<![\w:\\/])\\([A-Za-z]{1,40})\*?((?:\[[^\]\n]{0,200}\])?)(\{?)")
-_MATHS = re.compile(r"(?<![\\$\w])\$(?![\s$])([^$\n]{1,400}?)(?<![\s\\])\$(?![\d$\w])")
+_MATHS = re.compile(r"(?<![\\$\w])\$(?![\s$])([^$]+?)(?<![\s\\])\$(?![\d$\w])")
 _WIKI_HEAD = re.compile(r"^(={2,6})[ \t]*([^=\n][^\n]*?)[ \t]*\1[ \t]*$")
-_WIKI_LINK = re.compile(r"\[\[([^\[\]\n|]{1,400})((?:\|[^\[\]\n|]{0,400})*)\]\]")
+_WIKI_LINK = re.compile(r"\[\[([^\[\]|]+)((?:\|[^\[\]|]*)*)\]\]")
 _WIKI_STRONG = re.compile(r"('{5}|'{3}|'{2})(?!')([^'\n]+(?:'[^'\n]+)*)\1(?!')")
 _ATX = re.compile(r"^ {0,3}(#{1,6})(?:[ \t]+(.*?))?(?:[ \t]+#+)?[ \t]*$")
 _SETEXT = re.compile(r"^ {0,3}(=+|-{2,})[ \t]*$")
@@ -62,13 +69,18 @@ _ITEM = re.compile(r"^([ \t]*)([-*+]|\d{1,9}[.)])[ \t]+(.*)$")
 _TASK = re.compile(r"^\[[ xX]\][ \t]+")
 _QUOTE = re.compile(r"^ {0,3}>[ \t]?(.*)$")
 _DELIMITER = re.compile(r"^ {0,3}\|?[ \t]*:?-+:?[ \t]*(?:\|[ \t]*:?-+:?[ \t]*)*\|?[ \t]*$")
-_MD_LINK = re.compile(r"(!?)\[([^\[\]\n]{0,500})\]\(([^()\s]{0,1000}(?:\([^()\s]{0,200}\)[^()\s]{0,200})?)(?:[ \t]+(?:\"[^\"\n]*\"|'[^'\n]*'))?\)")
+_MD_LINK = re.compile(r"(!?)\[([^\[\]]*)\]\(([^()\s]*(?:\([^()\s]*\)[^()\s]*)?)(?:\s+(?:\"[^\"()]*\"|'[^'()]*'|\"[^\"\n]*\"|'[^'\n]*'))?\)")
 _MD_REF = re.compile(r"\[([^\[\]\n]{1,300})\]\[([^\[\]\n]{0,100})\]|\[\^([^\[\]\s]{1,50})\]:?")
 _MD_DEF = re.compile(r"^ {0,3}\[[^\[\]\n]{1,300}\]:[ \t]*\S+")
-_AUTOLINK = re.compile(r"<((?:https?|ftp|mailto):[^\s<>]{1,1000})>")
-_MD_STRONG = re.compile(r"(?<![\\*])(\*{1,3})(?![\s*])([^*\n]{1,1000}?)(?<![\s*\\])\1(?!\*)|(?<![\w\\])(_{1,3})(?![\s_])([^_\n]+(?:_[^_\n]+)*?)(?<![\s_])\3(?!\w)|(?<!~)~~(?![\s~])([^~\n]{1,1000}?)(?<![\s~])~~(?!~)")
+_AUTOLINK = re.compile(r"<((?:https?|ftp|mailto):[^\s<>]+)>")
+_MD_STRONG = re.compile(r"(?<![\\*])(\*{1,3})(?![\s*])([^*]+?)(?<![\s*\\])\1(?!\*)|(?<![\w\\])(_{1,3})(?![\s_])([^_\n]+(?:_[^_\n]+)*?)(?<![\s_])\3(?!\w)|(?<!~)~~(?![\s~])([^~]+?)(?<![\s~])~~(?!~)")
 
 
+#: Constructs that may wrap, and lines that begin another block, so that none wraps into them.
+_WRAPPING = (_MATHS, re.compile(r"<[A-Za-z/][^<>]*>"), _WIKI_LINK, _MD_LINK, re.compile(r"(?<![\\*])(\*{1,3})(?![\s*])([^*]+?)(?<![\s*\\])\1(?!\*)|(?<!~)~~(?![\s~])([^~]+?)(?<![\s~])~~(?!~)|(?<![\w\\_])(_{1,3})(?![\s_])([^_]+?)(?<![\s_])\4(?!\w)"))
+_NEW_BLOCK = re.compile(r"\n(?:[ \t]*(?:[-*+][ \t]|\d{1,9}[.)][ \t]|#{1,6}[ \t]|[>|]|={2,}|-{2,}|\n|\ue000\d+\ue001[ \t]*(?:\n|\Z))| {4}|\t)")
+#: Commands whose first argument is a setting of the text in their last.
+_STYLED = {"textcolor", "colorbox", "fontsize", "scalebox"}
 #: Elements and arguments are nested so deep at most.
 _DEEPEST = 100
 
@@ -165,7 +177,7 @@ class Scanner:
         text = text.replace("\ue000", "").replace("\ue001", "")
         if "`" in text:
             text = self.code_spans(text, hold)
-        text = self.regions(text, hold)
+        text = self.unwrapped(self.regions(text, hold), hold)
         self.lines(text.split("\n"), held)
 
     def code_spans(self, text: str, hold) -> str:
@@ -191,6 +203,21 @@ class Scanner:
             out.append(part[at:])
         return "".join(out)
 
+    def unwrapped(self, text: str, hold) -> str:
+        """Inline constructs that wrap within their paragraph on one line; formulas are held as they stand."""
+        for pattern in _WRAPPING:
+
+            def join(m: re.Match, pattern=pattern) -> str:
+                if "\n" not in m[0] or _NEW_BLOCK.search(m[0]):
+                    return m[0]
+                if pattern is _MATHS:
+                    self.families.add("latex")
+                    return hold("code", m[0])
+                return re.sub(r"[ \t]*\n[ \t]*", " ", m[0])
+
+            text = pattern.sub(join, text)
+        return text
+
     def regions(self, text: str, hold) -> str:
         """Constructs over several lines, found by their ends."""
         out, at, gone, templates = [], 0, set(), self.templates(text) if "{{" in text else {}
@@ -203,9 +230,12 @@ class Scanner:
             else:
                 closer, kind = {"<!--": ("-->", "html:"), "$$": ("$$", "latex:math"), "\\[": ("\\]", "latex:math"), "\\(": ("\\)", "latex:formula"), "{|": ("\n|}", "wiki:table")}.get(opener, ("", ""))
                 if m[1]:
+                    closer, kind = f"\\end{{{m[1]}}}", "latex:pre" if m[1] in _VERBATIM else "latex:math"
                     if m[1] not in _MATH and m[1] not in _VERBATIM:
-                        continue
-                    closer, kind = f"\\end{{{m[1]}}}", "latex:math" if m[1] in _MATH else "latex:pre"
+                        inner = text.find("\\begin{", m.end())
+                        end = -1 if m[1] in _TEXTUAL else text.find(closer, m.end(), inner if inner >= 0 else len(text))
+                        if end < 0 or not _MATHLIKE.search(_FORMULAS.sub("", text[m.end() : end])):
+                            continue
                 elif m[2]:
                     closer, kind = f"</{m[2].lower()}>", "html:pre" if m[2].lower() == "pre" else "html:plain" if m[2].lower() == "nowiki" else "html:"
                 if closer in gone:
@@ -477,6 +507,9 @@ class Scanner:
                 out.append(arguments[1])
             elif name in _LATEX_MUTE or name in ("begin", "end"):
                 pass
+            elif len(arguments) > 1 and name not in _STYLED:
+                held.append(("code", s[m.start() : at]))  # which argument is the text is not known
+                out.append(f"\ue000{len(held) - 1}\ue001")
             elif arguments:
                 out.append(self.latex(arguments[-1], held, depth + 1) if depth < _DEEPEST // 5 else arguments[-1])
             elif name in _COMMANDS:

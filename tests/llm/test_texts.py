@@ -185,3 +185,20 @@ def test_stray_braces_hide_no_template():
     assert families == {"wiki"} and text == "a {{ stray, then and end"
     assert markup.render("}} {{x}} y")[0] == "}} y"
     assert markup.render("{{ " * 20000)[1] == set() and markup.render("{{ " * 20000 + "{{x}}")[1] == {"wiki"}
+
+
+def test_formulas_are_kept_whole():
+    for formula in ("$a +\n\\frac{a}{b}$", "$" + "x + " * 200 + "\\frac{a}{b}$", "\\begin{aligned}\n\\frac{a}{b} &= c\n\\end{aligned}", "\\begin{own}\n\\frac{a}{b} = x^2\n\\end{own}"):
+        text, families = markup.render(f"see {formula} here")
+        assert formula in text and families == {"latex"}
+    assert markup.render("so \\frac{a}{b} is")[0] == "so \\frac{a}{b} is"
+
+
+def test_inline_markup_wraps_and_has_any_length():
+    assert markup.render("a [long\nlink](u.md) b") == ("a long link b", {"markdown"})
+    assert markup.render("a **bold\ntext** b ~~x\ny~~") == ("a bold text b x y", {"markdown"})
+    assert markup.render('a <span\n class="x"\n id="z">y</span> b') == ("a y b", {"html"})
+    assert markup.render("a [[Note|two\nwords]] b") == ("a two words b", {"wiki"})
+    assert markup.render("![i](data:image/png;base64," + "A" * 5000 + ") b") == ("i b", {"markdown"})
+    assert markup.render("**" + "x " * 900 + "y** b")[1] == {"markdown"}
+    assert markup.render("- it costs *a\n- b* c")[0] == "- it costs *a\n- b* c"
