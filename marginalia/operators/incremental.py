@@ -114,7 +114,7 @@ class Ledger:
         """
         number, last = self._latest()
         done = IntervalSet(tuple(x) for x in last["intervals"])
-        gaps = (available or intervals_of(source, seq)).subtract(done)
+        gaps = (intervals_of(source, seq) if available is None else available).subtract(done)
         if not gaps:
             return gaps
         folder = uuid.uuid4().hex

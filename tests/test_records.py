@@ -135,6 +135,13 @@ def test_ledger_refuses_a_second_commit_of_the_same_number(spark, tmp_path):
     assert a.output().count() == 1
 
 
+def test_ledger_with_nothing_available_processes_nothing(spark, tmp_path):
+    source = spark.createDataFrame([(1, 1)], "id int, seq int")
+    ledger = incremental.Ledger(spark, str(tmp_path / "ledger"))
+    assert not ledger.run(source, "seq", lambda x: x, incremental.IntervalSet([])) and ledger.output() is None
+    assert ledger.run(source, "seq", lambda x: x).intervals == ((1, 1),)
+
+
 def test_unprocessed(spark):
     files = spark.createDataFrame([("a.md", 5, T, None, "x"), ("b.md", 6, T, None, "x"), ("c.pdf", 7, T, None, "x"), ("d.pdf", 8, T, None, "x"), ("e.pdf", 8, T, T, "x"), ("f.md", None, T, None, "x")], FILE)
     chunks = spark.createDataFrame([chunk("a::0", "a.md", None, "hello", 5, 1), chunk("a::0", "a.md", None, "hello", 5, 1), chunk("b::0", "b.md", None, "x", 6, 2), chunk("n::0", "n.md", None, None)], CHUNK)
