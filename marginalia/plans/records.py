@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from marginalia.operators import incremental, orphans
 from marginalia.plans import sqlparts as S
-from marginalia.session import table
+from marginalia.session import scratch_dir, table
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -21,7 +24,17 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return incremental.unprocessed(*(table(spark, d, t) for t in ("vault_files", "chunks", "cache_entries", "vectors", "index_runs")))
 
 
-QUERIES = {"p2_found": p2_found, "p2_report": p2_report, "p7_found": p7_found}
+def p7_ledger(spark: SparkSession, d: str) -> DataFrame:
+    """The chunk rows of all runs through a ledger: some runs arrive late, one attempt dies before its commit, each comes out once."""
+    rows = table(spark, d, "chunks").select("chunk_id", "run_id")
+    early = incremental.intervals_of(rows.where(F.col("run_id") % 5 != 2), "run_id")
+    upto = incremental.intervals_of(rows, "run_id")
+    steps = [(early, upto, False), (None, upto, True), (None, upto, False), (None, None, False)]
+    out = incremental.replayed(rows, "run_id", f"{scratch_dir(spark)}/ledger-{uuid.uuid4().hex}", steps)
+    return out.groupBy("run_id").agg(F.count("*").alias("chunk_rows"), F.countDistinct("chunk_id").alias("chunks"))
+
+
+QUERIES = {"p2_found": p2_found, "p2_report": p2_report, "p7_found": p7_found, "p7_ledger": p7_ledger}
 _REFS = f"""{S.FILE_STATES},
   parents AS (SELECT 'l:' || {S.link_key('path')} AS key, live, first_listed FROM states UNION ALL SELECT 'n:' || path, live, first_listed FROM states),
   keys AS (SELECT key, bool_or(live) AS live, min(CASE WHEN live THEN first_listed END) AS first_listed FROM parents GROUP BY key),
@@ -33,6 +46,7 @@ _REFS = f"""{S.FILE_STATES},
 SQL = {
     "p2_found": f"WITH {_REFS} SELECT ref_field, chunk_id, ref, reason, period FROM found",
     "p2_report": f"WITH {_REFS} SELECT ref_field, period, reason, count(*) AS orphans, count(DISTINCT chunk_id) AS chunks FROM found GROUP BY ALL",
+    "p7_ledger": "SELECT run_id, count(*) AS chunk_rows, count(DISTINCT chunk_id) AS chunks FROM chunks WHERE run_id IS NOT NULL GROUP BY run_id",
     "p7_found": f"""WITH {S.FILE_STATES}, ok AS (SELECT run_id FROM index_runs WHERE status = 'succeeded'), live AS (SELECT path, mtime FROM states WHERE live)
         SELECT 'note' AS kind, path AS record_key FROM live l WHERE path LIKE '%.md' AND NOT EXISTS (SELECT 1 FROM chunks c JOIN ok USING (run_id) WHERE c.note_path = l.path AND c.mtime = l.mtime)
         UNION ALL SELECT 'attachment', path FROM live l WHERE path NOT LIKE '%.md' AND NOT EXISTS (SELECT 1 FROM cache_entries c JOIN ok USING (run_id) WHERE c.path = l.path AND c.mtime = l.mtime)

@@ -142,6 +142,46 @@ def test_ledger_with_nothing_available_processes_nothing(spark, tmp_path):
     assert ledger.run(source, "seq", lambda x: x).intervals == ((1, 1),)
 
 
+def test_ledger_keeps_numbers_without_rows_as_gaps(spark, tmp_path):
+    """A number that is said to be available but arrives later is processed when it is there, once."""
+    source = spark.createDataFrame([(i, i) for i in range(6)], "id int, seq int")
+    ledger = incremental.Ledger(spark, str(tmp_path / "ledger"))
+    told = incremental.IntervalSet([(0, 5)])
+    assert ledger.run(source.where("seq <> 2"), "seq", lambda x: x, told).intervals == ((0, 1), (3, 5))
+    assert not ledger.run(source.where("seq <> 2"), "seq", lambda x: x, told)
+    assert ledger.run(source, "seq", lambda x: x, told).intervals == ((2, 2),)
+    assert sorted(r[0] for r in ledger.output().collect()) == list(range(6))
+
+
+def test_replayed_runs_with_late_numbers_and_a_death(spark, tmp_path):
+    source = spark.createDataFrame([(i, i % 4) for i in range(12)] + [(99, None)], "id int, seq int")
+    early = incremental.IntervalSet([(0, 1), (3, 3)])
+    out = incremental.replayed(source, "seq", str(tmp_path / "ledger"), [(early, incremental.IntervalSet([(0, 3)]), False), (None, None, True), (None, None, False), (None, None, False)])
+    assert sorted(r["id"] for r in out.collect()) == list(range(12))
+
+
+def test_rows_of_many_intervals(spark):
+    some = incremental.IntervalSet((3 * i, 3 * i + (i % 2)) for i in range(400))
+    df = spark.range(2000).selectExpr("id AS s", "'x' AS lo").union(spark.createDataFrame([(None, "n")], "s long, lo string"))
+    want = {v for lo, hi in some.intervals for v in range(lo, hi + 1)}
+    assert {r["s"] for r in some.rows_of(df, "s").collect()} == want
+
+
+def test_a_kept_ledger_reads_only_new_runs(spark, tmp_path):
+    files = spark.createDataFrame([("a.md", 5, T, None, "x"), ("b.md", 6, T, None, "x")], FILE)
+    chunks = spark.createDataFrame([chunk("a::0", "a.md", None, "hello", 5, 1), chunk("b::0", "b.md", None, "x", 6, 2)], CHUNK)
+    cache = spark.createDataFrame([], "path string, mtime bigint, run_id int")
+    vectors = spark.createDataFrame([("a::0", "5d41402abc4b2a76", 1)], "chunk_id string, h string, run_id int")
+
+    def left(*succeeded):
+        runs = spark.createDataFrame([(n, "succeeded") for n in succeeded], "run_id int, status string")
+        return {r["record_key"] for r in incremental.unprocessed(files, chunks, cache, vectors, runs, str(tmp_path / "ledger")).collect()}
+
+    assert left(2) == {"a.md", "a::0", "b::0"}
+    assert left(1, 2) == {"b::0"}  # run 1 succeeds later than run 2
+    assert incremental.Ledger(spark, str(tmp_path / "ledger")).processed().intervals == ((1, 2),)
+
+
 def test_unprocessed(spark):
     files = spark.createDataFrame([("a.md", 5, T, None, "x"), ("b.md", 6, T, None, "x"), ("c.pdf", 7, T, None, "x"), ("d.pdf", 8, T, None, "x"), ("e.pdf", 8, T, T, "x"), ("f.md", None, T, None, "x")], FILE)
     chunks = spark.createDataFrame([chunk("a::0", "a.md", None, "hello", 5, 1), chunk("a::0", "a.md", None, "hello", 5, 1), chunk("b::0", "b.md", None, "x", 6, 2), chunk("n::0", "n.md", None, None)], CHUNK)
