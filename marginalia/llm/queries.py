@@ -72,6 +72,13 @@ def p6_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_pieces(table(spark, d, "chunks"))
 
 
+def p6_coverage(spark: SparkSession, d: str) -> DataFrame:
+    """Per oversized chunk: characters (white space aside) in the own texts of its pieces, pieces over the limit, where it was cut."""
+    pieces = splitting.split_pieces(table(spark, d, "chunks"))
+    own = F.length(F.regexp_replace(F.expr("substr(piece, lap + 1)"), "[ \t\r\n]++", ""))
+    return pieces.groupBy("chunk_id", "cut_at").agg(F.sum(own).alias("covered"), F.sum((F.length("piece") > splitting.LIMIT).cast("int")).alias("over"))
+
+
 def p8_leaks(spark: SparkSession, d: str) -> DataFrame:
     return evalleak.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
@@ -100,7 +107,7 @@ def p10_kept(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        p1_found, p1_clean, p3_found, p3_scores, p4_found, p4_neighbors, p4_search, p5_found, p5_classes, p6_found, p6_pieces, p8_found, p8_leaks, p9_found, p9_mix, p9_plan, p9_shares, p10_found, p10_shared, p10_kept,
+        p1_found, p1_clean, p3_found, p3_scores, p4_found, p4_neighbors, p4_search, p5_found, p5_classes, p6_found, p6_pieces, p6_coverage, p8_found, p8_leaks, p9_found, p9_mix, p9_plan, p9_shares, p10_found, p10_shared, p10_kept,
     )
 }
 
@@ -114,13 +121,16 @@ _PLAN = f"""sizes AS (SELECT source, sum(coalesce({_WS_TOKENS}, 0)) AS tokens FR
   known AS (SELECT t.source, target_share, max_repeats, coalesce(tokens, 0)::BIGINT AS tokens FROM mix_targets t LEFT JOIN sizes s ON s.source = t.source),
   plan AS (SELECT *, target_share * sum(tokens) OVER () AS wanted FROM known)"""
 
+_CUT = f"""t AS (SELECT DISTINCT chunk_id, trim(text, {_BLANK}) AS t FROM chunks WHERE chunk_id IS NOT NULL), big AS (SELECT * FROM t WHERE length(t) > 2000),
+  m AS (SELECT chunk_id, t, list_max(list_transform(regexp_split_to_array(t, '\\n(?:[ \\t\\r]*\\n)+'), lambda x: length(x))) AS p, list_max(list_transform(string_split(t, chr(10)), lambda x: length(x))) AS l, list_max(list_transform(regexp_split_to_array(t, '[ \\t\\r\\n]+'), lambda x: length(x))) AS w FROM big),
+  cut AS (SELECT chunk_id, t, CASE WHEN p <= 2000 THEN 'paragraph' WHEN l <= 2000 THEN 'line' WHEN w <= 2000 THEN 'word' ELSE 'none' END AS cut_at FROM m)"""
+
 SQL: dict[str, str] = {
     "p3_found": f"WITH {_TERMS} SELECT chunk_id, term FROM joint JOIN marginal USING (term) WHERE n >= 3 AND records BETWEEN 2 AND 6",
     "p3_scores": f"""WITH {_TERMS}, z AS (SELECT sum(len(terms) ** 0.75) AS z FROM bags WHERE len(terms) > 0)
         SELECT j.chunk_id, term, n, records, round(greatest(0, log2(n * z / (term_n * len(terms) ** 0.75))), 6) AS ppmi FROM joint j JOIN marginal USING (term) JOIN bags b ON b.chunk_id = j.chunk_id CROSS JOIN z""",
-    "p6_found": f"""WITH t AS (SELECT DISTINCT chunk_id, trim(text, {_BLANK}) AS t FROM chunks), big AS (SELECT * FROM t WHERE length(t) > 2000),
-        m AS (SELECT chunk_id, list_max(list_transform(regexp_split_to_array(t, '\\n(?:[ \\t\\r]*\\n)+'), lambda x: length(x))) AS p, list_max(list_transform(string_split(t, chr(10)), lambda x: length(x))) AS l, list_max(list_transform(regexp_split_to_array(t, '[ \\t\\r\\n]+'), lambda x: length(x))) AS w FROM big)
-        SELECT chunk_id, CASE WHEN p <= 2000 THEN 'paragraph' WHEN l <= 2000 THEN 'line' WHEN w <= 2000 THEN 'word' ELSE 'none' END AS cut_at FROM m""",
+    "p6_found": f"WITH {_CUT} SELECT chunk_id, cut_at FROM cut",
+    "p6_coverage": f"WITH {_CUT} SELECT chunk_id, cut_at, sum(length(regexp_replace(t, '[ \\t\\r\\n]+', '', 'g')))::BIGINT AS covered, 0 AS over FROM cut GROUP BY chunk_id, cut_at",
     "p9_found": f"WITH {_PLAN} SELECT source FROM plan WHERE tokens * max_repeats < wanted",
     "p9_plan": f"WITH {_PLAN} SELECT source, tokens, tokens * max_repeats < wanted AS capped, round(wanted, 3) AS wanted, round(CASE WHEN tokens > 0 THEN least(max_repeats, wanted / tokens) ELSE 0 END, 6) AS rate FROM plan",
 }

@@ -4,6 +4,7 @@ import collections
 import math
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -93,22 +94,74 @@ def test_pieces(spark):
         got[r["chunk_id"]].append(r)
     assert set(got) == {"words", "paras", "none", "cjk", "crlf", "emoji", "long"}
     for k, pieces in got.items():
-        body, text, at = texts[k].strip(" \t\r\n"), "", 0
-        for i, r in enumerate(pieces):
-            assert r["piece_no"] == i and len(r["piece"]) <= 2000 and r["heading_path"] == ["H"]
-            lap = min(150, len(text))
-            assert r["piece"][:lap] == text[len(text) - lap :]
-            lead = texts[k].index(body)
-            assert r["start_line"] == 10 + texts[k][: lead + len(text)].count("\n")
-            text += r["piece"][lap:]
-        assert text == body
+        assert_pieces(texts[k], pieces, 2000, 150, 10)
+        assert all(r["heading_path"] == ["H"] for r in pieces)
     assert {k: v[0]["cut_at"] for k, v in got.items()} == {"words": "word", "paras": "paragraph", "none": "none", "cjk": "none", "crlf": "paragraph", "emoji": "word", "long": "line"}
-    assert all(r["piece"].endswith(("\n",)) for r in got["paras"][:-1])
     assert splitting.split_pieces(df.limit(0)).count() == 0
     with pytest.raises(ValueError):
         splitting.split_pieces(df, 100, 100)
 
 
+def assert_pieces(text, pieces, limit, overlap, first_line):
+    """Pieces within the limit, each its overlap and its own text, in order, with nothing but white space between the own texts."""
+    body, at = text.strip(" \t\r\n"), 0
+    lead = text.index(body)
+    for i, r in enumerate(pieces):
+        own = r["piece"][r["lap"] :]
+        assert r["piece_no"] == i and len(r["piece"]) <= limit and own.strip()
+        start = at
+        while not body.startswith(own, start):
+            assert body[start] in " \t\r\n"
+            start += 1
+        assert r["lap"] == min(overlap, start, limit - len(own)) and r["piece"][: r["lap"]] == body[start - r["lap"] : start]
+        assert r["start_line"] == first_line + text[: lead + start].count("\n")
+        at = start + len(own)
+    assert at == len(body)
+
+
+def level_of(body, limit):
+    """The definition, in plain Python."""
+    for name, pattern in (("paragraph", r"\n(?:[ \t\r]*\n)+"), ("line", r"\n"), ("word", r"[ \t\r\n]+")):
+        if max(map(len, re.split(pattern, body))) <= limit:
+            return name
+    return "none"
+
+
+def test_pieces_of_random_texts_are_whole_and_cut_as_defined(spark):
+    rng = random.Random(5)
+    texts = {}
+    for i in range(1500):
+        marks = rng.choice(["a.", "ab \n", "a \n\n", "abc \t\n\n", "é.\n \t\r"])
+        texts[f"t{i}"] = "".join(rng.choice(marks) * rng.choice([1, 1, 1, 2, 5, 19, 20, 21]) for _ in range(rng.randrange(1, 40)))
+    rows = [(k, [], 0, t, "", "") for k, t in texts.items()]
+    df = chunks(spark, rows)
+    got = collections.defaultdict(list)
+    for r in splitting.split_pieces(df, 20, 6).orderBy("chunk_id", "piece_no").collect():
+        got[r["chunk_id"]].append(r)
+    assert set(got) == {k for k, t in texts.items() if len(t.strip(" \t\r\n")) > 20}
+    for k, pieces in got.items():
+        assert_pieces(texts[k], pieces, 20, 6, 0)
+        assert {r["cut_at"] for r in pieces} == {level_of(texts[k].strip(" \t\r\n"), 20)}, texts[k]
+    levels = splitting.oversized(df, 20).select("chunk_id", splitting.cut_level(F.col("body"), 20).alias("l")).collect()
+    assert {r["chunk_id"]: r["l"] for r in levels} == {k: v[0]["cut_at"] for k, v in got.items()}
+
+
+def test_paragraphs_that_fit_stay_whole(spark):
+    paragraphs = [" ".join(["word"] * 389) + " end." for _ in range(3)]
+    paragraphs = [p[:1945].strip() + " end." for p in paragraphs]
+    got = splitting.split_pieces(chunks(spark, [("c", [], 0, "\n\n".join(paragraphs), "", "")])).orderBy("piece_no").collect()
+    assert [r["piece"][r["lap"] :] for r in got] == paragraphs and {r["cut_at"] for r in got} == {"paragraph"}
+
+
+def test_very_long_text_takes_linear_time(spark):
+    text = "\n\n".join("Sentence number one is here. And then another follows it, twice as long as that. " * 8 for _ in range(6000))
+    began = time.time()
+    rows = splitting.split_pieces(chunks(spark, [("c", [], 0, text, "", "")])).select("piece_no", F.length("piece").alias("n")).collect()
+    assert len(rows) > 2000 and max(r["n"] for r in rows) <= 2000 and time.time() - began < 30
+    blank = "x\n" + "\n" * 200_000 + "y" * 3000
+    assert [r["cut_at"] for r in splitting.split_pieces(chunks(spark, [("b", [], 0, blank, "", "")])).collect()][0] == "none"
+
+
 def test_ppmi_equals_brute_force(spark):
     rng = random.Random(4)
     words = ["alpha", "Bravo", "charlie", "élève", "delta", "tiny"]
