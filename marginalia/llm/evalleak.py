@@ -7,11 +7,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from marginalia.operators import bloom
+from marginalia.operators.skew import lookup
 from marginalia.session import materialize
 
 #: Words of a seed, and words of the stretch within which the rarest seed is kept.
@@ -19,8 +21,13 @@ GRAM = 5
 STRETCH = 20
 #: Scores of the alignment: equal word, other word, gap.
 MATCH, MISMATCH, GAP = 2, -1, -1
-#: Seeds are broadcast in blocks of so many (8 bytes each).
-SEEDS_PER_PASS = 4_000_000
+#: The filter of the items' n-grams that every task holds has so many bits an n-gram, and at most 2**29 (64 MB); the fuller it
+#: is, the more n-grams are looked up in vain.
+BITS_PER_GRAM, HASHES, MOST_BITS = 16, 4, 29
+#: Distinct n-grams up to which they are joined by broadcast (8 bytes each), else by shuffle.
+MOST_BROADCAST_GRAMS = 1_000_000
+#: Cells of one step of an alignment, and of all its steps, that are held at once.
+_WIDE, _LONG = 1 << 16, 1 << 23
 _WORD = re.compile(r"[^\W_]+")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -32,8 +39,6 @@ def words(text: str | None) -> list[str]:
 
 def _word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of the texts on end, and where each text begins (one more entry at the end)."""
-    import xxhash
-
     seen: dict[str, int] = {}
     codes: list[int] = []
     starts = [0]
@@ -75,37 +80,59 @@ def item_grams(items: DataFrame, n: int = GRAM) -> DataFrame:
     return texts.mapInArrow(cut, "item_id long, copy long, gram long, pos int").distinct()
 
 
+def _bit_place(grams: np.ndarray, log: int, i: int) -> np.ndarray:
+    """The i-th bit of each n-gram in a filter of 2**log bits."""
+    g = grams.view(np.uint64)
+    with np.errstate(over="ignore"):
+        mixed = (g ^ (g >> np.uint64(33 + i))) * np.uint64((2 * i + 1) * 0x9E3779B97F4A7C15 % (1 << 64))
+    return (mixed >> np.uint64(64 - log)).view(np.int64)
+
+
+def gram_filter(grams: DataFrame, count: int) -> tuple[np.ndarray, int]:
+    """A Bloom filter of the column ``gram`` as bytes, and the logarithm of its bits. Its blocks are made where the n-grams lie;
+    only they reach the driver, and their number is bounded by MOST_BITS whatever the number of n-grams."""
+    log = min(MOST_BITS, max(15, int(count * BITS_PER_GRAM).bit_length()))
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = np.unique([_bit_place(b.column(0).to_numpy(), log, i) for i in range(HASHES)])
+            yield pa.record_batch([pa.array(at >> 15), pa.array(at & 32767)], names=["block", "bit"])
+
+    blocks = grams.select("gram").mapInArrow(places, "block long, bit long").groupBy("block").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    table = np.zeros((1 << log) // 8, np.uint8)
+    for r in blocks.toLocalIterator():
+        table[r["block"] * 4096 : (r["block"] + 1) * 4096] = np.frombuffer(bytes(r["bits"]), np.uint8)
+    return table, log
+
+
 def gram_hits(documents: DataFrame, grams: DataFrame, n: int = GRAM) -> DataFrame:
     """Which of the given n-grams stand in which document, each once a document: doc_id, gram.
 
-    The distinct n-grams of the test items go to every task as a sorted array, in passes of SEEDS_PER_PASS (32 MB); test
-    sets need one. Documents are read whole and never moved.
+    A Bloom filter of the given n-grams goes to every task (see :func:`gram_filter`), so documents are read once, whole, and
+    never moved; what passes is joined with the n-grams themselves, frequent ones by broadcast.
     """
-    spark = documents.sparkSession
-    distinct = np.sort(np.array([r[0] for r in grams.select("gram").distinct().toLocalIterator()], dtype=np.int64))
-    out = None
-    for i in range(0, max(1, len(distinct)), SEEDS_PER_PASS):
-        part = spark.sparkContext.broadcast(distinct[i : i + SEEDS_PER_PASS])
-
-        def scan(batches: Iterator[pa.RecordBatch], part=part) -> Iterator[pa.RecordBatch]:
-            wanted = part.value
-            low = np.unique(wanted & 0xFFFFFF)
-            table = np.zeros(1 << 24, dtype=bool)
-            table[low] = True
-            for b in batches:
-                h, owner, _ = gram_hashes(b.column(1).to_pylist(), n)
-                maybe = table[h & 0xFFFFFF]
-                h, owner = h[maybe], owner[maybe]
-                if len(wanted) and len(h):
-                    at = np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)
-                    real = wanted[at] == h
-                    h, owner = h[real], owner[real]
-                    pairs = np.unique(np.stack([owner, h]), axis=1) if len(h) else np.empty((2, 0), np.int64)
-                    yield pa.record_batch([b.column(0).take(pa.array(pairs[0])), pa.array(pairs[1])], names=["doc_id", "gram"])
-
-        hits = documents.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null").mapInArrow(scan, "doc_id long, gram long")
-        out = hits if out is None else out.unionByName(hits)
-    return out
+    distinct = materialize(grams.select("gram").distinct(), "distinct-grams")
+    count = distinct.count()
+    bits, log = gram_filter(distinct, count)
+    held = documents.sparkSession.sparkContext.broadcast(bits)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = held.value
+        for b in batches:
+            h, owner, _ = gram_hashes(b.column(1).to_pylist(), n)
+            if not len(h):
+                continue
+            for i in range(HASHES):
+                at = _bit_place(h, log, i)
+                real = (table[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
+                h, owner = h[real], owner[real]
+            pairs = np.unique(np.stack([owner, h]), axis=1) if len(h) else np.empty((2, 0), np.int64)
+            yield pa.record_batch([b.column(0).take(pa.array(pairs[0])), pa.array(pairs[1])], names=["doc_id", "gram"])
+
+    hits = documents.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null").mapInArrow(scan, "doc_id long, gram long")
+    if count <= MOST_BROADCAST_GRAMS:
+        return hits.join(F.broadcast(distinct), "gram", "left_semi").select("doc_id", "gram")
+    return lookup(materialize(hits, "filtered-grams"), distinct, "gram", "inner").select("doc_id", "gram")
 
 
 def rare_seeds(grams: DataFrame, hits: DataFrame, n: int = GRAM, stretch: int = STRETCH) -> DataFrame:
@@ -128,38 +155,78 @@ def rare_seeds(grams: DataFrame, hits: DataFrame, n: int = GRAM, stretch: int =
 
 def candidates(hits: DataFrame, grams: DataFrame, seeds: DataFrame, n: int = GRAM) -> DataFrame:
     """doc_id, item_id of the pairs to align: the document has the seed of a stretch that may have leaked whole, or, as an edited
-    copy has, any n-grams (rare or not) at two places of the item that do not overlap."""
-    known = grams.join(seeds.withColumn("whole", F.lit(True)), ["item_id", "copy", "gram", "pos"], "left")
-    met = hits.join(known, "gram").groupBy("doc_id", "item_id", "copy").agg(F.max("whole").alias("whole"), (F.max("pos") - F.min("pos") >= n).alias("apart"))
+    copy has, any n-grams (rare or not) at two places of the item that do not overlap; of an item too short for two, any."""
+    text = ["item_id", "copy"]
+    known = grams.join(seeds.withColumn("whole", F.lit(True)), [*text, "gram", "pos"], "left")
+    known = known.join(grams.groupBy(text).agg(F.max("pos").alias("last")), text)
+    met = hits.join(known, "gram").groupBy("doc_id", *text).agg(F.max("whole").alias("whole"), (F.max("pos") - F.min("pos") >= F.when(F.max("last") < n, 0).otherwise(n)).alias("apart"))
     return met.where("whole or apart").select("doc_id", "item_id").distinct()
 
 
+def mixed_grams(codes: np.ndarray, n: int = GRAM) -> np.ndarray:
+    """One number for each n-gram of word codes; equal n-grams have equal numbers."""
+    if len(codes) < n:
+        return np.empty(0, np.uint64)
+    with np.errstate(over="ignore"):
+        h = codes[: len(codes) - n + 1].astype(np.uint64)
+        for k in range(1, n):
+            h = h * _BASE + codes[k : len(codes) - n + 1 + k].astype(np.uint64)
+    return h
+
+
+def stretches(doc: np.ndarray, doc_grams: np.ndarray, size: int, item_grams: np.ndarray, n: int = GRAM) -> list[np.ndarray]:
+    """The parts of a document (word codes) that any alignment through an n-gram it shares with an item of ``size`` words can lie in.
+
+    A local alignment has at most ``size`` equal words, so it pays for at most MATCH times as many gaps and edits and reaches
+    no further than ``3 * size`` words from a shared n-gram. Shorter documents are one stretch."""
+    reach = 3 * size
+    if len(doc) <= reach + n or not len(item_grams):
+        return [doc]
+    some = np.sort(item_grams)
+    at = np.flatnonzero(some[np.minimum(np.searchsorted(some, doc_grams), len(some) - 1)] == doc_grams)
+    if not len(at):
+        return []
+    first = np.flatnonzero(np.append(True, np.diff(at) > 2 * reach + n))
+    last = np.append(first[1:], len(at)) - 1
+    return [doc[max(0, at[f] - reach) : at[z] + n + reach] for f, z in zip(first, last, strict=True)]
+
+
 def align(pairs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Smith-Waterman over words of many pairs at once: best score, longest run of equal words, item words aligned in all.
+    """Smith-Waterman over words of many pairs at once: best score, longest run of equal words, score as part of the item's.
 
-    All pairs advance together, one document word a step; gaps along the item are taken in doubled lengths.
+    All pairs advance together, one document word a step; gaps along the item are taken in doubled lengths. Words are
+    numbered anew for the group, words of documents that no item has are all one number.
     """
     k = len(pairs)
     rows, cols = max((len(a) for a, _ in pairs), default=0), max((len(b) for _, b in pairs), default=0)
     if not k or not rows or not cols:
         return np.zeros(k, np.int32), np.zeros(k, np.int32), np.zeros(k, np.float64)
-    kind = np.int16 if cols < 10_000 else np.int32  # scores are at most MATCH a word
-    A, B = np.zeros((rows, k), np.int32), np.full((cols, k), -1, np.int32)
+    known = np.unique(np.concatenate([b for _, b in pairs]))
+    kind = np.int16 if cols < 10_000 and len(known) < 32_000 else np.int32  # scores are at most MATCH a word
+    A, B = np.zeros((rows, k), kind), np.full((cols, k), -1, kind)
     for i, (a, b) in enumerate(pairs):
-        A[: len(a), i], B[: len(b), i] = a + 1, b + 1
-    H, R = np.zeros((cols + 1, k), kind), np.zeros((cols + 1, k), kind)
-    score, run, most = np.zeros_like(H), np.zeros_like(R), 0
+        at = np.minimum(np.searchsorted(known, a), len(known) - 1)
+        A[: len(a), i] = np.where(known[at] == a, at + 1, 0)
+        B[: len(b), i] = np.searchsorted(known, b) + 1
+    H, N, R, S = (np.zeros((cols + 1, k), kind) for _ in range(4))
+    score, run = np.zeros_like(H), np.zeros_like(H)
+    equal, cell, most = np.empty((cols, k), kind), np.empty((cols + 1, k), kind), 0
     for r in range(rows):
-        equal = A[r] == B
-        N = np.maximum(H + kind(GAP), kind(0))
-        np.maximum(N[1:], H[:-1] + (equal.view(np.int8) * np.int8(MATCH - MISMATCH) + np.int8(MISMATCH)), out=N[1:])
+        np.equal(A[r], B, out=equal, casting="unsafe")
+        np.add(H, kind(GAP), out=N)
+        np.maximum(N, kind(0), out=N)
+        np.multiply(equal, kind(MATCH - MISMATCH), out=cell[1:])
+        np.add(cell[1:], kind(MISMATCH), out=cell[1:])
+        np.add(cell[1:], H[:-1], out=cell[1:])
+        np.maximum(N[1:], cell[1:], out=N[1:])
         most, gap = int(score.max()) + MATCH if r % 16 == 0 else most + MATCH, 1
         while gap <= cols and gap * -GAP < most:  # a longer gap leaves nothing of the best score so far
-            N[gap:] = np.maximum(N[gap:], N[:-gap] + kind(gap * GAP))
+            np.add(N[:-gap], kind(gap * GAP), out=cell[gap:])
+            np.maximum(N[gap:], cell[gap:], out=N[gap:])
             gap *= 2
-        S = np.zeros_like(R)
-        np.multiply(R[:-1] + kind(1), equal, out=S[1:])
-        H, R = N, S
+        np.add(R[:-1], kind(1), out=S[1:])
+        np.multiply(S[1:], equal, out=S[1:])
+        H, N, R, S = N, H, S, R
         np.maximum(score, H, out=score)
         np.maximum(run, R, out=run)
     score, run = score.max(axis=0).astype(np.int32), run.max(axis=0).astype(np.int32)
@@ -167,13 +234,44 @@ def align(pairs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.nd
     return score, run, score / (MATCH * length)
 
 
+def _scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """item_id, doc_id, text, item_text: the best values of every pair; what is held at once is bounded however long the texts."""
+    for b in batches:
+        code: dict[str, int] = {}
+        coded: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+        todo = []
+        for i, pair in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)):
+            for t in pair:
+                if t not in coded:
+                    c = np.array([code.setdefault(w, len(code)) for w in words(t)], np.int64)
+                    coded[t] = c, mixed_grams(c)
+            (doc, seen), (item, own) = coded[pair[0]], coded[pair[1]]
+            todo += [(i, part, item) for part in stretches(doc, seen, len(item), own)]
+        todo.sort(key=lambda x: (len(x[2]), len(x[1])))
+        out, group, wide, long = np.zeros((3, b.num_rows)), [], 0, 0
+        for x in [*todo, None]:
+            if x is None or (group and (wide + len(x[2]) > _WIDE or (len(group) + 1) * max(long, len(x[1])) > _LONG)):
+                at = [i for i, _, _ in group]
+                for row, values in zip(out, align([(d, t) for _, d, t in group]), strict=True):
+                    np.maximum.at(row, at, values)
+                group, wide, long = [], 0, 0
+            if x is not None:
+                group.append(x)
+                wide, long = wide + len(x[2]), max(long, len(x[1]))
+        yield pa.record_batch(
+            [b.column(0), b.column(1), pa.array(out[0].astype(np.int32)), pa.array(out[1].astype(np.int32)), pa.array(out[2])],
+            names=["item_id", "doc_id", "score", "run", "part"],
+        )
+
+
 def leaks(documents: DataFrame, items: DataFrame, n: int = GRAM, stretch: int = STRETCH, edited: bool = True) -> DataFrame:
     """Documents that hold passages of test items: item_id, doc_id, score, run, part.
 
     ``score`` is the best local alignment of their words (edited and paraphrased copies included), ``run`` the longest run
     of consecutive equal words, ``part`` the score as a part of that of the whole item. Pairs are found by
     n-grams (see :func:`rare_seeds` and :func:`candidates`). Texts without words leak nothing and null ids are left out; of
-    repeated ids each text counts and the best values are given. Every text is compared whole. Without ``edited`` only pairs
+    repeated ids each text counts and the best values are given. Texts are compared wherever an alignment through a shared
+    n-gram can lie (see :func:`stretches`). Without ``edited`` only pairs
     that may share ``stretch`` consecutive words are compared: enough, and all, for runs of that length.
     """
     grams = materialize(item_grams(items, n), "item-grams")
@@ -185,26 +283,5 @@ def leaks(documents: DataFrame, items: DataFrame, n: int = GRAM, stretch: int =
     near = bloom.build(pairs, "doc_id", pairs.count()).probe(documents.select(F.col("doc_id").cast("long"), "text"), "doc_id")
     texts = pairs.join(near.where("maybe").drop("maybe"), "doc_id").join(item_texts, "item_id")
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code: dict[str, int] = {}
-        for b in batches:
-            doc, item = ([np.array([code.setdefault(w, len(code)) for w in words(t)], np.int64) for t in b.column(c).to_pylist()] for c in (2, 3))
-            order = sorted(range(b.num_rows), key=lambda i: (len(item[i]), len(doc[i])))
-            out = np.zeros((3, b.num_rows))
-            cells = 0
-            group: list[int] = []
-            for i in [*order, None]:
-                if i is None or (group and cells + len(item[i]) > 65536):
-                    if group:
-                        out[:, group] = align([(doc[j], item[j]) for j in group])
-                    group, cells = [], 0
-                if i is not None:
-                    group.append(i)
-                    cells += len(item[i])
-            yield pa.record_batch(
-                [b.column(0), b.column(1), pa.array(out[0].astype(np.int32)), pa.array(out[1].astype(np.int32)), pa.array(out[2])],
-                names=["item_id", "doc_id", "score", "run", "part"],
-            )
-
-    scored = texts.select("item_id", "doc_id", "text", "item_text").mapInArrow(score, "item_id long, doc_id long, score int, run int, part double")
+    scored = texts.select("item_id", "doc_id", "text", "item_text").mapInArrow(_scored, "item_id long, doc_id long, score int, run int, part double")
     return scored.groupBy("item_id", "doc_id").agg(F.max("score").alias("score"), F.max("run").alias("run"), F.max("part").alias("part"))

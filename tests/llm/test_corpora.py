@@ -150,6 +150,47 @@ def test_edited_copy_is_found_beside_a_verbatim_one(spark):
     assert [r["run"] for r in evalleak.leaks(tail, it).collect()] == [20]
 
 
+def test_recall_of_planted_edited_copies(spark):
+    """Passages of 18 words and more with up to one edit in ten words, among documents that hold the items verbatim."""
+    rng = random.Random(8)
+    vocabulary = ["v%d" % i for i in range(3000)]
+    items = [[rng.choice(vocabulary) for _ in range(rng.choice([18, 24, 40, 90]))] for _ in range(60)]
+    docs, want = [], set()
+    for i, item in enumerate(items):
+        for n in (18, 24, len(item)):
+            copy = item[:n]
+            for j in rng.sample(range(len(copy)), max(1, len(copy) // 12)):
+                copy[j] = rng.choice(["edited", copy[j] + " added", ""])
+            around = [[rng.choice(vocabulary) for _ in range(rng.choice([0, 30, 900]))] for _ in range(2)]
+            want.add((i, len(docs)))
+            docs.append((len(docs), " ".join([*around[0], *copy, *around[1]])))
+        docs += [(len(docs) + k, " ".join(item)) for k in range(2)]
+    rows = evalleak.leaks(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id bigint, text string")).collect()
+    found = {(r["item_id"], r["doc_id"]): r["score"] for r in rows}
+    assert sum(p in found for p in want) >= 0.97 * len(want)
+    assert all(found[p] >= 18 for p in want if p in found)
+
+
+def test_alignment_in_stretches_equals_that_of_whole_texts():
+    rng = np.random.default_rng(3)
+    for _ in range(40):
+        item, doc = rng.integers(0, 60, 12), rng.integers(60, 90, 400)
+        for at in rng.choice(380, 2, replace=False):
+            doc[at : at + 8] = item[2:10]
+            doc[at + 3] = 99
+            doc[at + 8 : at + 13] = item[5:10]
+        parts = evalleak.stretches(doc, evalleak.mixed_grams(doc), len(item), evalleak.mixed_grams(item))
+        whole = evalleak.align([(doc, item)])
+        score, run, _ = evalleak.align([(p, item) for p in parts])
+        assert score.max() == whole[0][0] and run.max() == whole[1][0] and sum(map(len, parts)) < len(doc)
+
+
+def test_a_very_long_document_and_a_short_item_stay_small(spark):
+    text = " ".join("u%d" % (i % 5000) for i in range(400_000)) + " a1 a2 a3 a4 a5 a6"
+    rows = evalleak.leaks(spark.createDataFrame([(1, text)], "doc_id bigint, text string"), spark.createDataFrame([(1, "a1 a2 a3 a4 a5 a6"), (2, "a2 a3 a4 a5 z")], "item_id bigint, text string")).collect()
+    assert [(r["item_id"], r["run"]) for r in rows] == [(1, 6)]
+
+
 def _vectors(n=900, seed=1):
     rng = np.random.default_rng(seed)
     x = rng.standard_normal((n, 64)) @ np.diag(np.linspace(1, 0.2, 64))
