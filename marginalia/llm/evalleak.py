@@ -27,7 +27,7 @@ BITS_PER_GRAM, HASHES, MOST_BITS = 16, 4, 29
 #: Distinct n-grams up to which they are joined by broadcast (8 bytes each), else by shuffle.
 MOST_BROADCAST_GRAMS = 1_000_000
 #: Cells of one step of an alignment, and of all its steps, that are held at once.
-_WIDE, _LONG = 1 << 16, 1 << 23
+_WIDE, _LONG = 1 << 19, 1 << 24
 _WORD = re.compile(r"[^\W_]+")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -197,29 +197,38 @@ def align(pairs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.nd
     All pairs advance together, one document word a step; gaps along the item are taken in doubled lengths. Words are
     numbered anew for the group, words of documents that no item has are all one number.
     """
-    k = len(pairs)
-    rows, cols = max((len(a) for a, _ in pairs), default=0), max((len(b) for _, b in pairs), default=0)
-    if not k or not rows or not cols:
-        return np.zeros(k, np.int32), np.zeros(k, np.int32), np.zeros(k, np.float64)
-    known = np.unique(np.concatenate([b for _, b in pairs]))
+    total = len(pairs)
+    result = np.zeros(total, np.int32), np.zeros(total, np.int32)
+    length = np.array([max(1, len(b)) for _, b in pairs])
+    # the longest documents first: those that have ended stand behind the others and are left out of the steps
+    order = sorted((i for i, (a, b) in enumerate(pairs) if len(a) and len(b)), key=lambda i: -len(pairs[i][0]))
+    if not order:
+        return *result, np.zeros(total, np.float64)
+    k, rows, cols = len(order), len(pairs[order[0]][0]), max(len(pairs[i][1]) for i in order)
+    known = np.unique(np.concatenate([pairs[i][1] for i in order]))
     kind = np.int16 if cols < 10_000 and len(known) < 32_000 else np.int32  # scores are at most MATCH a word
     A, B = np.zeros((rows, k), kind), np.full((cols, k), -1, kind)
-    for i, (a, b) in enumerate(pairs):
+    ends = np.array([len(pairs[i][0]) for i in order])
+    for c, i in enumerate(order):
+        a, b = pairs[i]
         at = np.minimum(np.searchsorted(known, a), len(known) - 1)
-        A[: len(a), i] = np.where(known[at] == a, at + 1, 0)
-        B[: len(b), i] = np.searchsorted(known, b) + 1
-    H, N, R, S = (np.zeros((cols + 1, k), kind) for _ in range(4))
-    score, run = np.zeros_like(H), np.zeros_like(H)
-    equal, cell, most = np.empty((cols, k), kind), np.empty((cols + 1, k), kind), 0
+        A[: len(a), c] = np.where(known[at] == a, at + 1, 0)
+        B[: len(b), c] = np.searchsorted(known, b) + 1
+    H, N, R, S, score, run, cell = (np.zeros((cols + 1, k), kind) for _ in range(7))
+    equal, most, now = np.empty((cols, k), kind), 0, k
     for r in range(rows):
-        np.equal(A[r], B, out=equal, casting="unsafe")
+        if ends[now - 1] <= r:
+            now = int(np.searchsorted(-ends, -r))
+            H, N, R, S, cell, equal = (x[:, :now] for x in (H, N, R, S, cell, equal))
+        best, longest = score[:, :now], run[:, :now]
+        np.equal(A[r, :now], B[:, :now], out=equal, casting="unsafe")
         np.add(H, kind(GAP), out=N)
         np.maximum(N, kind(0), out=N)
         np.multiply(equal, kind(MATCH - MISMATCH), out=cell[1:])
         np.add(cell[1:], kind(MISMATCH), out=cell[1:])
         np.add(cell[1:], H[:-1], out=cell[1:])
         np.maximum(N[1:], cell[1:], out=N[1:])
-        most, gap = int(score.max()) + MATCH if r % 16 == 0 else most + MATCH, 1
+        most, gap = int(best.max()) + MATCH if r % 16 == 0 else most + MATCH, 1
         while gap <= cols and gap * -GAP < most:  # a longer gap leaves nothing of the best score so far
             np.add(N[:-gap], kind(gap * GAP), out=cell[gap:])
             np.maximum(N[gap:], cell[gap:], out=N[gap:])
@@ -227,11 +236,10 @@ def align(pairs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.nd
         np.add(R[:-1], kind(1), out=S[1:])
         np.multiply(S[1:], equal, out=S[1:])
         H, N, R, S = N, H, S, R
-        np.maximum(score, H, out=score)
-        np.maximum(run, R, out=run)
-    score, run = score.max(axis=0).astype(np.int32), run.max(axis=0).astype(np.int32)
-    length = np.array([max(1, len(b)) for _, b in pairs])
-    return score, run, score / (MATCH * length)
+        np.maximum(best, H, out=best)
+        np.maximum(longest, R, out=longest)
+    result[0][order], result[1][order] = score.max(axis=0), run.max(axis=0)
+    return *result, result[0] / (MATCH * length)
 
 
 def _scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -247,7 +255,7 @@ def _scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     coded[t] = c, mixed_grams(c)
             (doc, seen), (item, own) = coded[pair[0]], coded[pair[1]]
             todo += [(i, part, item) for part in stretches(doc, seen, len(item), own)]
-        todo.sort(key=lambda x: (len(x[2]), len(x[1])))
+        todo.sort(key=lambda x: len(x[2]))
         out, group, wide, long = np.zeros((3, b.num_rows)), [], 0, 0
         for x in [*todo, None]:
             if x is None or (group and (wide + len(x[2]) > _WIDE or (len(group) + 1) * max(long, len(x[1])) > _LONG)):
