@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from marginalia.operators.skew import lookup
 
-_FIELD = "[^:=;\\n{}\"]{1,80}?\\s*[:=]"
+_FIELD = "[^:=;\\n{}\"]++[:=]"
 _JSON = "map<string,string>"
 
 
@@ -31,11 +31,6 @@ def fields(content: Column) -> Column:
     return F.when(F.size(found) >= 2, found)
 
 
-def _listed(body: Column, separator: str) -> Column:
-    parts = F.filter(F.transform(F.split(body, separator), lambda p: F.btrim(p, F.lit(" \t "))), lambda p: p != "")
-    return F.when(F.forall(parts, lambda p: p.rlike(f"(?U)^{_FIELD}")), F.transform(parts, bare))
-
-
 def shapes(entries: DataFrame, key: str, text: str, *labels: str) -> tuple[DataFrame, DataFrame]:
     """(raw, forms): the distinct raw rows with key ``rep`` and copies; and each with its canonical ``label`` and ``form``."""
     names = [f"c{i}" for i in range(1 + len(labels))]
@@ -62,13 +57,13 @@ def classes(entries: DataFrame, key: str, text: str, *labels: str) -> DataFrame:
 
 
 def members(entries: DataFrame, key: str, text: str, *labels: str) -> DataFrame:
-    """The class of every record: first (the smallest key of the class) and the key column, each record once.
+    """The class of every record that has copies: first (the smallest key of the class) and the key column, each record once.
 
-    Only classes of several records are looked up; those rows meet their class on the raw columns, frequent ones by
+    Only classes of several records are looked up; their rows meet their class on the raw columns, frequent ones by
     broadcast (see :func:`marginalia.operators.skew.lookup`)."""
     raw, forms = shapes(entries, key, text, *labels)
     formed = forms.groupBy("label", "form").agg(F.min("rep").alias("first"), F.sum("copies").alias("n"))
-    reps = forms.select("rep", "label", "form").join(formed, ["label", "form"]).select("rep", "first", "n")
+    reps = forms.select("rep", "label", "form").join(formed.where("n > 1"), ["label", "form"]).select("rep", "first")
     names = [f"c{i}" for i in range(1 + len(labels))]
     fingerprint = F.sha2(F.to_json(F.struct(*[F.col(n) for n in names]), {"ignoreNullFields": "false"}), 256)
     known = raw.join(reps, "rep").select(fingerprint.alias("print"), "first")

@@ -1,10 +1,13 @@
-"""Long exact spans shared between records: sliding sentence spans, joined on their hashes, then compared exactly.
-
-From every sentence start a span slides over the following sentences and is cut at ``ANCHOR`` characters; its hash is the
-join key. A shared stretch of ``SPAN`` characters starts in mid-sentence as often as not, so whole sentences alone would miss
-some: where no sentence starts for ``REACH`` characters, a start is set by content (the smallest hash of eight characters in
-every window), which two texts with the same characters set alike. Hence each stretch of ``SPAN`` characters has a start in
-its first ``REACH`` characters, and with ``REACH + ANCHOR = SPAN`` the span from there lies inside it: no stretch is missed.
+"""Long exact spans shared between records: runs of consecutive sentences, hashed and joined; characters compared where runs differ.
+
+From every sentence start two spans slide over the following sentences: the run of the fewest whole sentences that make
+``SPAN`` characters, and its first ``ANCHOR`` characters. The anchor's hash is the join key, the run's hash decides: where all
+texts with an anchor have the same run, they share a stretch of ``SPAN`` characters, and nothing more is looked at. A shared
+stretch starts in mid-sentence as often as not, so whole sentences alone would miss some; where no sentence starts for
+``REACH`` characters, a start is set by content (the smallest hash of eight characters in every window), which two texts with
+the same characters set alike. Hence each stretch of ``SPAN`` characters has a start in its first ``REACH`` characters, and
+with ``REACH + ANCHOR = SPAN`` the anchor from there lies inside it. Texts with one anchor and different runs are compared
+character by character around it, so that no stretch is missed and none is invented.
 """
 
 from __future__ import annotations
@@ -14,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
@@ -45,20 +48,21 @@ def _power(base: np.uint64, n: int) -> np.ndarray:
     return have[:n]
 
 
-def starts(texts: list[str], reach: int = REACH, anchor: int = ANCHOR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Where spans start in the texts: number of the text, position, hash of the ``anchor`` characters from there."""
+def starts(texts: list[str], reach: int = REACH, anchor: int = ANCHOR) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Where spans start in the texts: number of the text, position, hash of the ``anchor`` characters from there, and hash of the
+    shortest run of whole sentences from there that has ``reach + anchor`` characters (0 where there is none)."""
     chars = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
     ends = np.cumsum([len(t) for t in texts]).astype(np.int64)
     begins = ends - np.array([len(t) for t in texts], np.int64)
     n = len(chars)
     if n < anchor:
-        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+        return tuple(np.empty(0, np.int64) for _ in range(4))
     with np.errstate(over="ignore"):
         sums = np.zeros(n + 1, np.uint64)
         np.cumsum((chars.astype(np.uint64) + np.uint64(1)) * _power(_B, n), out=sums[1:], dtype=np.uint64)
         inverse = _power(_B_INVERSE, n)
 
-        def hashes(at: np.ndarray, length: int) -> np.ndarray:
+        def hashes(at: np.ndarray, length: int | np.ndarray) -> np.ndarray:
             h = (sums[at + length] - sums[at]) * inverse[at]
             h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
             return h ^ (h >> np.uint64(29))
@@ -85,7 +89,14 @@ def starts(texts: list[str], reach: int = REACH, anchor: int = ANCHOR) -> tuple[
         owner = np.searchsorted(ends, at, side="right")
         inside = at + anchor <= ends[owner]
         at, owner = at[inside], owner[inside]
-        return owner, at - begins[owner], hashes(at, anchor).view(np.int64)
+        # a run ends with the last sentence that starts before the next start, blanks behind it aside, or with its text
+        last = np.maximum.accumulate(np.where(blank, 0, np.arange(1, n + 1)))
+        stops = np.append(np.where(found > 0, last[np.maximum(found - 1, 0)], 0), n)
+        nxt = np.searchsorted(stops, at + reach + anchor)
+        until = np.minimum(stops[np.minimum(nxt, len(stops) - 1)], ends[owner])
+        whole = flag[at] & (until - at >= reach + anchor)
+        run = np.where(whole, hashes(at, np.where(whole, until - at, anchor)).view(np.int64) | 1, 0)
+        return owner, at - begins[owner], hashes(at, anchor).view(np.int64), run
 
 
 def _sliced(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
@@ -99,47 +110,56 @@ def _sliced(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
     yield first, texts[first:]
 
 
+def _cls(text: str = "text") -> Column:
+    """What documents of one text have in common: the 128 bits of its MD5."""
+    return F.unhex(F.md5(F.col(text)))
+
+
 def text_classes(documents: DataFrame) -> DataFrame:
-    """doc_id, cls, len: documents of one text are one class (64-bit hash and length); null ids, null and empty texts have none."""
-    return documents.where(F.col("doc_id").isNotNull() & (F.length("text") > 0)).select("doc_id", F.xxhash64("text").alias("cls"), F.length("text").alias("len"))
+    """doc_id, cls, len: documents of one text are one class; null ids, null and empty texts have none."""
+    return documents.where(F.col("doc_id").isNotNull() & (F.length("text") > 0)).select("doc_id", _cls().alias("cls"), F.length("text").alias("len"))
 
 
 def sentence_spans(documents: DataFrame, span: int = SPAN, anchor: int = ANCHOR) -> DataFrame:
-    """The hashed spans of every text: cls, pos, h."""
+    """The hashed spans of every text: cls, pos, h (of the anchor), run (of the sentences, 0 if none)."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for first, texts in _sliced(b.column(1).to_pylist()):
-                owner, at, h = starts(texts, span - anchor, anchor)
-                yield pa.record_batch([b.column(0).take(pa.array(first + owner)), pa.array(at, pa.int32()), pa.array(h)], names=["cls", "pos", "h"])
+                owner, at, h, run = starts(texts, span - anchor, anchor)
+                yield pa.record_batch([b.column(0).take(pa.array(first + owner)), pa.array(at, pa.int32()), pa.array(h), pa.array(run)], names=["cls", "pos", "h", "run"])
 
-    texts = documents.where(F.col("doc_id").isNotNull() & (F.length("text") >= span)).select(F.xxhash64("text").alias("cls"), "text")
-    return texts.mapInArrow(scan, "cls long, pos int, h long")
+    texts = documents.where(F.col("doc_id").isNotNull() & (F.length("text") >= span)).select(_cls().alias("cls"), "text")
+    return texts.mapInArrow(scan, "cls binary, pos int, h long, run long")
 
 
 def repeated_spans(documents: DataFrame, span: int = SPAN, anchor: int = ANCHOR) -> DataFrame:
-    """Spans whose hash several different texts have, with the text around them: h, cls, pos, before, after (anchor included)."""
+    """Spans whose anchor several different texts have, each place once: cls, pos, h, run, agree (all its places have one run)."""
     spans = sentence_spans(documents, span, anchor)
-    repeated = spans.groupBy("h").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo < hi").select("h")
-    found = materialize(spans.join(repeated, "h").distinct(), "repeated-spans")
-    near = bloom.build(found, "cls", found.count()).probe(documents.where(F.col("doc_id").isNotNull()).select(F.xxhash64("text").alias("cls"), "text"), "cls")
+    same = (F.min("run") == F.max("run")) & (F.min("run") != 0)
+    repeated = spans.groupBy("h").agg(F.min(F.xxhash64("cls")).alias("lo"), F.max(F.xxhash64("cls")).alias("hi"), same.alias("agree")).where("lo < hi").select("h", "agree")
+    return materialize(spans.join(repeated, "h").distinct(), "repeated-spans")
+
+
+def contexts(documents: DataFrame, found: DataFrame, span: int = SPAN, anchor: int = ANCHOR) -> DataFrame:
+    """The text around repeated spans: h, cls, pos, before, after (anchor included)."""
+    near = bloom.build(found, "cls", found.count()).probe(documents.where(F.col("doc_id").isNotNull()).select(_cls().alias("cls"), "text"), "cls")
     texts = near.where("maybe").groupBy("cls").agg(F.min("text").alias("text"))
-    reach = span - anchor
-    lead = F.least("pos", F.lit(reach))
+    lead = F.least("pos", F.lit(span - anchor))
     return found.join(texts, "cls").select(
         "h", "cls", "pos", F.substring(F.col("text"), F.col("pos") - lead + 1, lead).alias("before"), F.substring(F.col("text"), F.col("pos") + 1, F.lit(span)).alias("after")
     )
 
 
-def shared_intervals(documents: DataFrame, span: int = SPAN, anchor: int = ANCHOR, most_paired: int = MOST_PAIRED) -> tuple[DataFrame, DataFrame]:
-    """(links, windows): what texts share, exactly.
+def shared_intervals(documents: DataFrame, found: DataFrame, span: int = SPAN, anchor: int = ANCHOR, most_paired: int = MOST_PAIRED) -> tuple[DataFrame, DataFrame]:
+    """(links, windows): what texts share around the repeated spans ``found``, exactly.
 
     ``links``: cls_a < cls_b, from_a, to_a, from_b, to_b: stretches of at least ``span`` equal characters of two texts, for
     spans that at most ``most_paired`` places have. ``windows``: w (hash), cls, start: for more frequent spans, every window
     of ``span`` characters around them that stands in several texts; texts with the same w share it. Nothing is dropped: a
     frequent span costs ``span - anchor`` rows a place, not all pairs of places.
     """
-    spans = materialize(repeated_spans(documents, span, anchor), "span-contexts")
+    spans = materialize(contexts(documents, found, span, anchor), "span-contexts")
     sizes = spans.groupBy("h").agg(F.count("*").alias("n"))
     few = spans.join(sizes.where(F.col("n") <= most_paired).select("h"), "h")
     a = few.select("h", *[F.col(c).alias(f"{c}_a") for c in ("cls", "pos", "before", "after")])
@@ -155,7 +175,7 @@ def shared_intervals(documents: DataFrame, span: int = SPAN, anchor: int = ANCHO
             yield out.filter(ok)
 
     pairs = a.join(b, "h").where("cls_a < cls_b").drop("h")
-    links = pairs.mapInArrow(extend, "cls_a long, cls_b long, from_a int, to_a int, from_b int, to_b int").distinct()
+    links = pairs.mapInArrow(extend, "cls_a binary, cls_b binary, from_a int, to_a int, from_b int, to_b int").distinct()
     many = spans.join(sizes.where(F.col("n") > most_paired).select("h"), "h")
     around = many.select("cls", (F.col("pos") - F.length("before")).alias("base"), F.concat("before", "after").alias("t"), F.length("before").alias("lead"))
     offsets = F.sequence(F.lit(0), F.least("lead", F.length("t") - span))
@@ -183,17 +203,34 @@ def sharing_pairs(documents: DataFrame, span: int = SPAN) -> DataFrame:
     """Pairs of documents that share ``span`` characters: doc_id_a < doc_id_b, copies of a text included.
 
     This is the fixed form of the result, one row a pair; :func:`shared_parts` gives the same knowledge in one row a document.
+    Texts that meet in the same runs and frequent windows are one kind, kinds are paired, and pairs of documents are made
+    last, each once and block by block, so that a passage of very many texts is not paired again for each of its windows.
     Documents with null ids or shorter than ``span`` are in no pair; repeated rows count once.
     """
-    links, windows = shared_intervals(documents, span)
-    linked = links.select("cls_a", "cls_b")
-    both = windows.select("w", F.col("cls").alias("cls_a")).join(windows.select("w", F.col("cls").alias("cls_b")), "w").where("cls_a < cls_b").select("cls_a", "cls_b")
-    pairs = linked.unionByName(both).distinct()
-    members = text_classes(documents).where(F.col("len") >= span).select("doc_id", "cls").distinct()
-    a, b = members.select(F.col("doc_id").alias("a"), F.col("cls").alias("cls_a")), members.select(F.col("doc_id").alias("b"), F.col("cls").alias("cls_b"))
-    different = pairs.join(a, "cls_a").join(b, "cls_b").select("a", "b")
-    copies = a.join(b, F.col("cls_a") == F.col("cls_b")).where("a < b").select("a", "b")
-    return different.unionByName(copies).select(F.least("a", "b").alias("doc_id_a"), F.greatest("a", "b").alias("doc_id_b")).where("doc_id_a < doc_id_b").distinct()
+    found = repeated_spans(documents, span)
+    links, windows = shared_intervals(documents, found.where("not agree"), span)
+    runs = found.where("agree").select(F.col("h").alias("w"), "cls")
+    kinds, meets = kinds_that_meet(windows.select("w", "cls").unionByName(runs))
+    members = materialize(text_classes(documents).where(F.col("len") >= span).select("doc_id", "cls").distinct().join(kinds, "cls", "left"), "members")
+    by_kind = expanded(meets.where("kind <= other").select(F.col("kind").alias("x"), F.col("other").alias("y")), members.where("kind is not null").select(F.col("kind").alias("x"), "doc_id"))
+    own = members.where("kind is null").groupBy("cls").agg(F.count("*").alias("n")).where("n > 1").select(F.col("cls").alias("x"), F.col("cls").alias("y"))
+    others = not_meeting(links.select("cls_a", "cls_b").distinct(), kinds, meets).select(F.col("cls_a").alias("x"), F.col("cls_b").alias("y"))
+    by_text = expanded(own.unionByName(others), members.select(F.col("cls").alias("x"), "doc_id"))
+    return by_kind.unionByName(by_text)
+
+
+def expanded(pairs: DataFrame, members: DataFrame, block: int = 1024) -> DataFrame:
+    """The pairs of members (x, doc_id) of paired groups (x, y; each pair once, x = y for the pairs within a group): doc_id_a < doc_id_b.
+
+    Members stand in blocks of about ``block``, and blocks are paired, so a hot group is spread over many tasks."""
+    sizes = members.groupBy("x").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    placed = members.join(sizes, "x").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    held = placed.groupBy("x", "block").agg(F.collect_list("doc_id").alias("docs"))
+    left, right = held.select("x", F.col("block").alias("block_a"), F.col("docs").alias("a")), held.select(F.col("x").alias("y"), F.col("block").alias("block_b"), F.col("docs").alias("b"))
+    both = pairs.join(left, "x").join(right, "y").where((F.col("x") != F.col("y")) | (F.col("block_a") <= F.col("block_b")))
+    each = both.select((F.col("x") == F.col("y")).alias("same"), "block_a", "block_b", "b", F.explode("a").alias("a")).select("same", "block_a", "block_b", "a", F.explode("b").alias("b"))
+    once = each.where(~F.col("same") | (F.col("block_a") < F.col("block_b")) | (F.col("a") < F.col("b")))
+    return once.select(F.least("a", "b").alias("doc_id_a"), F.greatest("a", "b").alias("doc_id_b")).where("doc_id_a < doc_id_b")
 
 
 def merged(intervals: DataFrame) -> DataFrame:
@@ -204,29 +241,38 @@ def merged(intervals: DataFrame) -> DataFrame:
     return marked.withColumn("g", F.sum("new").over(order)).groupBy("cls", "g").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).drop("g")
 
 
-def link_counts(links: DataFrame, windows: DataFrame) -> DataFrame:
-    """How many different other texts each text shares with, by pairs and frequent windows together: cls, links.
+def kinds_that_meet(places: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(kinds, meets) of the places (w, cls) of shared windows: cls, kind; and kind, other for kinds with a window in common.
 
     Windows that the same texts have are one group, and texts with the same groups are one kind; only kinds that meet in a
-    group are paired, so a passage that very many texts have costs a row a text, not all pairs of texts.
-    """
-    place = windows.select("w", "cls").distinct()
+    group are paired, so a passage that very many texts have costs a row a text, not all pairs of texts. Sets are named by
+    128 bits of their members and their number."""
+    place = materialize(places.distinct(), "window-places")
 
     def named(rows: DataFrame, of: str, by: str, name: str) -> DataFrame:
-        """One name for equal sets of ``by``: of, name (three 64-bit numbers)."""
         marks = (F.bit_xor(F.xxhash64(by)), F.bit_xor(F.xxhash64(by, F.lit(1))), F.count("*"))
-        return rows.groupBy(of).agg(F.struct(*marks).alias("marks")).select(of, F.xxhash64("marks").alias(name))
+        return rows.groupBy(of).agg(F.concat_ws(":", *marks).alias(name))
 
     groups = materialize(place.join(named(place, "w", "cls", "g"), "w").select("g", "cls").distinct(), "window-groups")
     kinds = materialize(named(groups, "cls", "g", "kind"), "text-kinds")
     within = groups.join(kinds, "cls").select("kind", "g").distinct()
     meets = materialize(within.join(within.withColumnRenamed("kind", "other"), "g").select("kind", "other").distinct(), "kinds-that-meet")
+    return kinds, meets
+
+
+def not_meeting(links: DataFrame, kinds: DataFrame, meets: DataFrame) -> DataFrame:
+    """The links (cls_a, cls_b) of texts that are not already linked by their kinds."""
+    known = links.join(kinds.select(F.col("cls").alias("cls_a"), "kind"), "cls_a", "left").join(kinds.select(F.col("cls").alias("cls_b"), F.col("kind").alias("other")), "cls_b", "left")
+    return known.join(meets, ["kind", "other"], "left_anti").select("cls_a", "cls_b")
+
+
+def link_counts(links: DataFrame, windows: DataFrame) -> DataFrame:
+    """How many different other texts each text shares with, by pairs and frequent windows together: cls, links."""
+    kinds, meets = kinds_that_meet(windows.select("w", "cls"))
     sizes = kinds.groupBy(F.col("kind").alias("other")).agg(F.count("*").alias("n"))
     frequent = kinds.join(meets.join(sizes, "other").groupBy("kind").agg((F.sum("n") - 1).alias("n")), "kind").select("cls", "n")
-    both = links.select(F.col("cls_a").alias("cls"), F.col("cls_b").alias("to")).distinct()
-    both = both.unionByName(both.select(F.col("to").alias("cls"), F.col("cls").alias("to")))
-    known = both.join(kinds, "cls", "left").join(kinds.select(F.col("cls").alias("to"), F.col("kind").alias("other")), "to", "left")
-    paired = known.join(meets, ["kind", "other"], "left_anti").groupBy("cls").agg(F.count("*").alias("n"))
+    one = not_meeting(links.select("cls_a", "cls_b").distinct(), kinds, meets)
+    paired = one.select(F.col("cls_a").alias("cls")).unionByName(one.select(F.col("cls_b").alias("cls"))).groupBy("cls").agg(F.count("*").alias("n"))
     return frequent.unionByName(paired).groupBy("cls").agg(F.sum("n").alias("links"))
 
 
@@ -237,7 +283,7 @@ def shared_parts(documents: DataFrame, span: int = SPAN) -> DataFrame:
     A text that has copies is shared as a whole. Documents without text have cls null and share 0. ``links`` counts each
     other text once, however many spans are shared with it and however frequent they are (see :func:`link_counts`).
     """
-    links, windows = shared_intervals(documents, span)
+    links, windows = shared_intervals(documents, repeated_spans(documents, span), span)
     links, windows = materialize(links, "span-links"), materialize(windows, "span-windows")
     sides = links.select(F.col("cls_a").alias("cls"), F.col("from_a").alias("lo"), F.col("to_a").alias("hi")).unionByName(
         links.select(F.col("cls_b").alias("cls"), F.col("from_b").alias("lo"), F.col("to_b").alias("hi"))
@@ -248,10 +294,10 @@ def shared_parts(documents: DataFrame, span: int = SPAN) -> DataFrame:
     classes = text_classes(documents)
     copies = classes.groupBy("cls").agg(F.countDistinct("doc_id").alias("copies"), F.max("len").alias("len"))
     info = copies.join(count, "cls", "left").join(covered, "cls", "left")
-    rows = documents.where(F.col("doc_id").isNotNull()).select("doc_id", F.when(F.length("text") > 0, F.xxhash64("text")).alias("cls")).distinct().join(info, "cls", "left")
+    rows = documents.where(F.col("doc_id").isNotNull()).select("doc_id", F.when(F.length("text") > 0, _cls()).alias("cls")).distinct().join(info, "cls", "left")
     shared = F.when((F.col("copies") > 1) & (F.col("len") >= span), F.col("len")).otherwise(F.coalesce("covered", F.lit(0)))
     return rows.select(
-        "doc_id", "cls", F.coalesce("copies", F.lit(1)).alias("copies"), F.coalesce("links", F.lit(0)).alias("links"), shared.cast("long").alias("shared_chars"), F.coalesce(shared / F.col("len"), F.lit(0.0)).alias("share")
+        "doc_id", F.hex("cls").alias("cls"), F.coalesce("copies", F.lit(1)).alias("copies"), F.coalesce("links", F.lit(0)).alias("links"), shared.cast("long").alias("shared_chars"), F.coalesce(shared / F.col("len"), F.lit(0.0)).alias("share")
     )
 
 
@@ -262,7 +308,7 @@ def without_repeats(documents: DataFrame, span: int = SPAN) -> DataFrame:
     others lose all of it (they are the repeated stretch as a whole) if it has ``span`` characters. A sentence goes only if
     it lies wholly in such a stretch. Documents without text keep theirs; null ids are left out.
     """
-    links, windows = shared_intervals(documents, span)
+    links, windows = shared_intervals(documents, repeated_spans(documents, span), span)
     links, windows = materialize(links, "span-links"), materialize(windows, "span-windows")
     classes = text_classes(documents)
     firsts = classes.groupBy("cls").agg(F.min("doc_id").alias("first"))
@@ -286,7 +332,7 @@ def without_repeats(documents: DataFrame, span: int = SPAN) -> DataFrame:
                 removed.append(n)
             yield pa.record_batch([b.column(0), pa.array(texts, pa.string()), pa.array(removed, pa.int32())], names=["doc_id", "text", "removed"])
 
-    rows = documents.where(F.col("doc_id").isNotNull()).select("doc_id", "text", F.when(F.length("text") > 0, F.xxhash64("text")).alias("cls"))
+    rows = documents.where(F.col("doc_id").isNotNull()).select("doc_id", "text", F.when(F.length("text") > 0, _cls()).alias("cls"))
     known = rows.join(firsts, "cls", "left").join(gone, "cls", "left")
     copy = F.coalesce((F.col("doc_id") > F.col("first")) & (F.length("text") >= span), F.lit(False))
     return known.select("doc_id", "text", copy.alias("copy"), "gone").mapInArrow(strip, "doc_id long, text string, removed int")

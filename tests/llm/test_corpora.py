@@ -44,18 +44,44 @@ def test_sharing_pairs_equal_brute_force(spark):
 def test_frequent_spans_are_resolved_exactly(spark):
     docs = _corpus(2)
     df = spark.createDataFrame(docs, "doc_id bigint, text string")
-    links, windows = spans.shared_intervals(df, most_paired=2)
+    links, windows = spans.shared_intervals(df, spans.repeated_spans(df), most_paired=2)
     assert windows.count() > 0
-    cls = {r["cls"]: r["doc_id"] for r in spans.text_classes(df).orderBy(F.desc("doc_id")).collect()}
-    got = {frozenset((cls[r["cls_a"]], cls[r["cls_b"]])) for r in links.collect()}
+    cls = {bytes(r["cls"]): r["doc_id"] for r in spans.text_classes(df).orderBy(F.desc("doc_id")).collect()}
+    got = {frozenset((cls[bytes(r["cls_a"])], cls[bytes(r["cls_b"])])) for r in links.collect()}
     by = {}
     for r in windows.collect():
-        by.setdefault(r["w"], set()).add(cls[r["cls"]])
+        by.setdefault(r["w"], set()).add(cls[bytes(r["cls"])])
     got |= {frozenset((a, b)) for group in by.values() for a in group for b in group if a < b}
     unique = {t: i for i, t in reversed(docs)}
     assert got == {frozenset(p) for p in _pairs([(i, t) for t, i in unique.items()], 200)}
 
 
+def test_runs_of_sentences_decide_where_texts_agree(spark):
+    rng = random.Random(9)
+    common = _text(rng, 320).rsplit(". ", 1)[0] + ". "
+    df = spark.createDataFrame([(i, _text(rng, 120).strip() + ". " + common + "Then something else %d. " % i + _text(rng, 90)) for i in range(5)], "doc_id bigint, text string")
+    found = spans.repeated_spans(df).collect()
+    assert {r["h"] for r in found if r["agree"]} and all(r["run"] != 0 for r in found if r["agree"])
+    assert {tuple(r) for r in spans.sharing_pairs(df).collect()} == {(a, b) for a in range(5) for b in range(a + 1, 5)}
+
+
+def test_pairs_of_a_hot_passage_come_out_once_and_in_blocks(spark):
+    members = spark.createDataFrame([("k", i) for i in range(60)] + [("m", 100 + i) for i in range(7)] + [("o", 500)], "x string, doc_id bigint")
+    pairs = spark.createDataFrame([("k", "k"), ("k", "m"), ("o", "o")], "x string, y string")
+    got = [tuple(r) for r in spans.expanded(pairs, members, block=8).collect()]
+    assert len(got) == len(set(got)) and set(got) == {(a, b) for a in range(60) for b in range(a + 1, 60)} | {(a, 100 + b) for a in range(60) for b in range(7)}
+
+
+def test_pairs_of_texts_with_many_common_passages_equal_brute_force(spark):
+    rng = random.Random(10)
+    parts = [_text(rng, 230) for _ in range(4)]
+    docs = [(i, "".join(x for x in [_text(rng, 50), *rng.sample(parts, rng.randrange(0, 4)), _text(rng, 40)])) for i in range(150)]
+    docs += [(200 + i, docs[i][1]) for i in range(20)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    got = [tuple(r) for r in spans.sharing_pairs(df).collect()]
+    assert len(got) == len(set(got)) and set(got) == _pairs(docs, 200)
+
+
 def test_shared_parts_and_removal(spark):
     rng = random.Random(3)
     common = _text(rng, 400)
@@ -80,7 +106,7 @@ def test_links_count_every_other_text_once(spark):
     for p in _pairs(docs, 200):
         for d in p:
             want[d] += 1
-    assert spans.shared_intervals(df)[1].count() > 0 and want[200] == 163
+    assert spans.shared_intervals(df, spans.repeated_spans(df))[1].count() > 0 and want[200] == 163
     assert {r["doc_id"]: r["links"] for r in spans.shared_parts(df).collect()} == want
 
 
