@@ -21,12 +21,13 @@ from pyspark.sql import functions as F
 
 FAMILIES = ("html", "wiki", "latex", "markdown")
 
-_ANY = re.compile(r"[<&{\\$`*_~#|\[>=\t]|''|^ {0,3}(?:[-+]|\d{1,9}[.)])|^[-=]{2,}|^ {4}", re.M)
-_FENCE = re.compile(r"^ {0,3}(`{3,}|~{3,})([^\n]*)$")
+_ANY = re.compile(r"[<&{\\$`*_~#|\[>=\t]|''|^ {0,3}(?:[-+]|\d{1,9}[.)])|^[-=]{2,}|^ {4}|^;", re.M)
+_FENCE = re.compile(r"^([ \t]*)(`{3,}|~{3,})([^\n]*)$")
 _CODE = re.compile(r"(?<!`)(`+)(?!`)")
 _TAG = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9-]*)((?:\s+[^<>]*)?)(/?)>")
 _ENTITY = re.compile(r"&(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});")
-_HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden|(?:^|\s)hidden(?:\s|=|$)", re.I)
+_ATTRIBUTE = re.compile(r"([^\s\"'=<>/]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'=<>`]+))?")
+_UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _HTML = set(
     "a abbr address article aside audio b big blockquote body br button caption center cite code col colgroup dd del details dfn div dl dt em "
     "figcaption figure font footer form h1 h2 h3 h4 h5 h6 head header hr html i iframe img input ins kbd label li link main mark meta nav "
@@ -34,7 +35,7 @@ _HTML = set(
     "template textarea tfoot th thead title tr tt u ul var video".split()
 )
 _VOID = {"br", "hr", "img", "input", "link", "meta", "source", "col"}
-_INVISIBLE = {"script", "style", "head", "template", "title", "ref", "svg", "iframe", "select"}
+_INVISIBLE = {"script", "style", "head", "template", "title", "ref", "svg", "iframe"}
 _BLOCKS = set("address article aside blockquote body center dd details div dl dt figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 #: Which open elements a new element ends, as far up as the given boundary.
 _IMPLIED = {
@@ -50,6 +51,9 @@ _MATHLIKE = re.compile(r"\^|_\{|\b[A-Za-z]_\w\b|\\(?:d?frac|sqrt|sum|int|prod|le
 _FORMULAS = re.compile(r"\$\$[^$]*\$\$|\$[^$]*\$")
 _TEXTUAL = set("document itemize enumerate description tabular table figure center quote quotation abstract".split())
 _VERBATIM = {"verbatim", "lstlisting", "minted"}
+#: Environments of rows and cells, by the number of arguments in front of the first row.
+_TABULAR = {"tabular": 1, "tabular*": 2, "tabularx": 2, "longtable": 1, "tabulary": 2}
+_TABULAR_RULES = re.compile(r"\\(?:hline|toprule|midrule|bottomrule|endhead|endfirsthead|endfoot|endlastfoot)(?![A-Za-z])|\\(?:cline|cmidrule)(?:\([^()]*\))?\{[^{}]*\}")
 #: LaTeX commands that stand alone (fixed values); any other needs a brace to count as one.
 _COMMANDS = set(
     "item alpha beta gamma delta epsilon theta lambda mu pi sigma phi omega sum int prod frac sqrt infty leq geq le ge neq times cdot ldots dots "
@@ -57,7 +61,7 @@ _COMMANDS = set(
 )
 _LATEX_HEADS = {"part": 1, "chapter": 1, "section": 2, "subsection": 3, "subsubsection": 4, "paragraph": 5}
 _LATEX_MUTE = set("label cite ref eqref citep citet pageref usepackage documentclass bibliography bibliographystyle vspace hspace input include index".split())
-_LATEX = re.compile(r"(?<![\w:\\/])\\([A-Za-z]{1,40})\*?((?:\[[^\]\n]{0,200}\])?)(\{?)")
+_LATEX = re.compile(r"(?<![:\\/])\\([A-Za-z]+)\*?((?:\[[^\[\]\n]*\])?)(\{?)")
 _MATHS = re.compile(r"(?<![\\$\w])\$(?![\s$])([^$]+?)(?<![\s\\])\$(?![\d$\w])")
 _WIKI_HEAD = re.compile(r"^(={2,6})[ \t]*([^=\n][^\n]*?)[ \t]*\1[ \t]*$")
 _WIKI_LINK = re.compile(r"\[\[([^\[\]|]+)((?:\|[^\[\]|]*)*)\]\]")
@@ -70,8 +74,9 @@ _TASK = re.compile(r"^\[[ xX]\][ \t]+")
 _QUOTE = re.compile(r"^ {0,3}>[ \t]?(.*)$")
 _DELIMITER = re.compile(r"^ {0,3}\|?[ \t]*:?-+:?[ \t]*(?:\|[ \t]*:?-+:?[ \t]*)*\|?[ \t]*$")
 _MD_LINK = re.compile(r"(!?)\[([^\[\]]*)\]\(([^()\s]*(?:\([^()\s]*\)[^()\s]*)?)(?:\s+(?:\"[^\"()]*\"|'[^'()]*'|\"[^\"\n]*\"|'[^'\n]*'))?\)")
-_MD_REF = re.compile(r"\[([^\[\]\n]{1,300})\]\[([^\[\]\n]{0,100})\]|\[\^([^\[\]\s]{1,50})\]:?")
-_MD_DEF = re.compile(r"^ {0,3}\[[^\[\]\n]{1,300}\]:[ \t]*\S+")
+_MD_REF = re.compile(r"\[([^\[\]\n]+)\]\[([^\[\]\n]*)\]|\[\^([^\[\]\s]+)\]:?")
+_MD_DEF = re.compile(r"^ {0,3}\[(?!\^)[^\[\]\n]+\]:[ \t]*\S+(?:[ \t]+(?:\"[^\"]*\"|'[^']*'|\([^()]*\)))?[ \t]*$")
+_WIKI_ITEM = re.compile(r"^(\*{2,})[ \t]+(.*)$")
 _AUTOLINK = re.compile(r"<((?:https?|ftp|mailto):[^\s<>]+)>")
 _MD_STRONG = re.compile(r"(?<![\\*])(\*{1,3})(?![\s*])([^*]+?)(?<![\s*\\])\1(?!\*)|(?<![\w\\])(_{1,3})(?![\s_])([^_\n]+(?:_[^_\n]+)*?)(?<![\s_])\3(?!\w)|(?<!~)~~(?![\s~])([^~]+?)(?<![\s~])~~(?!~)")
 
@@ -85,6 +90,15 @@ _STYLED = {"textcolor", "colorbox", "fontsize", "scalebox"}
 _DEEPEST = 100
 
 
+def _note(name: str, attributes: str) -> str:
+    """What the attributes of an element change: that it is hidden, or the number of a list or item."""
+    found = {m[1].lower(): (m[2] or "").strip("\"'") for m in _ATTRIBUTE.finditer(attributes)}
+    if "hidden" in found or _UNSEEN.search(found.get("style", "")):
+        return "hidden"
+    number = found.get("start" if name == "ol" else "value", "") if name in ("ol", "li") else ""
+    return number + "." if number.isdigit() else ""
+
+
 class Node:
     __slots__ = ("tag", "kids", "text", "note")
 
@@ -136,6 +150,7 @@ class Scanner:
 
     def __init__(self, text: str):
         self.families: set[str] = set()
+        self.quoted = 0
         self.b = Builder()
         self.blocks(text.replace("\r\n", "\n").replace("\r", "\n"))
 
@@ -143,32 +158,41 @@ class Scanner:
 
     def blocks(self, text: str) -> None:
         """Code fences first: what they hold is literal."""
-        lines, at, prose = text.split("\n"), 0, []
+        lines, at, prose, out, held = text.split("\n"), 0, [], [], []
+        endless: set[str] = set()
         while at < len(lines):
-            m = _FENCE.match(lines[at]) if lines[at].lstrip(" ")[:1] in ("`", "~") else None
-            if not m or (m[1][0] == "`" and "`" in m[2]):
+            m = _FENCE.match(lines[at]) if lines[at].lstrip(" \t")[:1] in ("`", "~") else None
+            if not m or (m[2][0] == "`" and "`" in m[3]):
                 prose.append(lines[at])
                 at += 1
                 continue
-            self.prose(prose)
-            prose, body, at = [], [], at + 1
-            close = re.compile(rf"^ {{0,3}}{re.escape(m[1][0])}{{{len(m[1])},}}[ \t]*$")
-            while at < len(lines) and not close.match(lines[at]):
-                body.append(lines[at])
+            deep = len(m[1].expandtabs(4)) > 3  # in a list item; elsewhere such lines are code anyway
+            close = re.compile(rf"^{'[ \\t]*' if deep else ' {0,3}'}{re.escape(m[2][0])}{{{len(m[2])},}}[ \t]*$")
+            end = next((i for i in range(at + 1, len(lines)) if close.match(lines[i])), None) if not deep or m[2] not in endless else None
+            if end is None and deep:
+                endless.add(m[2])
+                prose.append(lines[at])
                 at += 1
-            at += 1
+                continue
+            out += self.prepared(prose, held)
+            body = [x[len(m[1]) :] if x.startswith(m[1]) else x.lstrip(" \t") for x in lines[at + 1 : end]]
             self.families.add("markdown")
-            self.b.whole("pre", "\n".join(body))
-        self.prose(prose)
+            held.append(("pre", "\n".join(body)))
+            out.append(f"{m[1]}\ue000{len(held) - 1}\ue001")
+            prose, at = [], len(lines) if end is None else end + 1
+        if not held and not _ANY.search("\n".join(prose)):
+            self.paragraphs("\n".join(prose))
+            return
+        out += self.prepared(prose, held)
+        self.lines(out, held)
 
-    def prose(self, lines: list[str]) -> None:
+    def prepared(self, lines: list[str], held: list) -> list[str]:
+        """Lines in which code spans, formulas and constructs over several lines are held apart."""
         if not lines:
-            return
+            return []
         text = "\n".join(lines)
         if not _ANY.search(text):
-            self.paragraphs(text)
-            return
-        held: list[tuple[str, str]] = []
+            return lines
 
         def hold(kind: str, s: str) -> str:
             held.append((kind, s))
@@ -177,8 +201,29 @@ class Scanner:
         text = text.replace("\ue000", "").replace("\ue001", "")
         if "`" in text:
             text = self.code_spans(text, hold)
-        text = self.unwrapped(self.regions(text, hold), hold)
-        self.lines(text.split("\n"), held)
+        return self.unwrapped(self.braces(self.regions(text, hold, held)), hold).split("\n")
+
+    @staticmethod
+    def braces(text: str) -> str:
+        """Arguments of commands that wrap within their paragraph on one line."""
+        if "\\" not in text or "{" not in text:
+            return text
+        opened: list[int] = []
+        spots: list[tuple[int, int]] = []
+        for m in re.finditer(r"[{}]|\n[ \t]*\n", text):
+            if m[0] == "{":
+                opened.append(m.start())
+            elif m[0] == "}":
+                if opened:
+                    spots.append((opened.pop(), m.end()))
+            else:
+                opened.clear()
+        out, at = [], 0
+        for lo, hi in sorted(spots):
+            if lo >= at and "\n" in text[lo:hi] and re.search(r"\\[A-Za-z]+\*?(?:\[[^\[\]\n]*\])?$", text[max(at, lo - 200) : lo]) and not _NEW_BLOCK.search(text[lo:hi]):
+                out += [text[at:lo], re.sub(r"[ \t]*\n[ \t]*", " ", text[lo:hi])]
+                at = hi
+        return "".join([*out, text[at:]])
 
     def code_spans(self, text: str, hold) -> str:
         """Code spans: a run of backticks up to the next run of that length within the paragraph."""
@@ -218,7 +263,7 @@ class Scanner:
             text = pattern.sub(join, text)
         return text
 
-    def regions(self, text: str, hold) -> str:
+    def regions(self, text: str, hold, held: list) -> str:
         """Constructs over several lines, found by their ends."""
         out, at, gone, templates = [], 0, set(), self.templates(text) if "{{" in text else {}
         for m in re.finditer(r"<!--|\$\$|\\\[|\\\(|\\begin\{([A-Za-z]+\*?)\}|\{\{|(?m:^)[ \t]*\{\||<(script|style|pre|nowiki)\b[^<>]*>", text):
@@ -230,8 +275,8 @@ class Scanner:
             else:
                 closer, kind = {"<!--": ("-->", "html:"), "$$": ("$$", "latex:math"), "\\[": ("\\]", "latex:math"), "\\(": ("\\)", "latex:formula"), "{|": ("\n|}", "wiki:table")}.get(opener, ("", ""))
                 if m[1]:
-                    closer, kind = f"\\end{{{m[1]}}}", "latex:pre" if m[1] in _VERBATIM else "latex:math"
-                    if m[1] not in _MATH and m[1] not in _VERBATIM:
+                    closer, kind = f"\\end{{{m[1]}}}", "latex:pre" if m[1] in _VERBATIM else "latex:tabular" if m[1] in _TABULAR else "latex:math"
+                    if m[1] not in _MATH and m[1] not in _VERBATIM and m[1] not in _TABULAR:
                         inner = text.find("\\begin{", m.end())
                         end = -1 if m[1] in _TEXTUAL else text.find(closer, m.end(), inner if inner >= 0 else len(text))
                         if end < 0 or not _MATHLIKE.search(_FORMULAS.sub("", text[m.end() : end])):
@@ -251,10 +296,13 @@ class Scanner:
             self.families.add(family)
             out.append(text[at : m.start()])
             whole = text[m.start() : end]
-            if what == "table":
+            if what in ("table", "tabular"):
                 inner = m.end()
                 self.b, outer = Builder(), self.b
-                self.wiki_table(text[inner : end - 2])
+                if what == "table":
+                    self.wiki_table(self.unwrapped(text[inner : end - 2], hold), held)
+                else:
+                    self.latex_table(text[inner : end - len(closer)], _TABULAR[m[1]], held)
                 tree, self.b = self.b.root.kids, outer
                 out.append("\n" + hold("tree", tree) + "\n")
             elif what == "pre":
@@ -283,12 +331,15 @@ class Scanner:
                 ends[opened.pop()] = m.end()
         return ends
 
-    def wiki_table(self, body: str) -> None:
+    def wiki_table(self, body: str, held: list) -> None:
         self.b.open("table")
         row = False
         for line in body.split("\n")[1:]:
             s = line.strip()
             if s.startswith("|+"):
+                self.b.open("caption")
+                self.inline(s[2:].rpartition("|")[2].strip() if "[[" not in s else s[2:].strip(), held)
+                self.b.close("caption")
                 continue
             if s.startswith("|-"):
                 self.b.close("tr")
@@ -299,10 +350,28 @@ class Scanner:
                     row = True
                 for cell in re.split(r"\|\||!!", s[1:]):
                     self.b.open("td")
-                    self.inline(cell.rpartition("|")[2].strip() if "[[" not in cell else cell.strip(), [])
-                    self.b.close("td")
+                    self.inline(cell.rpartition("|")[2].strip() if "[[" not in cell else cell.strip(), held)
             elif s:
-                self.inline(" " + s, [])
+                self.inline(" " + s, held)
+        self.b.close("table")
+
+    def latex_table(self, body: str, arguments: int, held: list) -> None:
+        """Rows end with a double backslash, cells with ``&``."""
+        at = 0
+        group = re.compile(r"\s*\{(?:[^{}]|\{[^{}]*\})*\}")
+        for i in range(arguments):
+            m = group.match(body, at) or (re.compile(r"\s*\[[^\[\]]*\]" + group.pattern).match(body, at) if not i or arguments > 1 else None)
+            at = m.end() if m else at
+        self.b.open("table")
+        for row in re.split(r"\\\\(?:\*|\[[^\[\]\n]*\])?", _TABULAR_RULES.sub("", body[at:])):
+            if not row.strip():
+                continue
+            self.b.open("tr")
+            for cell in re.split(r"(?<!\\)&", row):
+                self.b.open("td")
+                self.inline(" ".join(cell.split()), held)
+                self.b.close("td")
+            self.b.close("tr")
         self.b.close("table")
 
     def paragraphs(self, text: str) -> None:
@@ -314,6 +383,7 @@ class Scanner:
         """Markdown, wiki and LaTeX blocks line by line."""
         b, at, n = self.b, 0, len(lines)
         blank, open_p, lists = True, False, 0
+        above: dict[int, int] = {}  # how deep the items of so many stars are
         while at < n:
             line = lines[at]
             s = line.strip()
@@ -326,13 +396,15 @@ class Scanner:
             atx, item, quote = _ATX.match(line), _ITEM.match(line), _QUOTE.match(line)
             wiki, rule = _WIKI_HEAD.match(s), _RULE.match(line)
             held_only = re.fullmatch(r"\ue000(\d+)\ue001", s)
+            block = bool(held_only) and held[int(held_only[1])][0] != "code"
+            stars, nxt_line = _WIKI_ITEM.match(line), lines[at + 1].strip() if at + 1 < n else ""
             nxt = lines[at + 1] if at + 1 < n else ""
-            if lists and not item and blank and not line.startswith((" ", "\t")):
+            if lists and not item and not stars and (blank or block) and not line.startswith((" ", "\t")):
                 for _ in range(lists):
                     b.close("li")
                     b.close("ul")
                 lists = 0
-            if held_only and held[int(held_only[1])][0] != "code":
+            if block:
                 b.close("p")
                 open_p = False
                 kind, what = held[int(held_only[1])]
@@ -340,6 +412,8 @@ class Scanner:
                     b.stack[-1].kids.extend(what)
                 else:
                     b.whole("pre", what)
+                blank, at = True, at + 1
+                continue
             elif code:
                 self.families.add("markdown")
                 body = []
@@ -378,14 +452,43 @@ class Scanner:
                     lists += 1
                 b.open("li", item[2] if item[2][0].isdigit() else "-")
                 self.inline(_TASK.sub(lambda m: "[x] " if "x" in m[0].lower() else "[ ] ", item[3]), held)
+            elif stars:  # a deeper item of a wiki list
+                b.close("p")
+                open_p = False
+                if not lists:
+                    above = {}
+                depth = above.setdefault(len(stars[1]), min(len(stars[1]), lists + 1))
+                while lists > depth:
+                    b.close("li")
+                    b.close("ul")
+                    lists -= 1
+                if lists < depth:
+                    b.open("ul")
+                    lists += 1
+                b.open("li", "-")
+                self.inline(stars[2], held)
+            elif s[0] == ";" and nxt_line.startswith(":") and s[1:].strip():
+                b.close("p")
+                open_p = False
+                for tag, what in (("dt", s), ("dd", nxt_line)):
+                    b.open(tag)
+                    self.inline(what[1:].strip(), held)
+                    b.close(tag)
+                at += 1
             elif quote:
                 self.families.add("markdown")
-                if not open_p:
-                    b.open("p")
-                    open_p = True
-                else:
-                    b.text(" ")
-                self.inline(quote[1].strip(), held)
+                b.close("p")
+                open_p, inner = False, []
+                while at < n and (m := _QUOTE.match(lines[at])):
+                    inner.append(m[1])
+                    at += 1
+                b.open("blockquote")
+                self.quoted += 1
+                self.lines([x.lstrip("> ") for x in inner] if self.quoted > _DEEPEST // 4 else inner, held)
+                self.quoted -= 1
+                b.close("blockquote")
+                blank = False
+                continue
             elif "|" in line and "-" in nxt and "|" in nxt and _DELIMITER.match(nxt):
                 self.families.add("markdown")
                 b.close("p")
@@ -398,9 +501,9 @@ class Scanner:
                     at += 1
                 for r in rows:
                     b.open("tr")
-                    for cell in r.strip().removeprefix("|").removesuffix("|").split("|"):
+                    for cell in re.split(r"(?<!\\)\|", re.sub(r"(?<!\\)\|$", "", r.strip().removeprefix("|"))):
                         b.open("td")
-                        self.inline(cell.strip(), held)
+                        self.inline(cell.strip().replace("\\|", "|"), held)
                         b.close("td")
                     b.close("tr")
                 b.close("table")
@@ -446,7 +549,7 @@ class Scanner:
                 if tag[1]:
                     b.close(name)
                 else:
-                    b.open(name, "hidden" if _HIDDEN.search(tag[3]) else "")
+                    b.open(name, _note(name, tag[3]))
                     if tag[4] or tag[3].endswith("/"):
                         b.close(name)
                 at = m.end()
@@ -475,7 +578,7 @@ class Scanner:
             elif opened:
                 ends[opened.pop()] = m.start()
         for m in _LATEX.finditer(s):
-            if m.start() < at or not (m[3] or m[1] in _COMMANDS):
+            if m.start() < at or not (m[3] or m[1] in _COMMANDS) or (not m[3] and m.start() and (s[m.start() - 1].isalnum() or s[m.start() - 1] == "_")):
                 continue
             self.families.add("latex")
             out.append(s[at : m.start()])
@@ -511,7 +614,7 @@ class Scanner:
                 held.append(("code", s[m.start() : at]))  # which argument is the text is not known
                 out.append(f"\ue000{len(held) - 1}\ue001")
             elif arguments:
-                out.append(self.latex(arguments[-1], held, depth + 1) if depth < _DEEPEST // 5 else arguments[-1])
+                out.append(self.latex(arguments[-1], held, depth + 1) if depth < _DEEPEST else arguments[-1])
             elif name in _COMMANDS:
                 out.append(m[0])
         return "".join([*out, s[at:]])
@@ -569,7 +672,7 @@ def _visible(node: Node) -> str:
         return node.text
     if node.tag == "br":
         return "\n"
-    return "".join(_visible(k) for k in node.kids)
+    return "".join(f" {_visible(k)} " if k.tag in _BLOCKS or k.tag == "option" else _visible(k) for k in node.kids)
 
 
 def _squeeze(s: str) -> str:
@@ -598,7 +701,7 @@ def _emit(node: Node, out: list[str], indent: int = 0) -> None:
             continue
         flush()
         if k.tag == "pre":
-            body = "".join(x.text if x.tag in ("=", "#") else _visible(x) for x in k.kids).strip("\n")
+            body = _code(k)
             if body:
                 out.append(body)
         elif k.tag[0] == "h" and k.tag[1:].isdigit():
@@ -606,11 +709,7 @@ def _emit(node: Node, out: list[str], indent: int = 0) -> None:
             if text:
                 out.append("#" * int(k.tag[1:]) + " " + text)
         elif k.tag == "table":
-            rows = list(_rows(k))
-            width = [max((len(r[i]) for r in rows if i < len(r)), default=0) for i in range(max(map(len, rows), default=0))]
-            text = "\n".join("  ".join(c.ljust(w) for c, w in zip(r, width, strict=False)).rstrip() for r in rows)
-            if text.strip():
-                out.append(text)
+            out += _table(k)
         elif k.tag in ("ul", "ol"):
             out.append("\n".join(_items(k, 0)))
         elif k.tag == "hr":
@@ -620,38 +719,89 @@ def _emit(node: Node, out: list[str], indent: int = 0) -> None:
     flush()
 
 
-def _rows(table: Node) -> Iterator[list[str]]:
+def _code(pre: Node) -> str:
+    return "".join(x.text if x.tag in ("=", "#") else _visible(x) for x in pre.kids).strip("\n")
+
+
+def _table(table: Node) -> list[str]:
+    """Captions and whatever stands in no cell, then the rows with their cells aligned."""
+    loose: list[str] = []
+    rows = list(_rows(table, loose))
+    width = [max((len(r[i]) for r in rows if i < len(r)), default=0) for i in range(max(map(len, rows), default=0))]
+    text = "\n".join("  ".join(c.ljust(w) for c, w in zip(r, width, strict=False)).rstrip() for r in rows)
+    return [x for x in (*loose, text) if x.strip()]
+
+
+def _rows(table: Node, loose: list[str]) -> Iterator[list[str]]:
     for k in table.kids:
+        if k.note == "hidden":
+            continue
         if k.tag in ("tbody", "thead", "tfoot"):
-            yield from _rows(k)
+            yield from _rows(k, loose)
         elif k.tag == "tr":
             yield [" ".join(_squeeze(_visible(c)).split()) for c in k.kids if c.tag in ("td", "th")]
+            loose += [x for c in k.kids if c.tag not in ("td", "th") and (x := " ".join(_squeeze(_visible(c)).split()))]
+        elif x := " ".join(_squeeze(_visible(k)).split()):
+            loose.append(x)
 
 
 def _items(lst: Node, depth: int) -> Iterator[str]:
-    number = 0
+    number = int(lst.note[:-1]) - 1 if lst.note[:1].isdigit() else 0
     for k in lst.kids:
+        if k.note == "hidden" or k.tag in _INVISIBLE:
+            continue
         if k.tag in ("ul", "ol"):
             yield from _items(k, depth + 1)
-        elif k.tag == "li" and k.note != "hidden":
-            number += 1
+        elif k.tag == "li":
+            number = int(re.match(r"\d+", k.note)[0]) if lst.tag == "ol" and k.note[:1].isdigit() else number + 1
             mark = k.note if k.note[:1].isdigit() else f"{number}." if lst.tag == "ol" else "-"
-            parts: list[str] = []
-            _emit_item(k, parts)
-            yield "  " * depth + f"{mark} " + " ".join(parts)
-            for x in k.kids:
-                if x.tag in ("ul", "ol"):
-                    yield from _items(x, depth + 1)
+            parts: list[tuple[str, bool]] = []
+            _item_parts(k, parts, depth)
+            if not parts or parts[0][1]:
+                parts.insert(0, ("", False))
+            first = " ".join(x for x, own in _leading(parts))
+            yield ("  " * depth + f"{mark} " + first).rstrip()
+            for text, own in parts[len(list(_leading(parts))) :]:
+                yield text if own else "  " * (depth + 1) + text
         else:
             text = " ".join(_squeeze(_visible(k)).split())
             if text:
                 yield "  " * depth + text
 
 
-def _emit_item(node: Node, parts: list[str]) -> None:
-    text = " ".join(_squeeze("".join(_visible(k) if k.tag not in _BLOCKS else "\n" + _visible(k) for k in node.kids if k.tag not in ("ul", "ol"))).split())
-    if text:
-        parts.append(text)
+def _leading(parts: list[tuple[str, bool]]) -> list[tuple[str, bool]]:
+    """The first runs of text of an item: they stand behind its mark."""
+    n = next((i for i, (_, own) in enumerate(parts) if own), len(parts))
+    return parts[:n]
+
+
+def _item_parts(node: Node, parts: list[tuple[str, bool]], depth: int) -> None:
+    """What an item holds, in order: text, and whole lines (code, tables, lists) that are indented already."""
+    run: list[str] = []
+
+    def flush() -> None:
+        text = " ".join(_squeeze("".join(run)).split())
+        run.clear()
+        if text:
+            parts.append((text, False))
+
+    inside = "  " * (depth + 1)
+    for k in node.kids:
+        if k.note == "hidden" or k.tag in _INVISIBLE:
+            continue
+        if k.tag not in _BLOCKS:
+            run.append(_visible(k))
+            continue
+        flush()
+        if k.tag == "pre":
+            parts += [(inside + x if x else "", True) for x in _code(k).split("\n")]
+        elif k.tag == "table":
+            parts += [(inside + x, True) for t in _table(k) for x in t.split("\n")]
+        elif k.tag in ("ul", "ol"):
+            parts += [(x, True) for x in _items(k, depth + 1)]
+        else:
+            _item_parts(k, parts, depth)
+    flush()
 
 
 def render(text: str | None) -> tuple[str, set[str]]:

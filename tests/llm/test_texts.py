@@ -255,3 +255,60 @@ def test_inline_markup_wraps_and_has_any_length():
     assert markup.render("![i](data:image/png;base64," + "A" * 5000 + ") b") == ("i b", {"markdown"})
     assert markup.render("**" + "x " * 900 + "y** b")[1] == {"markdown"}
     assert markup.render("- it costs *a\n- b* c")[0] == "- it costs *a\n- b* c"
+
+
+SHOWN = [
+    ("\\begin{tabular}{l|l}\n\\hline\na & b \\\\\nc & \\textbf{d} \\\\\n\\end{tabular}", "a  b\nc  d"),
+    ('<p title="the hidden gem">words</p>', "words"),
+    ('<p class="x hidden y">shown</p><p hidden>gone</p><p style="display: none">gone</p>', "shown"),
+    ("<table><caption>Cap</caption><tr><td>a</td><td>b</td></tr>stray</table>", "Cap\n\nstray\n\na  b"),
+    ("{|\n|+ Caption here\n! a !! b\n|-\n| 1 || 2\n|}", "Caption here\n\na  b\n1  2"),
+    ("<select><option>one<option selected>two</select>", "one two"),
+    ("<ul><li>x<pre>a\n  b\nc</pre></li></ul>", "- x\n  a\n    b\n  c"),
+    ("- item\n\n  ```\n  code\n    more\n  ```\n- next", "- item\n  code\n    more\n- next"),
+    ("- item\n```\ncode\n```\nafter", "- item\n\ncode\n\nafter"),
+    ("\\textbf{two\nlines} end", "two lines end"),
+    ("> - a\n> - b\n>\n> # c\n\nout", "- a\n- b\n\n# c\n\nout"),
+    ("* one\n** two\n*** three\n* four", "- one\n  - two\n    - three\n- four"),
+    ("; term\n: definition", "term\n\ndefinition"),
+    ('<ol start="5"><li>a<li>b<li value="9">c</ol>', "5. a\n6. b\n9. c"),
+    ("| a \\| x | b |\n|---|---|\n| 1 | 2 |", "a | x  b\n1      2"),
+    ("<table><tr><td>out<table><tr><td>in1</td><td>in2</td></tr></table></td><td>z</td></tr></table>", "out in1 in2  z"),
+    ("\\begin{quote}hi there\\end{quote}", "hi there"),
+    ("body[^1]\n\n[^1]: footnote text", "body\n\nfootnote text"),
+    ("[Note]: this is text that stays", "[Note]: this is text that stays"),
+    ("<ul><li>a<ul><li>b<table><tr><td>1</td><td>2</td></tr></table></li></ul></li></ul>", "- a\n  - b\n    1  2"),
+]
+
+
+@pytest.mark.parametrize("text,want", SHOWN)
+def test_visible_text_and_structure_stay(text, want):
+    assert markup.render(text)[0] == want
+
+
+def test_no_visible_word_is_lost_or_invented():
+    """Words inside random markup of all families come out in order, each once."""
+    rng = random.Random(11)
+    inline = ["{}", "**{}**", "*{}*", "<b>{}</b>", "<i class='a hidden b'>{}</i>", "''{}''", "[[T|{}]]", "[{}](u)", "\\emph{{{}}}", "\\textbf{{{}}}", "~~{}~~", "<span\n id='x'>{}</span>", "`{}`"]
+    blocks = ["{}", "# {}", "- {}\n- {}", "> {}", "> - {}\n> # {}", "== {} ==", "<p>{}", "<ul><li>{}<li>{}</ul>", "<table><tr><td>{}<td>{}<tr><td>{}</table>", "| {} | {} |\n|---|---|\n| {} | {} |", "{{|\n| {} || {}\n|-\n| {}\n|}}", "\\begin{{itemize}}\n\\item {}\n\\item {}\n\\end{{itemize}}", "\\begin{{tabular}}{{ll}}\n{} & {} \\\\\n{} & {}\n\\end{{tabular}}", "```\n{}\n  {}\n```", "- {}\n\n  ```\n  {}\n  ```", "<pre>{}\n{}</pre>", "1. {}\n   1. {}", "<blockquote>{}<p>{}</blockquote>", "<!-- gone -->{}", "<dl><dt>{}<dd>{}</dl>"]
+    for _ in range(1500):
+        count, parts = 0, []
+        for _ in range(rng.randrange(1, 6)):
+            block = rng.choice(blocks)
+            literal = block.startswith(("```", "<pre", "- {}\n\n  ```"))
+            holes = len(re.findall(r"(?<!\{)\{\}(?!\})", block))
+            words = []
+            for _ in range(holes):
+                word = f"w{count}x"
+                words.append(word if literal else rng.choice(inline).format(word))
+                count += 1
+            parts.append(block.format(*words))
+        text = "\n\n".join(parts)
+        assert re.findall(r"w\d+x", markup.render(text)[0]) == [f"w{i}x" for i in range(count)], text
+
+
+def test_deep_and_hostile_markup_is_bounded():
+    for text in ("> " * 3000 + "x", "- " * 3000 + "x", "\\textbf{" * 3000 + "x" + "}" * 3000, "<b>" * 3000 + "x", "    ```\n" * 3000, "\\a[" * 20000, "[" * 20000, "<ul><li>" * 400 + "x"):
+        began = time.time()
+        assert "x" in markup.render(text)[0] or "x" not in text
+        assert time.time() - began < 5
