@@ -62,15 +62,20 @@ def has_tag(tags: Column, wanted: list[str]) -> Column:
     return F.coalesce(F.exists(tags, lambda t: F.lower(F.regexp_replace(t, "^#", "")).isin(names)), F.lit(False)) if names else F.lit(False)
 
 
-def retrieval_filter(chunks: DataFrame, folder: str | None = None, tag: str | None = None, project_folder: str | None = None, since_mtime: int | None = None) -> DataFrame:
-    """The chunks a search is about; statistics are made of these only."""
-    out = chunks
+def retrieval_condition(folder: str | None = None, tag: str | None = None, project_folder: str | None = None, since_mtime: int | None = None) -> Column:
+    """Which chunks a search is about."""
+    out = F.lit(True)
     if folder:
-        out = out.where(under_folder(F.col("note_path"), folder))
+        out = out & under_folder(F.col("note_path"), folder)
     if project_folder:
-        out = out.where(under_folder(F.col("note_path"), project_folder))
+        out = out & under_folder(F.col("note_path"), project_folder)
     if tag:
-        out = out.where(has_tag(F.col("tags"), [tag]))
+        out = out & has_tag(F.col("tags"), [tag])
     if since_mtime:
-        out = out.where(F.col("mtime") >= since_mtime)
+        out = out & (F.col("mtime") >= since_mtime)
     return out
+
+
+def retrieval_filter(chunks: DataFrame, folder: str | None = None, tag: str | None = None, project_folder: str | None = None, since_mtime: int | None = None) -> DataFrame:
+    """The chunks a search is about; statistics are made of these only."""
+    return chunks.where(retrieval_condition(folder, tag, project_folder, since_mtime))

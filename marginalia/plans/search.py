@@ -9,7 +9,7 @@ from pyspark.sql import window as W
 from marginalia.functions import text as T
 from marginalia.operators import filters, lexical, ranking, vector
 from marginalia.plans import sqlparts as S
-from marginalia.session import materialize, table
+from marginalia.session import table
 
 LIMIT = 8
 
@@ -18,9 +18,18 @@ def _chunks(spark: SparkSession, d: str) -> DataFrame:
     return lexical.distinct_chunks(table(spark, d, "chunks"))
 
 
-def _index(spark: SparkSession, d: str) -> DataFrame:
-    """What searches run on: each chunk once and tokenised, written once, since a search reads it several times."""
-    return materialize(lexical.indexed(_chunks(spark, d)), "index")
+_built: dict[tuple, lexical.Index] = {}
+
+
+def _index(spark: SparkSession, d: str) -> lexical.Index:
+    """The index searches run on, built once a session and state of the table."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{d}/chunks.parquet")
+    held = path.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(path)
+    status = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path)
+    key = spark.sparkContext.applicationId, d, held.getLength(), status.getModificationTime()
+    if key not in _built:
+        _built[key] = lexical.build(_chunks(spark, d))
+    return _built[key]
 
 
 def _queries(spark: SparkSession, d: str) -> DataFrame:
@@ -68,27 +77,24 @@ def f23_field_terms(spark, d):
 
 
 def g1_term_frequency(spark, d):
-    return lexical.term_frequencies(_chunks(spark, d))
+    return _index(spark, d).postings.where("tf > 0").select("chunk_id", "term", F.col("tf").cast("long").alias("tf"))
 
 
 def g2_document_frequency(spark, d):
-    return lexical.term_frequencies(_chunks(spark, d)).groupBy("term").agg(F.count("*").alias("df"))
+    return _index(spark, d).df.select("term", "df")
 
 
 def g3_corpus_size(spark, d):
-    n = F.size(T.tokens(F.col("text")))
-    return _chunks(spark, d).agg(F.count("*").alias("n"), F.sum(n).alias("total"), F.round(F.avg(n), 6).alias("avgdl"))
+    return _index(spark, d).facts.agg(F.count("*").alias("n"), F.sum("dl").alias("total"), F.round(F.avg("dl"), 6).alias("avgdl"))
 
 
 def g4_idf(spark, d):
-    c = _chunks(spark, d)
-    df = lexical.term_frequencies(c).groupBy("term").agg(F.count("*").alias("df"))
-    n = c.agg(F.count("*").alias("n")).scalar()
-    return df.select("term", F.round(F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)), 6).alias("idf"))
+    index = _index(spark, d)
+    return index.df.select("term", F.round(lexical.idf(F.col("df"), index.n), 6).alias("idf"))
 
 
 def g6_heading_terms(spark, d):
-    return _chunks(spark, d).select("chunk_id", F.explode(F.array_distinct(T.tokens(F.coalesce("heading", F.lit(""))))).alias("term"))
+    return _index(spark, d).postings.where("in_head").select("chunk_id", "term")
 
 
 def q1_lexical_search(spark, d):
@@ -103,14 +109,14 @@ def q1_short_queries(spark, d):
 
 def _filtered(where):
     def run(spark, d):
-        return _rounded(lexical.search(where(_index(spark, d)), _queries(spark, d), LIMIT)).withColumn("matched", F.array_join("matched", " "))
+        return _rounded(lexical.search(_index(spark, d).where(where), _queries(spark, d), LIMIT)).withColumn("matched", F.array_join("matched", " "))
 
     return run
 
 
-b6_search_in_folder = _filtered(lambda c: filters.retrieval_filter(c, folder="Projects/Heronfield"))
-b6_search_with_tag = _filtered(lambda c: filters.retrieval_filter(c, tag="#TODO"))
-b12_search_since = _filtered(lambda c: filters.retrieval_filter(c, since_mtime=1750000000000))
+b6_search_in_folder = _filtered(filters.retrieval_condition(folder="Projects/Heronfield"))
+b6_search_with_tag = _filtered(filters.retrieval_condition(tag="#TODO"))
+b12_search_since = _filtered(filters.retrieval_condition(since_mtime=1750000000000))
 
 
 def b13_empty_query(spark, d):
