@@ -109,14 +109,14 @@ def q1_short_queries(spark, d):
 
 def _filtered(where):
     def run(spark, d):
-        return _rounded(lexical.search(_index(spark, d).where(where), _queries(spark, d), LIMIT)).withColumn("matched", F.array_join("matched", " "))
+        return _rounded(lexical.search(_index(spark, d).where(where()), _queries(spark, d), LIMIT)).withColumn("matched", F.array_join("matched", " "))
 
     return run
 
 
-b6_search_in_folder = _filtered(filters.retrieval_condition(folder="Projects/Heronfield"))
-b6_search_with_tag = _filtered(filters.retrieval_condition(tag="#TODO"))
-b12_search_since = _filtered(filters.retrieval_condition(since_mtime=1750000000000))
+b6_search_in_folder = _filtered(lambda: filters.retrieval_condition(folder="Projects/Heronfield"))
+b6_search_with_tag = _filtered(lambda: filters.retrieval_condition(tag="#TODO"))
+b12_search_since = _filtered(lambda: filters.retrieval_condition(since_mtime=1750000000000))
 
 
 def b13_empty_query(spark, d):
