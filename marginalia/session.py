@@ -29,11 +29,25 @@ def scratch_dir(spark: SparkSession) -> str:
     return named
 
 
+#: Lets Spark delete the shuffles of a query when it ends (a setting of Spark).
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame, label: str = "cut") -> DataFrame:
-    """Write ``df`` as a Parquet table in the shared folder and read it back: a lineage cut that survives lost executors."""
+    """Write ``df`` as a Parquet table in the shared folder and read it back: a lineage cut that survives lost executors.
+
+    Once the table is written nothing needs the shuffles that made it, so they are deleted at once."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path
     return out
