@@ -242,7 +242,8 @@ def test_neighbours_recall_and_close_pairs(spark):
     for i in range(len(x)):
         mine = sorted(got[f"v{i:04d}"])
         assert [m[0] for m in mine] == list(range(1, 11)) and all(m[1] != f"v{i:04d}" for m in mine)
-        floor = np.sort(s[i])[-10] - 1e-3
+        floor = np.sort(s[i])[-10] - 1e-6
+        assert all(abs(s[i][int(m[1][1:])] - m[2]) < 1e-6 for m in mine)  # the cosines are exact
         hit += sum(s[i][int(m[1][1:])] >= floor for m in mine)
     assert hit / (10 * len(x)) >= 0.9
     assert set(got) == {k for k, _ in rows}
@@ -252,6 +253,23 @@ def test_neighbours_recall_and_close_pairs(spark):
     assert neighbors.close_pairs(df.limit(0), "chunk_id", "v").count() == 0
 
 
+def test_best_of_rows_and_packed_graphs():
+    rng = np.random.default_rng(2)
+    for width in (30, 700, 5000):
+        s = rng.standard_normal((40, width)).astype(np.float32)
+        s[3] = 1.0  # ties
+        i, j = neighbors._best_of_rows(s, 6)
+        for r in range(40):
+            mine = s[r][j[i == r]]
+            assert len(mine) >= 6 and np.allclose(np.sort(mine)[-6:], np.sort(s[r])[-6:])
+    ids, others = np.array([1, 1, 4]), np.array([7, 8, 9])
+    batch = neighbors._packed(ids, others, np.array([0.5, 0.25, 1.0], np.float32), np.array([True, False, True]))
+    assert batch.num_rows == 2 and batch.column(5).to_pylist() == [1, 1]
+    for part, want in ((batch, (ids, others)), (batch.slice(1), (ids[2:], others[2:])), (batch.slice(0, 0), (ids[:0], others[:0]))):
+        got = neighbors._unpacked(part)
+        assert all(np.array_equal(a, b) for a, b in zip(got, want, strict=False))
+
+
 def test_current_vectors(spark):
     df = spark.createDataFrame([("a", "h1", [1.0], 1), ("a", "h2", [2.0], 5), ("a", "h2", [2.0], 5), ("b", "h", None, 9), ("b", "h", [1.0], 2), (None, "h", [1.0], 1)], "chunk_id string, h string, v array<double>, run_id int")
     assert {r["chunk_id"]: r["v"] for r in neighbors.current_vectors(df).collect()} == {"a": [2.0], "b": None}
