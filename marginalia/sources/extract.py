@@ -159,7 +159,11 @@ def office(path: str, data: bytes | None) -> str | None:
 
 
 #: Groups of RTF that hold no text, and control words that stand for characters (fixed values).
-_RTF_SKIP = set("fonttbl colortbl stylesheet info pict object header footer headerl headerr headerf footerl footerr footerf generator listtable listoverridetable themedata datastore xmlnstbl filetbl revtbl rsidtbl".split())
+#: Destinations whose text is not part of the document (fixed values), and more of their kind.
+_RTF_SKIP = set(
+    "fonttbl colortbl stylesheet info pict object header footer footnote themedata colorschememapping latentstyles datastore xmlnstbl "
+    "headerl headerr headerf footerl footerr footerf generator listtable listoverridetable filetbl revtbl rsidtbl".split()
+)
 _RTF_CHARS = {"par": "\n", "line": "\n", "sect": "\n", "page": "\n", "row": "\n", "tab": "\t", "cell": "\t", "emdash": "—", "endash": "–", "bullet": "•", "lquote": "‘", "rquote": "’", "ldblquote": "“", "rdblquote": "”"}
 _RTF = re.compile(rb"\\([A-Za-z]{1,32})(-?\d{1,10})? ?|\\'([0-9a-fA-F]{2})|\\([^A-Za-z])|([{}])|[\r\n]+|([^\\{}\r\n]+)")
 
