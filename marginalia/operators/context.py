@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import window as W
 
 from marginalia.functions import text as T
 from marginalia.operators import budget
+from marginalia.operators.ordered import placed, previous, running
 
 #: Limits of what one answer holds (fixed values).
 LEAST_CHARS, MOST_CHARS, DEFAULT_CHARS, SESSIONS, MOST_SESSIONS = 1000, 50_000, 12_000, 5, 20
@@ -39,15 +39,20 @@ def carry_length(previous: Column, text: Column) -> Column:
 
 def section_groups(chunks: DataFrame) -> DataFrame:
     """``group_no`` and ``own_text`` of chunks: windows of one section belong together if each begins with the end of the one
-    before (behind the repeated heading line), and their own text leaves that carry out."""
-    w = W.Window.partitionBy("note_path").orderBy("start_line", "end_line", "chunk_id")
+    before (behind the repeated heading line), and their own text leaves that carry out.
+
+    Only the ends of the texts that can overlap are ordered and compared, in parts of a note (see ``ordered``)."""
+    order = ["start_line", "end_line", "chunk_id"]
     body = F.when(F.coalesce("heading", F.lit("")) != "", F.regexp_replace("text", "^#{1,6} [^\\n]*\\n\\n?", "")).otherwise(F.col("text"))
-    own = chunks.withColumn("__body", body)
-    before = own.withColumn("__last", F.lag("text").over(w)).withColumn("__h", F.lag(F.struct("heading", "heading_path")).over(w))
-    carry = F.when(F.col("__h") == F.struct("heading", "heading_path"), carry_length(F.col("__last"), F.col("__body"))).otherwise(0)
-    marked = before.withColumn("__carry", F.coalesce(carry, F.lit(0)))
-    grouped = marked.withColumn("group_no", F.sum((F.col("__carry") == 0).cast("int")).over(w))
-    return grouped.withColumn("own_text", F.when(F.col("__carry") > 0, T.strip_ws(F.expr("substring(__body, __carry + 1)"))).otherwise(F.col("text"))).drop("__body", "__last", "__h", "__carry")
+    slim = chunks.select("note_path", *order, F.struct("heading", "heading_path").alias("section"), F.right("text", F.lit(MOST_CARRY)).alias("tail"), F.left(body, F.lit(MOST_CARRY)).alias("head"))
+    before = previous(placed(slim, ["note_path"], order), ["note_path"], order, "section", "tail")
+    carry = F.when(F.col("previous.section") == F.col("section"), carry_length(F.col("previous.tail"), F.col("head"))).otherwise(0)
+    carried = before.select("note_path", *order, "__part", F.coalesce(carry, F.lit(0)).alias("carry"))
+    numbered = running(carried, ["note_path"], order, starts=(F.col("carry") == 0).cast("int"))
+    groups = numbered.select("chunk_id", F.col("note_path").alias("__note"), "carry", (F.col("before_starts") + (F.col("carry") == 0).cast("int")).alias("group_no"))
+    both = chunks.withColumn("__body", body).join(groups, "chunk_id").where(F.col("note_path").eqNullSafe(F.col("__note")))
+    own = F.when(F.col("carry") > 0, T.strip_ws(F.expr("substring(__body, carry + 1)"))).otherwise(F.col("text"))
+    return both.select(*chunks.columns, "group_no", own.alias("own_text"))
 
 
 def outline(chunks: DataFrame) -> DataFrame:
@@ -68,6 +73,22 @@ def projects(paths: DataFrame, root: str) -> DataFrame:
     return paths.where(F.col("path").startswith(root + "/")).select(F.split(rest, "/")[0].alias("project")).where("project <> ''").distinct()
 
 
+def note_contents(chunks: DataFrame, wanted: Column, most: int = DEFAULT_CHARS) -> DataFrame:
+    """note_path, content of the wanted notes, put together from their chunks: as far as ``most`` characters need them."""
+    own = chunks.where(wanted).select("note_path", "start_line", "chunk_id", "text")
+    near = running(own, ["note_path"], ["start_line", "chunk_id"], chars=F.length("text")).where(F.col("before_chars") <= most)
+    parts = F.array_sort(F.collect_list(F.struct("n", "text")))
+    return near.groupBy("note_path").agg(F.array_join(F.transform(parts, lambda x: x["text"]), "\n\n").alias("content"))
+
+
+def named_files(root: str = "", folder: str | None = None, names: list[str] | None = None) -> Column:
+    """Whether ``note_path`` is one of the named files of a folder, or of any folder directly below ``root``."""
+    if folder is not None:
+        return F.col("note_path").isin([f"{folder}/{n}.md" for n in names or []])
+    inside = F.split(F.expr(f"substring(note_path, {len(root) + 2})"), "/")
+    return F.col("note_path").startswith(root + "/") & (F.size(inside) == 2) & (inside[0] != "") & inside[1].isin([f"{n}.md" for n in names or []])
+
+
 def assembled_context(notes: DataFrame, names: list[str], folder: str, most: int = DEFAULT_CHARS) -> DataFrame:
     """The named files of a folder in their fixed order, blank ones left out, within a budget: ord, note_path, shown, kept."""
     order = F.coalesce(*[F.when(F.col("note_path") == f"{folder}/{n}.md", F.lit(i)) for i, n in enumerate(names)])
@@ -78,7 +99,7 @@ def project_contexts(notes: DataFrame, root: str, most: int = DEFAULT_CHARS) ->
     """The contexts of all projects below a folder, each within its own budget: folder, ord, note_path, shown, kept."""
     inside = F.split(F.expr(f"substring(note_path, {len(root) + 2})"), "/")
     order = F.coalesce(*[F.when(inside[1] == f"{n}.md", F.lit(i)) for i, n in enumerate(PROJECT_FILES)])
-    direct = notes.where(F.col("note_path").startswith(root + "/")).where((F.size(inside) == 2) & (inside[0] != ""))
+    direct = notes.where(named_files(root, names=PROJECT_FILES))
     return _assembled(direct.withColumn("folder", F.concat(F.lit(root + "/"), inside[0])).withColumn("ord", order), most)
 
 

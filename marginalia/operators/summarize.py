@@ -25,10 +25,11 @@ def units(notes: DataFrame, key: str = "note_path", text: str = "text", order: l
     """
     order = order or []
     each = notes.select(key, *order, F.posexplode(sentences(F.col(text))).alias("__i", "sentence"))
-    same = W.Window.partitionBy(key, F.lower("sentence")).orderBy(*order, "__i")
-    first = each.withColumn("__n", F.row_number().over(same)).where("__n = 1")
+    place = F.struct(*order, "__i", "sentence")
+    first = each.groupBy(key, F.lower("sentence")).agg(F.min(place).alias("f")).select(key, "f.*")
     w = W.Window.partitionBy(key).orderBy(*order, "__i")
-    return first.withColumn("pos", F.row_number().over(w) - 1).where(F.col("pos") < MOST_UNITS).select(key, "pos", "sentence")
+    # the limit on a row number is applied to each part of a note before it is put together
+    return first.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= MOST_UNITS).select(key, (F.col("__n") - 1).alias("pos"), "sentence")
 
 
 def centrality(sentence_units: DataFrame, key: str = "note_path") -> DataFrame:

@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql import window as W
 
 from marginalia.functions import text as T
-from marginalia.operators import budget, chunker, context, embed, links, summarize
+from marginalia.operators import budget, chunker, context, embed, links, ordered, summarize
 from marginalia.operators.lexical import distinct_chunks
 from marginalia.plans import sqlparts as S
 from marginalia.session import table
@@ -88,8 +87,8 @@ def g11_note_mtimes(spark, d):
 
 
 def w3_ordinals(spark, d):
-    w = W.Window.partitionBy("note_path").orderBy("start_line", "end_line", "chunk_id")
-    return _chunks(spark, d).select("chunk_id", (F.row_number().over(w) - 1).alias("pos"))
+    slim = _chunks(spark, d).select("note_path", "start_line", "end_line", "chunk_id")
+    return ordered.running(slim, ["note_path"], ["start_line", "end_line", "chunk_id"]).select("chunk_id", (F.col("n") - 1).cast("int").alias("pos"))
 
 
 def w6_budgeted_blocks(spark, d):
@@ -115,9 +114,11 @@ def q8_passages(spark, d):
 
 
 def q9_project_context(spark, d):
-    notes = _chunks(spark, d).groupBy("note_path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start_line", "chunk_id", "text"))), lambda x: x["text"]), "\n\n").alias("content"))
-    everywhere = context.assembled_context(notes, context.GLOBAL_FILES, "Memory/Global", 2500).withColumn("folder", F.lit("Memory/Global"))
-    both = context.project_contexts(notes, "Projects", 2500).unionByName(everywhere)
+    """The contexts of every project and of Memory/Global: the named files of each, in their order, within a budget."""
+    here, everywhere = context.named_files("Projects", names=context.PROJECT_FILES), context.named_files(folder="Memory/Global", names=context.GLOBAL_FILES)
+    notes = context.note_contents(_chunks(spark, d), here | everywhere, 2500)
+    shared = context.assembled_context(notes, context.GLOBAL_FILES, "Memory/Global", 2500).withColumn("folder", F.lit("Memory/Global"))
+    both = context.project_contexts(notes, "Projects", 2500).unionByName(shared)
     return both.select("folder", "ord", "note_path", "kept", F.length("shown").alias("chars"))
 
 
