@@ -62,6 +62,11 @@ def has_tag(tags: Column, wanted: list[str]) -> Column:
     return F.coalesce(F.exists(tags, lambda t: F.lower(F.regexp_replace(t, "^#", "")).isin(names)), F.lit(False)) if names else F.lit(False)
 
 
+def own_artifact(path: Column, root: str = "Memory") -> Column:
+    """Whether a path is one of the engine's own files: its index or the copy of its settings."""
+    return under_folder(path, f"{root}/Index") | under_folder(path, f"{root}/Config")
+
+
 def retrieval_condition(folder: str | None = None, tag: str | None = None, project_folder: str | None = None, since_mtime: int | None = None) -> Column:
     """Which chunks a search is about."""
     out = F.lit(True)

@@ -33,6 +33,68 @@ def refreshed(chunks: DataFrame, change: DataFrame, rechunked: DataFrame) -> Dat
     return chunks.join(keep, "note_path", "left_semi").unionByName(rechunked.join(redo, "note_path", "left_semi"))
 
 
+def refresh(notes: DataFrame, chunks: DataFrame, forced: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(new chunk table, changes) of an index after the notes changed: only added and updated notes are cut into chunks again.
+
+    ``notes``: note_path, mtime, content (null for a stub that was not read: its chunks are kept as they are); ``chunks``: the
+    chunk table so far. Contents of unchanged notes are never looked at."""
+    from marginalia.operators.chunker import chunk_notes
+
+    change = changes(notes.select("note_path", "mtime"), chunks.select("note_path", "mtime"), forced)
+    redo = notes.join(change.where(F.col("change").isin("added", "updated")).select("note_path"), "note_path", "left_semi")
+    again = chunk_notes(redo)
+    common = [c for c in chunks.columns if c in again.columns]
+    return refreshed(chunks.select(*common), change, again.select(*common)), change
+
+
+def counts(change: DataFrame, chunks: DataFrame, had_index: bool) -> DataFrame:
+    """added, updated, removed of a refresh, one row. The first refresh, without an index, gives its chunks as added."""
+    if not had_index:
+        return chunks.agg(F.count("*").alias("added")).select("added", F.lit(0).cast("long").alias("updated"), F.lit(0).cast("long").alias("removed"))
+    return change.agg(*[F.count(F.when(F.col("change") == c, 1)).alias(c) for c in ("added", "updated", "removed")])
+
+
+class ExtractionCache:
+    """Extracted texts by path and mtime, negative results (null text) too; written only when something was remembered or dropped.
+
+    A cache of another version is taken as empty, and :meth:`consume_reset` then says once that all must be read again."""
+
+    SCHEMA = "path string, mtime bigint, extracted_text string"
+
+    def __init__(self, spark: SparkSession, root: str, version: int = INDEX_VERSION):
+        self.store, self.spark = Store(spark, root, version), spark
+        held = self.store.load()
+        self.reset = held is None and bool(self.store._manifests())
+        self.rows, self.dirty = (held if held is not None else spark.createDataFrame([], self.SCHEMA)), False
+
+    def consume_reset(self) -> bool:
+        found, self.reset = self.reset, False
+        return found
+
+    def lookup(self, files: DataFrame) -> DataFrame:
+        """path, mtime, hit, text of the files (path, mtime)."""
+        known = self.rows.select("path", "mtime", F.col("extracted_text").alias("text"), F.lit(True).alias("__hit")).dropDuplicates(["path", "mtime"])
+        return files.join(known, ["path", "mtime"], "left").select("path", "mtime", F.coalesce("__hit", F.lit(False)).alias("hit"), "text")
+
+    def remember(self, extracted: DataFrame) -> None:
+        """Add results (path, mtime, text; null: nothing to extract). Older entries of these paths go."""
+        new = extracted.select("path", "mtime", F.col("text").alias("extracted_text"))
+        self.rows = self.rows.join(new.select("path"), "path", "left_anti").unionByName(new)
+        self.dirty = True
+
+    def prune(self, live: DataFrame) -> None:
+        self.rows = pruned_cache(self.rows, live)
+        self.dirty = True
+
+    def persist(self) -> bool:
+        """Write what changed; whether anything was written."""
+        if not self.dirty:
+            return False
+        self.store.save(self.rows)
+        self.rows, self.dirty = self.store.load(), False
+        return True
+
+
 def embedding_plan(chunks: DataFrame, stored: DataFrame, same_identity: bool = True) -> DataFrame:
     """chunk_id, action: ``reuse`` a stored vector (same text hash), ``embed``, or ``remove`` one whose chunk is gone.
 
@@ -83,9 +145,9 @@ class Store:
         found = self.properties()
         return self.spark.read.parquet(f"{self.root}/{found['data']}") if found else None
 
-    def save(self, df: DataFrame, changed: int | None = None, **properties) -> bool:
-        """Write a new version; with ``changed`` = 0 nothing is written."""
-        if changed == 0:
+    def save(self, df: DataFrame, changed: int | None = None, identity_changed: bool = False, **properties) -> bool:
+        """Write a new version; with ``changed`` = 0 nothing is written, unless the identity of the provider changed."""
+        if changed == 0 and not identity_changed:
             return False
         data = f"data-{uuid.uuid4().hex}"
         df.write.parquet(f"{self.root}/{data}")

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from marginalia.functions import text as T
-from marginalia.operators import budget, chunker, context, embed, links, ordered, summarize
-from marginalia.operators.lexical import distinct_chunks
+from marginalia.operators import budget, chunker, context, embed, links, measure, ordered, summarize
+from marginalia.operators.lexical import distinct_chunks, field_terms
 from marginalia.plans import sqlparts as S
 from marginalia.session import table
 
@@ -41,11 +41,11 @@ def f8_inline_tags(spark, d):
 
 
 def f9_link_targets(spark, d):
-    return _chunks(spark, d).select("chunk_id", F.array_join(F.regexp_extract_all("text", F.lit(r"\[\[([^\]|#]+)(?:[#|][^\]]*)?\]\]"), F.lit(1)), "\n").alias("targets"))
+    return chunker.targets(_chunks(spark, d), "chunk_id", "text").select("chunk_id", F.array_join("wiki", "\n").alias("targets"))
 
 
 def f12_titles(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.nullif(F.regexp_extract(F.replace("text", F.lit("\r"), F.lit("")), "(?m)^# +(\\S[^\\n]*)$", 1), F.lit("")).alias("title"))
+    return chunker.note_metadata(_notes(spark, d)).select("note_path", "title")
 
 
 def f15_fnv_hashes(spark, d):
@@ -150,8 +150,9 @@ def t6_diverse_vectors(spark, d):
 
 
 def u2_term_sources(spark, d):
-    c = _chunks(spark, d)
-    return c.select("chunk_id", F.size(F.array_union(F.coalesce("aliases", F.array().cast(_EMPTY)), F.coalesce("heading_path", F.array().cast(_EMPTY)))).alias("n"))
+    """How many distinct terms file name, aliases and ancestor headings of a chunk give together."""
+    n = F.size(field_terms(F.col("note_path"), F.col("aliases"), F.col("heading_path")))
+    return _chunks(spark, d).select("chunk_id", n.alias("n"))
 
 
 def m2_hashed_words(spark, d):
@@ -160,8 +161,7 @@ def m2_hashed_words(spark, d):
 
 
 def f10_markdown_links(spark, d):
-    found = F.regexp_extract_all("text", F.lit(r"\[[^\]]*\]\(([^)]+)\)"), F.lit(1))
-    return _chunks(spark, d).select("chunk_id", F.array_join(F.filter(found, lambda t: ~t.rlike("(?i)^([a-z][a-z0-9+.-]*://|mailto:)")), "\n").alias("targets"))
+    return chunker.targets(_chunks(spark, d), "chunk_id", "text").select("chunk_id", F.array_join("markdown", "\n").alias("targets"))
 
 
 def d2_minute_labels(spark, d):
@@ -169,10 +169,15 @@ def d2_minute_labels(spark, d):
 
 
 def g17_distinct_sentences(spark, d):
-    notes = table(spark, d, "eval_items").select(F.col("item_id").cast("string").alias("note_path"), "text")
+    notes = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("note_path"), "text")
     return summarize.units(notes).groupBy("note_path").agg(F.count("*").alias("units"), F.sum(F.length("sentence")).alias("chars"))
 
 
+def g18_percentiles(spark, d):
+    out = measure.percentiles(table(spark, d, "documents"), "lang", "n_chars")
+    return out.select("lang", "p50", "p95", F.round("mean", 6).alias("mean"))
+
+
 def u4_removed_vectors(spark, d):
     return table(spark, d, "vectors").select("chunk_id").distinct().join(table(spark, d, "chunks").select("chunk_id").distinct(), "chunk_id", "left_anti")
 
@@ -180,7 +185,7 @@ def u4_removed_vectors(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        m2_hashed_words, f10_markdown_links, d2_minute_labels, g17_distinct_sentences, u4_removed_vectors, i1_chunk_notes, i6_build_counts, f7_metadata, f8_inline_tags, f9_link_targets, f12_titles, f15_fnv_hashes, f18_breadcrumbs, f19_line_ranges, f20_clipped, d1_day_labels, q6_related_notes, j9_link_edges, g8_paths_per_key,
+        m2_hashed_words, f10_markdown_links, d2_minute_labels, g17_distinct_sentences, g18_percentiles, u4_removed_vectors, i1_chunk_notes, i6_build_counts, f7_metadata, f8_inline_tags, f9_link_targets, f12_titles, f15_fnv_hashes, f18_breadcrumbs, f19_line_ranges, f20_clipped, d1_day_labels, q6_related_notes, j9_link_edges, g8_paths_per_key,
         g11_note_mtimes, w3_ordinals, w6_budgeted_blocks, w7_listed_links, b9_line_range, q8_outline, q8_passages, q9_project_context, q10_recent_sessions, g12_projects, g10_index_stats, q7_summaries, q7_note_summaries, t6_diverse_vectors, u2_term_sources,
     )
 }
@@ -191,6 +196,22 @@ _EDGES = f"""outl AS (SELECT DISTINCT note_path AS src, {S.link_key('l')} AS key
   edges AS (SELECT DISTINCT src, dst FROM outl JOIN nk USING (key) WHERE key <> '' AND src <> dst)"""
 _UNITS = "l AS (SELECT item_id::VARCHAR AS note_path, list_transform(regexp_split_to_array(text, '\\r?\\n+'), lambda x: trim(regexp_replace(trim(x), '^(?:#{1,6}\\s+|[-*+]\\s+|>\\s*|[0-9]+[.)]\\s+)', ''))) AS lines FROM eval_items)"
 
+_MARKS = f"regexp_replace({S.strip('x')}, '^(?:#{{1,6}}{S.WS}+|[-*+]{S.WS}+|>{S.WS}*|[0-9]+[.)]{S.WS}+)', '')"
+_GROUPS = f"""b AS (SELECT *, CASE WHEN coalesce(heading, '') <> '' THEN regexp_replace(text, '^#{{1,6}} [^\\n]*\\n\\n?', '') ELSE text END AS body FROM dchunks),
+  p AS (SELECT *, lag(text) OVER o AS prev, lag({{'h': heading, 'p': heading_path}}) OVER o AS ph, row_number() OVER o AS rn FROM b WINDOW o AS (PARTITION BY note_path ORDER BY start_line, end_line, chunk_id)),
+  c AS (SELECT *, CASE WHEN rn > 1 AND ph IS NOT DISTINCT FROM {{'h': heading, 'p': heading_path}} AND heading IS NOT NULL AND heading_path IS NOT NULL THEN coalesce(list_max(list_filter(range(12, 201), lambda n: length(body) >= n AND ends_with(prev, body[1:n]))), 0) ELSE 0 END AS carry FROM p),
+  g AS (SELECT *, sum((carry = 0)::INT) OVER (PARTITION BY note_path ORDER BY start_line, end_line, chunk_id ROWS UNBOUNDED PRECEDING)::BIGINT AS group_no, CASE WHEN carry > 0 THEN {S.strip('body[carry + 1:]')} ELSE text END AS own, CASE WHEN len({_CRUMBS}) = 0 THEN '(top)' ELSE array_to_string({_CRUMBS}, ' › ') END AS label FROM c)"""
+
+
+def _sentences(source: str) -> str:
+    """CTEs up to ``u`` (note_path, pos, sentence) of the distinct sentences, the first 200 of each note, of a query of note_path, o1, o2, text."""
+    split = "CASE WHEN len(regexp_extract_all(x, '[^.!?]+(?:[.!?]+|$)')) > 0 THEN regexp_extract_all(x, '[^.!?]+(?:[.!?]+|$)') ELSE [x] END"
+    return f"""src AS ({source}), ls AS (SELECT note_path, o1, o2, list_transform(regexp_split_to_array(text, '\\r?\\n+'), lambda x: {S.strip(_MARKS)}) AS lines FROM src),
+  ss AS (SELECT note_path, o1, o2, list_filter(list_transform(flatten(list_transform(lines, lambda x: {split})), lambda y: {S.strip('y')}), lambda z: length(z) >= 2) AS s FROM ls),
+  es AS (SELECT note_path, o1, o2, unnest(s) AS sentence, generate_subscripts(s, 1) AS i FROM ss), fs AS (SELECT * FROM es QUALIFY row_number() OVER (PARTITION BY note_path, lower(sentence) ORDER BY o1, o2, i) = 1),
+  us AS (SELECT note_path, sentence, row_number() OVER (PARTITION BY note_path ORDER BY o1, o2, i) AS n FROM fs), u AS (SELECT note_path, n - 1 AS pos, sentence FROM us WHERE n <= 200)"""
+
+
 SQL = {
     "m2_hashed_words": f"""WITH t AS (SELECT item_id, unnest({S.raw_tokens('text')}) AS w FROM eval_items), h AS (SELECT item_id, list_reduce(list_transform(string_split(w, ''), lambda c: unicode(c)::HUGEINT), lambda h, c: (xor(h::BIGINT, c::BIGINT)::HUGEINT * 16777619) % 4294967296, 2166136261::HUGEINT)::BIGINT AS h FROM t),
         s AS (SELECT item_id, (h % 64)::INT AS i, sum(CASE WHEN h % 2 = 1 THEN 1.0 ELSE -1.0 END)::DOUBLE AS s FROM h GROUP BY ALL), n AS (SELECT *, sqrt(sum(s * s) OVER (PARTITION BY item_id)) AS n FROM s) SELECT item_id, i, round(s / n, 6) AS x FROM n WHERE s <> 0""",
@@ -199,7 +220,9 @@ SQL = {
     "u4_removed_vectors": "SELECT DISTINCT chunk_id FROM vectors WHERE chunk_id NOT IN (SELECT chunk_id FROM chunks)",
     "f8_inline_tags": f"{_DC} SELECT chunk_id, array_to_string(list_filter(regexp_extract_all(text, '(^|{S.WS}|\\()#([A-Za-z0-9_][A-Za-z0-9_/-]*)', 2), lambda t: NOT regexp_full_match(t, '[0-9]+')), ' ') AS tags FROM dchunks",
     "f9_link_targets": f"{_DC} SELECT chunk_id, array_to_string(regexp_extract_all(text, '\\[\\[([^\\]|#]+)(?:[#|][^\\]]*)?\\]\\]', 1), chr(10)) AS targets FROM dchunks",
-    "f12_titles": "SELECT doc_id, nullif(regexp_extract(replace(text, chr(13), ''), '(?m)^# +(\\S[^\\n]*)$', 1), '') AS title FROM documents",
+    "f12_titles": f"""WITH t AS (SELECT note_path || '#' || doc_id AS note_path, replace(text, chr(13) || chr(10), chr(10)) AS t FROM documents WHERE text IS NOT NULL),
+        f AS (SELECT note_path, t, regexp_extract(t, '^---[ \\t]*\\n((?:.*\\n)*?)---[ \\t]*(?:\\n|$)', 1) AS front, regexp_replace(t, '^---[ \\t]*\\n(?:.*\\n)*?---[ \\t]*(?:\\n|$)', '') AS body FROM t)
+        SELECT note_path, coalesce(nullif(regexp_replace(trim(regexp_extract(front, '(?mi)^title[ \\t]*:[ \\t]*(.*)$', 1)), '^["'']|["'']$', '', 'g'), ''), nullif({S.strip("regexp_extract(body, '(?m)^#[ \\t]+(.+)$', 1)")}, '')) AS title FROM f""",
     "f15_fnv_hashes": "WITH p AS (SELECT DISTINCT path FROM vault_files) SELECT path, lower(to_hex(list_reduce(list_transform(string_split(path, ''), lambda c: unicode(c)::HUGEINT), lambda h, c: (xor(h::BIGINT, c::BIGINT)::HUGEINT * 16777619) % 4294967296, 2166136261::HUGEINT)::BIGINT)) AS h FROM p",
     "f18_breadcrumbs": f"{_DC} SELECT chunk_id, CASE WHEN len({_CRUMBS}) = 0 THEN '(top)' ELSE array_to_string({_CRUMBS}, ' › ') END AS crumbs FROM dchunks",
     "f19_line_ranges": f"{_DC} SELECT chunk_id, CASE WHEN start_line = end_line THEN 'line ' || (start_line + 1) ELSE 'lines ' || (start_line + 1) || '-' || (end_line + 1) END AS lines FROM dchunks",
@@ -222,5 +245,19 @@ SQL = {
         w AS (SELECT note_path, pos, unnest({S.summary_tokens('sentence')}) AS w FROM u), n AS (SELECT *, count(*) OVER (PARTITION BY note_path, w) AS n FROM w), m AS (SELECT note_path, pos, avg(n) AS score FROM n GROUP BY ALL),
         r AS (SELECT u.note_path, u.pos, u.sentence, coalesce(m.score, 0) AS score FROM u LEFT JOIN m USING (note_path, pos))
         SELECT note_path, pos::INT AS pos, sentence, round(score, 6) AS score FROM r QUALIFY row_number() OVER (PARTITION BY note_path ORDER BY round(score, 9) DESC, pos) <= 3""",
-    "u2_term_sources": f"{_DC} SELECT chunk_id, len(list_distinct(list_concat(coalesce(aliases, []), coalesce(heading_path, []))))::INT AS n FROM dchunks",
+    "u2_term_sources": f"""{_DC} SELECT chunk_id, len(list_distinct({S.tokens("array_to_string(list_concat([regexp_replace(string_split(note_path, '/')[-1], '[.][^.]+$', '')], list_concat(coalesce(aliases, []), coalesce(heading_path, []))), ' ')")}))::INT AS n FROM dchunks""",
+    "g18_percentiles": "SELECT lang, quantile_disc(n_chars, 0.5) AS p50, quantile_disc(n_chars, 0.95) AS p95, round(avg(n_chars), 6) AS mean FROM documents WHERE n_chars IS NOT NULL GROUP BY lang",
+    "g17_distinct_sentences": f"""WITH {_sentences("SELECT doc_id::VARCHAR AS note_path, 0 AS o1, '' AS o2, text FROM documents")} SELECT note_path, count(*) AS units, sum(length(sentence))::BIGINT AS chars FROM u GROUP BY note_path""",
+    "q7_note_summaries": f"""{_DC}, {_sentences("SELECT note_path, start_line AS o1, chunk_id AS o2, text FROM dchunks")},
+        w AS (SELECT note_path, pos, unnest({S.summary_tokens('sentence')}) AS w FROM u), n AS (SELECT *, count(*) OVER (PARTITION BY note_path, w) AS n FROM w), m AS (SELECT note_path, pos, avg(n) AS score FROM n GROUP BY ALL),
+        r AS (SELECT u.note_path, u.pos, u.sentence, coalesce(m.score, 0) AS score FROM u LEFT JOIN m USING (note_path, pos))
+        SELECT note_path, pos::INT AS pos, sentence FROM r QUALIFY row_number() OVER (PARTITION BY note_path ORDER BY round(score, 9) DESC, pos) <= 5""",
+    "q8_outline": f"{_DC}, {_GROUPS} SELECT note_path, group_no, min_by(label, start_line) AS label, min(start_line) + 1 AS first_line, max(end_line) + 1 AS last_line FROM g GROUP BY note_path, group_no",
+    "q8_passages": f"""{_DC}, {_GROUPS}, w AS (SELECT note_path, start_line, own, row_number() OVER o AS n, sum(length(own) + 7) OVER (o ROWS UNBOUNDED PRECEDING) - 7 AS total FROM g WINDOW o AS (PARTITION BY note_path ORDER BY start_line, end_line, chunk_id)),
+        k AS (SELECT *, total <= 2000 OR n = 1 AS kept FROM w) SELECT note_path, sum(kept::INT)::BIGINT AS pieces, coalesce(sum(CASE WHEN n = 1 THEN least(length(own), 2000) WHEN kept THEN length(own) END), 0)::BIGINT AS chars, min(CASE WHEN NOT kept THEN start_line END) AS next_line FROM k GROUP BY note_path""",
+    "q9_project_context": f"""{_DC}, own AS (SELECT note_path, CASE WHEN starts_with(note_path, 'Memory/Global/') THEN 'Memory/Global' ELSE array_to_string(string_split(note_path, '/')[1:2], '/') END AS folder, string_agg(text, chr(10) || chr(10) ORDER BY start_line, chunk_id) AS content FROM dchunks
+          WHERE note_path IN ('Memory/Global/profile.md', 'Memory/Global/preferences.md', 'Memory/Global/conventions.md') OR regexp_full_match(note_path, 'Projects/[^/]+/(overview|architecture|decisions|tasks|open-questions)[.]md') GROUP BY note_path),
+        t AS (SELECT folder, note_path, {S.strip('content')} AS content, list_position(CASE WHEN folder = 'Memory/Global' THEN ['profile', 'preferences', 'conventions'] ELSE ['overview', 'architecture', 'decisions', 'tasks', 'open-questions'] END, regexp_extract(note_path, '([^/]+)[.]md$', 1)) - 1 AS ord FROM own),
+        w AS (SELECT *, row_number() OVER o AS n, sum(length(content) + 7) OVER (o ROWS UNBOUNDED PRECEDING) - 7 AS total FROM t WHERE content <> '' WINDOW o AS (PARTITION BY folder ORDER BY ord))
+        SELECT folder, ord, note_path, total <= 2500 OR n = 1 AS kept, CASE WHEN n = 1 THEN least(length(content), 2500) WHEN total <= 2500 THEN length(content) END AS chars FROM w""",
 }

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marginalia.control.paths import normal
 from marginalia.functions.text import attachment_title
 from marginalia.operators.budget import CLIP_CHARS, CORPUS_CHARS, within_corpus_budget
 from marginalia.operators.filters import eligible, has_tag
@@ -83,6 +87,45 @@ def attachments(extracted: DataFrame, budget: int = CORPUS_CHARS, group: str | N
     return kept.select(F.col("path").alias("note_path"), "mtime", F.col("text").alias("content"), attachment_title(F.col("path")).alias("title"))
 
 
+def scan_attachments(files: DataFrame, cache, extract: Callable[[DataFrame], DataFrame], most_bytes: int = MOST_BYTES, budget: int = CORPUS_CHARS, group: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(attachment notes, lookups) of attachment files (path, mtime, size_bytes): what the cache knows is not read again.
+
+    ``cache``: an ``ExtractionCache``; ``extract``: (path, mtime, size_bytes) to (path, mtime, text), text null where there is
+    none. Files over the size limit yield nothing and are remembered as that, as is every other result; then the corpus
+    budget applies. ``lookups``: path, mtime, hit."""
+    looked = cache.lookup(files)
+    misses = files.join(looked.where("not hit").select("path", "mtime"), ["path", "mtime"], "left_semi")
+    small, large = misses.where(F.col("size_bytes") <= most_bytes), misses.where(~(F.coalesce("size_bytes", F.lit(0)) <= most_bytes))
+    fresh = extract(small).select("path", "mtime", "text").unionByName(large.select("path", "mtime", F.lit(None).cast("string").alias("text")))
+    known = looked.where("hit").select("path", "mtime", "text").unionByName(fresh)
+    own = known.join(files.select("path", group).distinct(), "path") if group else known
+    cache.remember(fresh)
+    return attachments(own, budget, group), looked.select("path", "mtime", "hit")
+
+
+def write_files(rows: DataFrame, root: str) -> int:
+    """Write texts (path, content) as files below a folder all executors share; how many."""
+    base = root.removeprefix("file:").rstrip("/")
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        there, at = fs.FileSystem.from_uri(base) if "://" in base else (fs.LocalFileSystem(), base)
+        made: set[str] = set()
+        for b in batches:
+            for path, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                target = f"{at}/{normal(path)}"
+                folder = target.rsplit("/", 1)[0]
+                if folder not in made:
+                    there.create_dir(folder, recursive=True)
+                    made.add(folder)
+                with there.open_output_stream(target) as out:
+                    out.write((content or "").encode())
+            yield pa.record_batch([pa.array([b.num_rows], pa.int64())], names=["n"])
+
+    return rows.select("path", "content").mapInArrow(put, "n long").agg(F.sum("n")).first()[0] or 0
+
+
 def all_notes(notes: DataFrame, attached: DataFrame) -> DataFrame:
     """Notes and attachment notes in one table, notes first by ``kind``."""
     cols = ["note_path", "mtime", "content"]

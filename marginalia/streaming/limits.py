@@ -13,7 +13,7 @@ from typing import Any
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -90,6 +90,22 @@ def debounced(events: DataFrame, key: str, ts: str, gap: str, lateness: str | No
     return bursts.select(key, F.col("w.start").alias("first_at"), F.col("w.end").alias("fires_at"), "events")
 
 
+def file_events(sightings: DataFrame, own: list[str] = ()) -> DataFrame:
+    """The events behind the sightings of files (path, mtime, listed_at, removed_at), each with its time: path, at, event.
+
+    ``create`` for a path seen for the first time or after its removal, ``modify`` for another mtime, ``delete`` for a removal
+    of a path that was there; a sighting that says nothing new is no event. Paths below the folders ``own`` are the
+    index's own files and are left out. Sightings of one moment: removal last. A rename is a delete and a create."""
+    kept = sightings.where(F.col("path").isNotNull()).select("path", "mtime", "listed_at", F.col("removed_at").isNotNull().alias("gone")).distinct()
+    for folder in own:
+        kept = kept.where(~F.col("path").startswith(folder.rstrip("/") + "/"))
+    order = Window.partitionBy("path").orderBy("listed_at", "gone", "mtime")
+    seen = kept.withColumn("before", F.lag(F.struct("gone", "mtime")).over(order))
+    there = F.col("before").isNotNull() & ~F.col("before.gone")
+    event = F.when(F.col("gone") & there, "delete").when(~F.col("gone") & ~F.coalesce(there, F.lit(False)), "create").when(~F.col("gone") & ~F.col("mtime").eqNullSafe(F.col("before.mtime")), "modify")
+    return seen.withColumn("event", event).where("event is not null").select("path", F.col("listed_at").alias("at"), "event")
+
+
 def change_feed(listing: DataFrame, apply: Callable[[DataFrame], None], checkpoint: str):
     """Run ``apply`` on each batch of a streamed listing, one at a time; batches are serial by construction."""
     return listing.writeStream.foreachBatch(lambda df, _: apply(df)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
