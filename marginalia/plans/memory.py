@@ -39,8 +39,7 @@ def e3_round_trip(spark, d):
 
 def e4_discard(spark, d):
     e = _entries(spark, d).withColumn("entry_index", F.col("entry_id"))
-    raw = e.agg(F.max_by("raw", "entry_id")).first()[0]
-    return memory.without_first(e, raw).select("entry_id")
+    return memory.without_first(e, e.agg(F.max_by("raw", "entry_id").alias("raw")).scalar()).select("entry_id")
 
 
 def e5_propose(spark, d):
@@ -82,9 +81,10 @@ def f21_project_folders(spark, d):
 
 
 def k8_applied_files(spark, d):
-    """Files after all entries were applied: number of blocks and characters."""
-    e = _entries(spark, d).select("entry_id", memory.destination().alias("path"), memory.applied_block(BASE, "Applied from review").alias("block"))
-    return e.groupBy("path").agg(F.count("*").alias("blocks"), F.sum(F.length("block")).alias("chars"))
+    """The files after the decisions and tasks of the inbox were applied, and the inbox that is left: blocks and characters."""
+    files, rest = memory.applied(_entries(spark, d), F.col("entry_type").isin("decision", "task"), BASE)
+    both = files.select("path", "block").unionByName(rest.select(F.lit("Memory/Inbox/pending-memory.md").alias("path"), F.col("raw").alias("block")))
+    return both.groupBy("path").agg(F.count("*").alias("blocks"), F.sum(F.length("block")).alias("chars"))
 
 
 QUERIES = {f.__name__: f for f in (e1_render_blocks, e2_split_inbox, e3_parse_blocks, e3_round_trip, e4_discard, e5_propose, e6_coerced_types, e7_bounds, e8_applied_blocks, e9_destinations, f14_content_keys, f16_tag_lists, f17_one_line, f21_project_folders, k8_applied_files)}
@@ -117,5 +117,6 @@ SQL = {
     "f16_tag_lists": f"SELECT entry_id, {_TAGLINE} AS tags FROM pending_entries",
     "f17_one_line": f"SELECT entry_id, {_ONE('content')} AS line FROM pending_entries",
     "f21_project_folders": f"SELECT entry_id, CASE WHEN coalesce({_FOLDER}, '') NOT IN ('', '.', '..') THEN {_FOLDER} END AS folder FROM pending_entries",
-    "k8_applied_files": f"SELECT path, count(*) AS blocks, sum(length(block))::BIGINT AS chars FROM (SELECT {_DEST} AS path, {_APPLIED} AS block FROM pending_entries) GROUP BY path",
+    "k8_applied_files": f"""SELECT path, count(*) AS blocks, sum(length(block))::BIGINT AS chars FROM (SELECT CASE WHEN entry_type IN ('decision', 'task') THEN {_DEST} ELSE 'Memory/Inbox/pending-memory.md' END AS path, CASE WHEN entry_type IN ('decision', 'task') THEN {_APPLIED} ELSE raw END AS block FROM pending_entries) GROUP BY path""",
+    "e3_round_trip": f"SELECT entry_id, {_ONE('entry_type')} AS entry_type, {S.strip('content')} AS content, len(list_distinct({_TAGS}))::INT - 1 AS tags FROM pending_entries",
 }

@@ -23,9 +23,16 @@ def z3_debounce(spark, d):
     return out.select("user_id", F.unix_micros("first_at").alias("first_us"), "events")
 
 
-QUERIES = {f.__name__: f for f in (z1_cooldown, z2_sliding_window, z3_debounce)}
+def z4_file_events(spark, d):
+    return limits.file_events(table(spark, d, "vault_files"), ["Memory/Index", "Memory/Config"]).select("path", F.unix_micros(F.col("at").cast("timestamp")).alias("at_us"), "event")
+
+
+QUERIES = {f.__name__: f for f in (z1_cooldown, z2_sliding_window, z3_debounce, z4_file_events)}
 
 SQL = {
+    "z4_file_events": """WITH k AS (SELECT DISTINCT path, mtime, listed_at, removed_at IS NOT NULL AS gone FROM vault_files WHERE path IS NOT NULL AND NOT regexp_matches(path, '^Memory/(Index|Config)/')),
+        p AS (SELECT *, lag(gone) OVER o AS pg, lag(mtime) OVER o AS pm FROM k WINDOW o AS (PARTITION BY path ORDER BY listed_at NULLS FIRST, gone, mtime NULLS FIRST)),
+        e AS (SELECT path, epoch_us(listed_at) AS at_us, CASE WHEN gone AND pg = false THEN 'delete' WHEN NOT gone AND coalesce(pg, true) THEN 'create' WHEN NOT gone AND mtime IS DISTINCT FROM pm THEN 'modify' END AS event FROM p) SELECT * FROM e WHERE event IS NOT NULL""",
     "z1_cooldown": """WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
         r AS (SELECT user_id, event_id, n, t AS last, true AS accepted FROM e WHERE n = 1 UNION ALL
               SELECT e.user_id, e.event_id, e.n, CASE WHEN e.t - r.last >= 21600000000 THEN e.t ELSE r.last END, e.t - r.last >= 21600000000 FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1)
