@@ -156,8 +156,8 @@ def u2_term_sources(spark, d):
 
 
 def m2_hashed_words(spark, d):
-    v = embed.hashed_words(table(spark, d, "eval_items"), "item_id", "text")
-    return v.select("item_id", F.posexplode("v").alias("i", "x")).where("x <> 0").select("item_id", "i", F.round("x", 6).alias("x"))
+    v = embed.hashed_words(table(spark, d, "documents"), "doc_id", "text")
+    return v.select("doc_id", F.posexplode("v").alias("i", "x")).where("x <> 0").select("doc_id", "i", F.round("x", 6).alias("x"))
 
 
 def f10_markdown_links(spark, d):
@@ -213,8 +213,8 @@ def _sentences(source: str) -> str:
 
 
 SQL = {
-    "m2_hashed_words": f"""WITH t AS (SELECT item_id, unnest({S.raw_tokens('text')}) AS w FROM eval_items), h AS (SELECT item_id, list_reduce(list_transform(string_split(w, ''), lambda c: unicode(c)::HUGEINT), lambda h, c: (xor(h::BIGINT, c::BIGINT)::HUGEINT * 16777619) % 4294967296, 2166136261::HUGEINT)::BIGINT AS h FROM t),
-        s AS (SELECT item_id, (h % 64)::INT AS i, sum(CASE WHEN h % 2 = 1 THEN 1.0 ELSE -1.0 END)::DOUBLE AS s FROM h GROUP BY ALL), n AS (SELECT *, sqrt(sum(s * s) OVER (PARTITION BY item_id)) AS n FROM s) SELECT item_id, i, round(s / n, 6) AS x FROM n WHERE s <> 0""",
+    "m2_hashed_words": f"""WITH t AS (SELECT doc_id, unnest({S.raw_tokens('text')}) AS w FROM documents), h AS (SELECT doc_id, list_reduce(list_transform(string_split(w, ''), lambda c: unicode(c)::HUGEINT), lambda h, c: (xor(h::BIGINT, c::BIGINT)::HUGEINT * 16777619) % 4294967296, 2166136261::HUGEINT)::BIGINT AS h FROM t),
+        s AS (SELECT doc_id, (h % 64)::INT AS i, sum(CASE WHEN h % 2 = 1 THEN 1.0 ELSE -1.0 END)::DOUBLE AS s FROM h GROUP BY ALL), n AS (SELECT *, sqrt(sum(s * s) OVER (PARTITION BY doc_id)) AS n FROM s) SELECT doc_id, i, round(s / n, 6) AS x FROM n WHERE s <> 0""",
     "f10_markdown_links": f"{_DC} SELECT chunk_id, array_to_string(list_filter(regexp_extract_all(text, '\\[[^\\]]*\\]\\(([^)]+)\\)', 1), lambda t: NOT regexp_matches(t, '(?i)^([a-z][a-z0-9+.-]*://|mailto:)')), chr(10)) AS targets FROM dchunks",
     "d2_minute_labels": "SELECT entry_id, strftime(proposed_at, '%Y-%m-%d %H:%M') AS label, strftime(proposed_at, '%Y-%m-%d-%H%M') AS stamp FROM pending_entries",
     "u4_removed_vectors": "SELECT DISTINCT chunk_id FROM vectors WHERE chunk_id NOT IN (SELECT chunk_id FROM chunks)",
@@ -261,3 +261,11 @@ SQL = {
         w AS (SELECT *, row_number() OVER o AS n, sum(length(content) + 7) OVER (o ROWS UNBOUNDED PRECEDING) - 7 AS total FROM t WHERE content <> '' WINDOW o AS (PARTITION BY folder ORDER BY ord))
         SELECT folder, ord, note_path, total <= 2500 OR n = 1 AS kept, CASE WHEN n = 1 THEN least(length(content), 2500) WHEN total <= 2500 THEN length(content) END AS chars FROM w""",
 }
+_MMR = """WITH RECURSIVE e AS (SELECT floor(vec_id / 100)::INT AS note, (vec_id % 100)::INT AS pos, embedding::DOUBLE[] AS v FROM embeddings),
+    f AS (SELECT note, i, avg(x) AS x FROM (SELECT note, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM e) GROUP BY note, i), m AS (SELECT note, list(x ORDER BY i) AS c FROM f GROUP BY note),
+    u AS (SELECT note, pos, v, list_cosine_similarity(v, c) AS score FROM e JOIN m USING (note)),
+    r AS (SELECT note, 0 AS step, []::INT[] AS chosen, []::DOUBLE[][] AS vs FROM m UNION ALL
+      SELECT note, step + 1, list_append(chosen, pos), list_append(vs, v) FROM (SELECT r.note, r.step, r.chosen, r.vs, u.pos, u.v, 0.7 * u.score - 0.3 * greatest(0, coalesce(list_max(list_transform(r.vs, lambda w: list_cosine_similarity(w, u.v))), 0)) AS value
+        FROM r JOIN u ON u.note = r.note WHERE r.step < 5 AND NOT list_contains(r.chosen, u.pos)) QUALIFY row_number() OVER (PARTITION BY note ORDER BY value DESC, pos) = 1)
+    SELECT note::VARCHAR AS note_path, unnest(chosen) AS pos FROM r WHERE step = 5"""
+SQL["t6_diverse_vectors"] = _MMR

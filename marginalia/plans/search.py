@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import window as W
 
 from marginalia.functions import text as T
-from marginalia.operators import filters, lexical, ranking, vector
+from marginalia.operators import filters, lexical, measure, modes, ordered, ranking, vector
 from marginalia.plans import sqlparts as S
 from marginalia.session import table
 
@@ -60,11 +59,11 @@ def f2_summary_tokens(spark, d):
 
 
 def f3_mock_tokens(spark, d):
-    return table(spark, d, "eval_items").select("item_id", F.array_join(T.raw_tokens(F.col("text")), " ").alias("terms"))
+    return table(spark, d, "documents").select("doc_id", F.array_join(T.raw_tokens(F.col("text")), " ").alias("terms"))
 
 
 def f6_sentences(spark, d):
-    return table(spark, d, "eval_items").select("item_id", F.posexplode(T.sentences(F.col("text"))).alias("pos", "sentence"))
+    return table(spark, d, "documents").select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("pos", "sentence"))
 
 
 def f13_link_keys(spark, d):
@@ -152,9 +151,10 @@ def j3_vectors_of_chunks(spark, d):
 
 
 def m1_cosine(spark, d):
-    e = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("a"))
-    q = _vector_queries(spark, d)
-    return e.crossJoin(F.broadcast(q)).select("vec_id", "query_id", F.round(vector.cosine(F.col("a"), F.col("qv")), 6).alias("sim"))
+    """Cosine of every vector with the centroid of its label."""
+    e = table(spark, d, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
+    middle = vector.centroid(e, "label", "v").groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda p: p["x"]).alias("c"))
+    return e.join(middle, "label").select("vec_id", F.round(vector.cosine(F.col("v"), F.col("c")), 6).alias("sim"))
 
 
 def q2_vector_search(spark, d):
@@ -181,8 +181,24 @@ def g14_centroid(spark, d):
 
 
 def g15_jaccard(spark, d):
-    c = table(spark, d, "eval_items").select("item_id", F.array_distinct(T.tokens(F.col("text"))).alias("t")).withColumn("next", F.lead("t").over(W.Window.orderBy("item_id")))
-    return c.select("item_id", F.round(ranking.jaccard(F.col("t"), F.coalesce("next", F.array().cast("array<string>"))), 6).alias("jaccard"))
+    """How alike the words of a chunk and of the one before it in its note are."""
+    c = _chunks(spark, d).select("note_path", "start_line", "chunk_id", F.array_distinct(T.tokens(F.col("text"))).alias("t"))
+    both = ordered.previous(ordered.placed(c, ["note_path"], ["start_line", "chunk_id"]), ["note_path"], ["start_line", "chunk_id"], "t")
+    return both.where("previous is not null").select("chunk_id", F.round(ranking.jaccard(F.col("t"), F.col("previous.t")), 6).alias("jaccard"))
+
+
+def g19_recall(spark, d):
+    """Of the chunk that the whole text of a question finds first: how often, and where, three words of it find it; per suite."""
+    wanted = lexical.search(_index(spark, d), _queries(spark, d), LIMIT).where("rank = 1").select("query_id", "chunk_id")
+    suites = table(spark, d, "eval_items").select(F.col("item_id").alias("query_id"), "suite")
+    out = measure.recall_and_rank(q1_short_queries(spark, d), wanted.join(suites, "query_id"), "suite", LIMIT)
+    return out.select("suite", "queries", F.round("recall", 6).alias("recall"), F.round("mrr", 6).alias("mrr"))
+
+
+def q4_foreign_vectors(spark, d):
+    """A hybrid search whose stored vectors are of another model: it keeps the lexical order."""
+    page = modes.search(_index(spark, d), _stored(spark, d), _queries(spark, d), modes.HYBRID, lambda texts: [[1.0] * 64] * len(texts), "another model", "this model", LIMIT)
+    return page.select("query_id", "rank", "chunk_id", F.round("score", 9).alias("score"))
 
 
 def f5_snippets(spark, d):
@@ -213,7 +229,7 @@ QUERIES = {
     for f in (
         f1_tokens, f2_summary_tokens, f3_mock_tokens, f6_sentences, f13_link_keys, f23_field_terms, g1_term_frequency, g2_document_frequency, g3_corpus_size, g4_idf, g6_heading_terms, q1_lexical_search, q1_short_queries,
         b13_empty_query, b1_include_folders, b2_exclude_folders, b2_blank_excludes_all, b3_path_patterns, b4_exclude_tags, b7_chunks_of_note, j3_vectors_of_chunks, m1_cosine, q2_vector_search, q3_hybrid_search,
-        t7_near_duplicates, g14_centroid, g15_jaccard, f5_snippets, f26_highlight, q5_search_page,
+        t7_near_duplicates, g14_centroid, g15_jaccard, g19_recall, q4_foreign_vectors, f5_snippets, f26_highlight, q5_search_page,
     )
 } | {"b6_search_in_folder": b6_search_in_folder, "b6_search_with_tag": b6_search_with_tag, "b12_search_since": b12_search_since}
 
@@ -234,10 +250,10 @@ _SENT_MARK = f"regexp_replace({S.strip('x')}, '^(?:#{{1,6}}{S.WS}+|[-*+]{S.WS}+|
 SQL = {
     "f1_tokens": f"WITH {S.DISTINCT_CHUNKS}, t AS (SELECT chunk_id, {S.tokens('text')} AS t FROM dchunks) SELECT chunk_id, len(t)::INT AS n, len(list_distinct(t))::INT AS n_distinct, array_to_string(list_sort(list_distinct(t))[1:5], ' ') AS first_terms FROM t",
     "f2_summary_tokens": f"SELECT doc_id, len({S.summary_tokens('text')})::INT AS n, coalesce((SELECT string_agg(term, ' ' ORDER BY i) FROM (SELECT term, min(i) AS i FROM (SELECT unnest({S.summary_tokens('text')}) AS term, generate_subscripts({S.summary_tokens('text')}, 1) AS i) GROUP BY term)), '') AS terms FROM documents",
-    "f3_mock_tokens": f"SELECT item_id, array_to_string({S.raw_tokens('text')}, ' ') AS terms FROM eval_items",
-    "f6_sentences": f"""WITH l AS (SELECT item_id, list_transform(regexp_split_to_array(text, '\\r?\\n+'), lambda x: {S.strip(_SENT_MARK)}) AS lines FROM eval_items),
-        s AS (SELECT item_id, list_filter(list_transform(flatten(list_transform(lines, lambda x: CASE WHEN len(regexp_extract_all(x, '[^.!?]+(?:[.!?]+|$)')) > 0 THEN regexp_extract_all(x, '[^.!?]+(?:[.!?]+|$)') ELSE [x] END)), lambda y: {S.strip('y')}), lambda z: length(z) >= 2) AS s FROM l)
-        SELECT item_id, (generate_subscripts(s, 1) - 1)::INT AS pos, unnest(s) AS sentence FROM s""",
+    "f3_mock_tokens": f"SELECT doc_id, array_to_string({S.raw_tokens('text')}, ' ') AS terms FROM documents",
+    "f6_sentences": f"""WITH l AS (SELECT doc_id, list_transform(regexp_split_to_array(text, '\\r?\\n+'), lambda x: {S.strip(_SENT_MARK)}) AS lines FROM documents),
+        s AS (SELECT doc_id, list_filter(list_transform(flatten(list_transform(lines, lambda x: CASE WHEN len(regexp_extract_all(x, '[^.!?]+(?:[.!?]+|$)')) > 0 THEN regexp_extract_all(x, '[^.!?]+(?:[.!?]+|$)') ELSE [x] END)), lambda y: {S.strip('y')}), lambda z: length(z) >= 2) AS s FROM l)
+        SELECT doc_id, (generate_subscripts(s, 1) - 1)::INT AS pos, unnest(s) AS sentence FROM s""",
     "f13_link_keys": f"WITH r AS (SELECT DISTINCT ref FROM (SELECT unnest(links) AS ref FROM chunks)) SELECT ref, {S.link_key('ref')} AS key FROM r",
     "f23_field_terms": f"""WITH {S.DISTINCT_CHUNKS} SELECT chunk_id, array_to_string(list_sort(list_distinct({S.tokens("array_to_string(list_concat([regexp_replace(string_split(note_path, '/')[-1], '[.][^.]+$', '')], list_concat(coalesce(aliases, []), coalesce(heading_path, []))), ' ')")})), ' ') AS terms FROM dchunks""",
     "g1_term_frequency": f"WITH {S.DISTINCT_CHUNKS} SELECT chunk_id, term, count(*) AS tf FROM (SELECT chunk_id, unnest({S.tokens('text')}) AS term FROM dchunks) GROUP BY ALL",
@@ -258,7 +274,8 @@ SQL = {
     "b4_exclude_tags": f"WITH {S.DISTINCT_CHUNKS} SELECT chunk_id FROM dchunks WHERE len(list_filter(coalesce(tags, []), lambda t: lower(regexp_replace(t, '^#', '')) IN ('meeting', 'todo'))) = 0",
     "b7_chunks_of_note": "SELECT DISTINCT chunk_id, start_line FROM chunks WHERE note_path = 'Journal/Daily Log.md'",
     "j3_vectors_of_chunks": f"WITH {_STORED} SELECT chunk_id, note_path, h FROM stored",
-    "m1_cosine": f"WITH {_VQ} SELECT vec_id, query_id, round(list_cosine_similarity(embedding::DOUBLE[], qv), 6) AS sim FROM embeddings CROSS JOIN vq",
+    "m1_cosine": """WITH c AS (SELECT label, i, sum(x) / count(*) AS x FROM (SELECT label, unnest(embedding::DOUBLE[]) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY label, i), m AS (SELECT label, list(x ORDER BY i) AS c FROM c GROUP BY label)
+        SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], c), 6) AS sim FROM embeddings JOIN m USING (label)""",
     "q2_vector_search": f"WITH {_STORED}, {_VALID}, {_VQ}, {_VSCORES}, {S.page('vscores', LIMIT, 3)} SELECT query_id, rank, chunk_id, note_path, round(score, 6) AS score FROM page",
     "q3_hybrid_search": f"""WITH {S.DISTINCT_CHUNKS}, {_Q}, {S.scores()}, {S.page('scores', 32, 11, name='lpage')}, {_STORED}, {_VALID},
         vq AS (SELECT 5000 + vec_id // 50 * 7 AS query_id, embedding::DOUBLE[] AS qv FROM embeddings WHERE vec_id % 50 = 0 AND vec_id // 50 < 240), {_VSCORES}, {S.page('vscores', 32, 11, name='vpage')},
@@ -266,8 +283,16 @@ SQL = {
           FROM lpage l FULL JOIN vpage v ON l.query_id = v.query_id AND l.chunk_id = v.chunk_id AND l.note_path = v.note_path), {S.page('fused', LIMIT, 3, 'round(score, 9) DESC, vr, lr')}
         SELECT query_id, rank, chunk_id, round(score, 9) AS score FROM page""",
     "g14_centroid": "SELECT label, (i - 1)::INT AS i, round(sum(x) / count(*), 6) AS x FROM (SELECT label, unnest(embedding::DOUBLE[]) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY label, i",
-    "g15_jaccard": f"WITH c AS (SELECT item_id, list_distinct({S.tokens('text')}) AS t FROM eval_items), n AS (SELECT item_id, t, coalesce(lead(t) OVER (ORDER BY item_id), []) AS u FROM c) SELECT item_id, round(CASE WHEN len(t) > 0 AND len(u) > 0 THEN len(list_intersect(t, u)) / len(list_distinct(list_concat(t, u))) ELSE 0 END, 6) AS jaccard FROM n",
+    "g15_jaccard": f"WITH {S.DISTINCT_CHUNKS}, c AS (SELECT note_path, start_line, chunk_id, list_distinct({S.tokens('text')}) AS t FROM dchunks), n AS (SELECT chunk_id, t, lag(t) OVER (PARTITION BY note_path ORDER BY start_line, chunk_id) AS u FROM c) SELECT chunk_id, round(CASE WHEN len(t) > 0 AND len(u) > 0 THEN len(list_intersect(t, u)) / len(list_distinct(list_concat(t, u))) ELSE 0 END, 6) AS jaccard FROM n WHERE u IS NOT NULL",
     "q5_search_page": f"""WITH {S.DISTINCT_CHUNKS}, {_Q}, {S.scores()}, {S.page('scores', 16, 6, name='pool')}, {S.page('(SELECT * EXCLUDE (rank) FROM pool)', LIMIT, 3)}
         SELECT query_id, rank, note_path || ' · ' || CASE WHEN crumbs = '' THEN '(top)' ELSE crumbs END || ' · lines ' || (start_line + 1) || '-' || (end_line + 1) || ' · ' || strftime(make_timestamp(mtime * 1000), '%Y-%m-%d') || CASE WHEN starts_with(note_path, 'Memory/Inbox/') THEN ' [PENDING REVIEW]' ELSE '' END AS line
         FROM (SELECT p.query_id, p.rank, p.note_path, c.start_line, c.end_line, c.mtime, array_to_string(list_filter(list_concat(coalesce(heading_path, []), [coalesce(heading, '')]), lambda x: trim(x) <> ''), ' › ') AS crumbs FROM page p JOIN dchunks c USING (chunk_id))""",
 }
+SQL["q4_foreign_vectors"] = SQL["q3_hybrid_search"].replace("vec_id // 50 < 240)", "false)")
+SQL["g19_recall"] = f"""WITH pages AS ({SQL['q1_short_queries']}), truth AS (SELECT query_id, chunk_id FROM ({SQL['q1_lexical_search']}) WHERE rank = 1),
+    m AS (SELECT suite, t.query_id, p.rank FROM truth t JOIN eval_items e ON e.item_id = t.query_id LEFT JOIN pages p ON p.query_id = t.query_id AND p.chunk_id = t.chunk_id)
+    SELECT suite, count(*) AS queries, round(avg((rank IS NOT NULL)::INT), 6) AS recall, round(avg(coalesce(1.0 / rank, 0)), 6) AS mrr FROM m GROUP BY suite"""
+SQL["t7_near_duplicates"] = f"""WITH RECURSIVE {S.DISTINCT_CHUNKS}, {_Q}, {S.scores()}, {S.page('scores', 16, 6)}, rows AS (SELECT p.query_id, p.rank, p.chunk_id, list_distinct({S.tokens('text')}) AS t FROM page p JOIN dchunks c USING (chunk_id)),
+    kept AS (SELECT query_id, 1 AS step, [{{'c': chunk_id, 't': t}}] AS k FROM rows WHERE rank = 1 UNION ALL
+      SELECT k.query_id, k.step + 1, CASE WHEN len(list_filter(k.k, lambda x: len(x.t) > 0 AND len(r.t) > 0 AND len(list_intersect(x.t, r.t)) / len(list_distinct(list_concat(x.t, r.t))) >= 0.8)) > 0 THEN k.k ELSE list_append(k.k, {{'c': r.chunk_id, 't': r.t}}) END FROM kept k JOIN rows r ON r.query_id = k.query_id AND r.rank = k.step + 1),
+    last AS (SELECT query_id, max_by(k, step) AS k FROM kept GROUP BY query_id) SELECT query_id, generate_subscripts(k, 1)::INT AS rank, unnest(list_transform(k, lambda x: x.c)) AS chunk_id FROM last"""
