@@ -31,6 +31,19 @@ def i6_build_counts(spark, d):
     return c.agg(F.count("*").alias("chunks"), F.countDistinct("note_path").alias("notes"), F.max(F.length("text")).alias("longest"))
 
 
+def i2_sections(spark, d):
+    s = chunker.note_sections(_notes(spark, d))
+    return s.select("note_path", "ordinal", "heading", F.array_join("heading_path", " › ").alias("crumbs"), "first_line", "last_line", F.length("body").alias("chars"))
+
+
+def i1_whole_sections(spark, d):
+    """Chunks that hold a whole section: their text in full."""
+    c = chunker.chunk_notes(_notes(spark, d))
+    one = c.groupBy("note_path", "heading", "heading_path", "start_line").agg(F.count("*").alias("n"), F.max("text").alias("text"), F.max("end_line").alias("end_line"))
+    s = chunker.note_sections(_notes(spark, d)).select("note_path", "heading", "heading_path", F.col("first_line").alias("start_line"), F.col("last_line").alias("end_line"))
+    return s.join(one.where("n = 1"), ["note_path", "heading", "heading_path", "start_line", "end_line"]).select("note_path", "start_line", "end_line", "text").where(F.length("text") <= chunker.MAX_CHARS)
+
+
 def f7_metadata(spark, d):
     m = chunker.note_metadata(_notes(spark, d))
     return m.select("note_path", F.array_join("tags", " ").alias("tags"), F.array_join("aliases", " ").alias("aliases"), F.array_join("links", " ").alias("links"), "title", "body_line")
@@ -185,7 +198,7 @@ def u4_removed_vectors(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        m2_hashed_words, f10_markdown_links, d2_minute_labels, g17_distinct_sentences, g18_percentiles, u4_removed_vectors, i1_chunk_notes, i6_build_counts, f7_metadata, f8_inline_tags, f9_link_targets, f12_titles, f15_fnv_hashes, f18_breadcrumbs, f19_line_ranges, f20_clipped, d1_day_labels, q6_related_notes, j9_link_edges, g8_paths_per_key,
+        m2_hashed_words, f10_markdown_links, d2_minute_labels, g17_distinct_sentences, g18_percentiles, u4_removed_vectors, i2_sections, i1_whole_sections, i1_chunk_notes, i6_build_counts, f7_metadata, f8_inline_tags, f9_link_targets, f12_titles, f15_fnv_hashes, f18_breadcrumbs, f19_line_ranges, f20_clipped, d1_day_labels, q6_related_notes, j9_link_edges, g8_paths_per_key,
         g11_note_mtimes, w3_ordinals, w6_budgeted_blocks, w7_listed_links, b9_line_range, q8_outline, q8_passages, q9_project_context, q10_recent_sessions, g12_projects, g10_index_stats, q7_summaries, q7_note_summaries, t6_diverse_vectors, u2_term_sources,
     )
 }
@@ -269,3 +282,16 @@ _MMR = """WITH RECURSIVE e AS (SELECT floor(vec_id / 100)::INT AS note, (vec_id
         FROM r JOIN u ON u.note = r.note WHERE r.step < 5 AND NOT list_contains(r.chosen, u.pos)) QUALIFY row_number() OVER (PARTITION BY note ORDER BY value DESC, pos) = 1)
     SELECT note::VARCHAR AS note_path, unnest(chosen) AS pos FROM r WHERE step = 5"""
 SQL["t6_diverse_vectors"] = _MMR
+_SECTIONS = f"""raw AS (SELECT note_path || '#' || doc_id AS note_path, regexp_split_to_array(text, '\\r?\\n') AS ls FROM documents WHERE text IS NOT NULL),
+  fm AS (SELECT *, CASE WHEN regexp_full_match(ls[1], '---\\s*') THEN coalesce(list_min(list_filter(range(2, len(ls) + 1), lambda i: regexp_full_match(ls[i], '---\\s*'))), 0) ELSE 0 END AS skip FROM raw),
+  st AS (SELECT *, list_transform(ls[skip + 1:], lambda x: {{'f': regexp_extract(x, '^\\s*(```|~~~)', 1), 'm': '', 'o': []::BOOLEAN[]}}) AS marks FROM fm),
+  fl AS (SELECT note_path, ls, skip, list_reduce(list_prepend({{'f': '', 'm': '', 'o': []::BOOLEAN[]}}, marks), lambda a, x: {{'f': '', 'm': CASE WHEN x.f = '' THEN a.m WHEN a.m = '' THEN x.f WHEN a.m = x.f THEN '' ELSE a.m END, 'o': list_append(a.o, a.m = '' AND x.f = '')}}).o AS free FROM st),
+  ln AS (SELECT note_path, unnest(ls[skip + 1:]) AS x, unnest(free) AS free, skip + generate_subscripts(free, 1) - 1 AS i FROM fl),
+  hd AS (SELECT *, CASE WHEN free THEN length(regexp_extract(x, '^(#{{1,6}})\\s+(.+?)\\s*#*\\s*$', 1)) ELSE 0 END AS lvl, regexp_extract(x, '^(#{{1,6}})\\s+(.+?)\\s*#*\\s*$', 2) AS head FROM ln),
+  gr AS (SELECT *, sum((lvl > 0)::INT) OVER (PARTITION BY note_path ORDER BY i) AS g FROM hd),
+  se AS (SELECT note_path, g, max(lvl) AS lvl, coalesce(max(CASE WHEN lvl > 0 THEN head END), '') AS heading, min(i) AS first_line, max(i) AS last_line, coalesce({S.strip("string_agg(CASE WHEN lvl = 0 THEN x END, chr(10) ORDER BY i)")}, '') AS body FROM gr GROUP BY note_path, g),
+  up AS (SELECT a.note_path, a.g, b.g AS bg, b.heading, b.lvl FROM se a JOIN se b ON a.note_path = b.note_path AND b.g < a.g AND b.lvl > 0 AND b.lvl < a.lvl WHERE a.lvl > 0 AND NOT EXISTS (SELECT 1 FROM se c WHERE c.note_path = a.note_path AND c.g > b.g AND c.g < a.g AND c.lvl > 0 AND c.lvl <= b.lvl)),
+  pa AS (SELECT note_path, g, list(heading ORDER BY bg) AS path FROM up GROUP BY ALL),
+  sections AS (SELECT se.*, coalesce(path, []) AS path, row_number() OVER (PARTITION BY note_path ORDER BY g) - 1 AS ordinal FROM se LEFT JOIN pa USING (note_path, g) WHERE heading <> '' OR body <> '')"""
+SQL["i2_sections"] = f"WITH {_SECTIONS} SELECT note_path, ordinal::INT AS ordinal, heading, array_to_string(path, ' › ') AS crumbs, first_line::INT AS first_line, last_line::INT AS last_line, length(body)::INT AS chars FROM sections"
+SQL["i1_whole_sections"] = f"""WITH {_SECTIONS}, w AS (SELECT note_path, first_line::INT AS start_line, last_line::INT AS end_line, concat_ws(chr(10) || chr(10), CASE WHEN heading <> '' THEN repeat('#', len(path) + 1) || ' ' || heading END, nullif(body, '')) AS text FROM sections) SELECT * FROM w WHERE length(text) <= 2000"""

@@ -296,3 +296,10 @@ SQL["t7_near_duplicates"] = f"""WITH RECURSIVE {S.DISTINCT_CHUNKS}, {_Q}, {S.sco
     kept AS (SELECT query_id, 1 AS step, [{{'c': chunk_id, 't': t}}] AS k FROM rows WHERE rank = 1 UNION ALL
       SELECT k.query_id, k.step + 1, CASE WHEN len(list_filter(k.k, lambda x: len(x.t) > 0 AND len(r.t) > 0 AND len(list_intersect(x.t, r.t)) / len(list_distinct(list_concat(x.t, r.t))) >= 0.8)) > 0 THEN k.k ELSE list_append(k.k, {{'c': r.chunk_id, 't': r.t}}) END FROM kept k JOIN rows r ON r.query_id = k.query_id AND r.rank = k.step + 1),
     last AS (SELECT query_id, max_by(k, step) AS k FROM kept GROUP BY query_id) SELECT query_id, generate_subscripts(k, 1)::INT AS rank, unnest(list_transform(k, lambda x: x.c)) AS chunk_id FROM last"""
+_PAGE_TEXT = f"{S.DISTINCT_CHUNKS}, {_Q}, {S.scores()}, {S.page('scores', LIMIT, 3)}, shown AS (SELECT p.query_id, p.rank, p.matched, c.text FROM page p JOIN dchunks c USING (chunk_id))"
+SQL["f26_highlight"] = f"WITH {_PAGE_TEXT} SELECT query_id, rank, array_to_string(list_transform(regexp_extract_all(text, '[A-Za-z0-9]+|[^A-Za-z0-9]+'), lambda x: CASE WHEN list_contains(matched, lower(x)) THEN '<mark>' || x || '</mark>' ELSE x END), '') AS marked FROM shown"
+SQL["f5_snippets"] = f"""WITH {_PAGE_TEXT}, flat AS (SELECT query_id, rank, matched, trim(regexp_replace(text, '[\\s\\x1C-\\x1F\\x{{85}}\\x{{A0}}\\x{{1680}}\\x{{2000}}-\\x{{200A}}\\x{{2028}}\\x{{2029}}\\x{{202F}}\\x{{205F}}\\x{{3000}}]+', ' ', 'g')) AS t FROM shown),
+    runs AS (SELECT query_id, rank, matched, length(t) AS len, unnest(regexp_extract_all(t, '[A-Za-z0-9]+|[^A-Za-z0-9]+')) AS x, generate_subscripts(regexp_extract_all(t, '[A-Za-z0-9]+|[^A-Za-z0-9]+'), 1) AS i FROM flat WHERE length(t) > 220),
+    placed AS (SELECT *, sum(length(x)) OVER (PARTITION BY query_id, rank ORDER BY i) AS e FROM runs), m AS (SELECT query_id, rank, e - length(x) AS s, e, greatest(0, least(e - length(x) - 73, len - 220)) AS lo FROM placed WHERE list_contains(matched, lower(x))),
+    n AS (SELECT a.query_id, a.rank, a.s, a.lo, count(*) AS n FROM m a JOIN m b ON a.query_id = b.query_id AND a.rank = b.rank AND b.s >= a.lo AND b.e <= a.lo + 220 GROUP BY ALL), best AS (SELECT query_id, rank, lo FROM n QUALIFY row_number() OVER (PARTITION BY query_id, rank ORDER BY n DESC, s) = 1)
+    SELECT query_id, rank, CASE WHEN length(t) <= 220 THEN t ELSE CASE WHEN coalesce(lo, 0) > 0 THEN '…' ELSE '' END || trim(t[coalesce(lo, 0) + 1 : coalesce(lo, 0) + 220]) || CASE WHEN coalesce(lo, 0) + 220 < length(t) THEN '…' ELSE '' END END AS snippet FROM flat LEFT JOIN best USING (query_id, rank)"""
