@@ -295,3 +295,11 @@ _SECTIONS = f"""raw AS (SELECT note_path || '#' || doc_id AS note_path, regexp_s
   sections AS (SELECT se.*, coalesce(path, []) AS path, row_number() OVER (PARTITION BY note_path ORDER BY g) - 1 AS ordinal FROM se LEFT JOIN pa USING (note_path, g) WHERE heading <> '' OR body <> '')"""
 SQL["i2_sections"] = f"WITH {_SECTIONS} SELECT note_path, ordinal::INT AS ordinal, heading, array_to_string(path, ' › ') AS crumbs, first_line::INT AS first_line, last_line::INT AS last_line, length(body)::INT AS chars FROM sections"
 SQL["i1_whole_sections"] = f"""WITH {_SECTIONS}, w AS (SELECT note_path, first_line::INT AS start_line, last_line::INT AS end_line, concat_ws(chr(10) || chr(10), CASE WHEN heading <> '' THEN repeat('#', len(path) + 1) || ' ' || heading END, nullif(body, '')) AS text FROM sections) SELECT * FROM w WHERE length(text) <= 2000"""
+_ONCE = lambda x: f"list_filter({x}, lambda v, i: list_position({x}, v) = i)"
+_FRONT = lambda names, take: f"list_filter(list_transform(string_split(regexp_replace(regexp_extract(front, '(?mi)^(?:{names})[ \\t]*:[ \\t]*(.*)$', 1), '^\\[|\\]\\s*$', '', 'g'), ','), lambda v: regexp_replace(regexp_replace(trim(v), '^[\"'']|[\"'']$', '', 'g'), '{take}', '')), lambda v: v <> '')"
+SQL["f7_metadata"] = f"""WITH {_SECTIONS}, pr AS (SELECT note_path, string_agg(x, chr(10) ORDER BY i) FILTER (free) AS prose, string_agg(x, chr(10) ORDER BY i) AS body FROM ln GROUP BY note_path),
+    al AS (SELECT fm.note_path, skip, array_to_string(ls[2 : skip - 1], chr(10)) AS front, coalesce(prose, '') AS prose, coalesce(body, '') AS body FROM fm LEFT JOIN pr USING (note_path)),
+    ls AS (SELECT note_path, skip, front, body, list_concat({_FRONT('tags?', '^#')}, list_filter(regexp_extract_all(prose, '(?:^|[\\s(])#([A-Za-z0-9_][A-Za-z0-9_/-]*)', 1), lambda t: NOT regexp_full_match(t, '[0-9]+'))) AS tags, {_FRONT('alias(?:es)?', '')} AS aliases,
+      list_concat(list_transform(regexp_extract_all(prose, '\\[\\[([^\\]|#]+)(?:[#|][^\\]]*)?\\]\\]', 1), lambda t: trim(t)), list_filter(list_transform(regexp_extract_all(prose, '\\[[^\\]]*\\]\\(([^)]+)\\)', 1), lambda t: trim(t)), lambda t: NOT regexp_matches(t, '(?i)^([a-z][a-z0-9+.-]*://|mailto:)'))) AS links FROM al)
+    SELECT note_path, array_to_string({_ONCE('tags')}, ' ') AS tags, array_to_string({_ONCE('aliases')}, ' ') AS aliases, array_to_string({_ONCE('links')}, ' ') AS links,
+      coalesce(nullif(regexp_replace(trim(regexp_extract(front, '(?mi)^title[ \\t]*:[ \\t]*(.*)$', 1)), '^["'']|["'']$', '', 'g'), ''), nullif({S.strip("regexp_extract(body, '(?m)^#[ \\t]+(.+)$', 1)")}, '')) AS title, skip::INT AS body_line FROM ls"""
