@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from marginalia.functions.text import link_key
 from marginalia.operators import bloom
 from marginalia.operators.skew import lookup
+from marginalia.session import materialize
 
 
 def file_states(files: DataFrame) -> DataFrame:
@@ -34,7 +35,8 @@ def orphan_references(refs: DataFrame, parents: DataFrame, expected_parents: int
     Bloom filter of all parent keys proves most missing parents without moving a row; only its positives are joined.
     """
     real = refs.where(F.col("key").isNotNull())
-    probed = bloom.build(parents, "key", expected_parents).probe(real, "key")
+    # written once: the filter is probed once for the proven orphans, the hot keys and the exact join alike
+    probed = materialize(bloom.build(parents, "key", expected_parents).probe(real, "key"), "probed")
     state = parents.groupBy("key").agg(
         F.max("live").alias("__live"), F.min(F.when(F.col("live"), F.col("first_listed"))).alias("__first")
     )
