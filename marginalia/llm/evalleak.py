@@ -106,7 +106,7 @@ def gram_filter(grams: DataFrame, count: int) -> tuple[np.ndarray, int]:
 
 
 def gram_hits(documents: DataFrame, grams: DataFrame, n: int = GRAM) -> DataFrame:
-    """Which of the given n-grams stand in which document, each once a document: doc_id, gram.
+    """Where the given n-grams stand in the documents: doc_id, gram, at (word of the document).
 
     A Bloom filter of the given n-grams goes to every task (see :func:`gram_filter`), so documents are read once, whole, and
     never moved; what passes is joined with the n-grams themselves, frequent ones by broadcast.
@@ -119,24 +119,23 @@ def gram_hits(documents: DataFrame, grams: DataFrame, n: int = GRAM) -> DataFram
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = held.value
         for b in batches:
-            h, owner, _ = gram_hashes(b.column(1).to_pylist(), n)
+            h, owner, word = gram_hashes(b.column(1).to_pylist(), n)
             if not len(h):
                 continue
             for i in range(HASHES):
                 at = _bit_place(h, log, i)
                 real = (table[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
-                h, owner = h[real], owner[real]
-            pairs = np.unique(np.stack([owner, h]), axis=1) if len(h) else np.empty((2, 0), np.int64)
-            yield pa.record_batch([b.column(0).take(pa.array(pairs[0])), pa.array(pairs[1])], names=["doc_id", "gram"])
+                h, owner, word = h[real], owner[real], word[real]
+            yield pa.record_batch([b.column(0).take(pa.array(owner)), pa.array(h), pa.array(word, pa.int32())], names=["doc_id", "gram", "at"])
 
-    hits = documents.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null").mapInArrow(scan, "doc_id long, gram long")
+    hits = documents.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null").mapInArrow(scan, "doc_id long, gram long, at int")
     if count <= MOST_BROADCAST_GRAMS:
-        return hits.join(F.broadcast(distinct), "gram", "left_semi").select("doc_id", "gram")
-    return lookup(materialize(hits, "filtered-grams"), distinct, "gram", "inner").select("doc_id", "gram")
+        return hits.join(F.broadcast(distinct), "gram", "left_semi").select("doc_id", "gram", "at")
+    return lookup(materialize(hits, "filtered-grams"), distinct, "gram", "inner").select("doc_id", "gram", "at")
 
 
 def rare_seeds(grams: DataFrame, hits: DataFrame, n: int = GRAM, stretch: int = STRETCH) -> DataFrame:
-    """Of every stretch of ``stretch`` words of an item that may have leaked word for word its n-gram that the fewest documents have: item_id, copy, gram, pos.
+    """Of every stretch of ``stretch`` words of an item that may have leaked word for word its n-gram that occurs least: item_id, copy, gram, pos.
 
     It may have leaked so if all its n-grams occur somewhere. A document with all words of a stretch has each of its n-grams,
     so also the rarest: no leak of a stretch is lost, however common its other n-grams are. An item shorter than a stretch
@@ -155,12 +154,18 @@ def rare_seeds(grams: DataFrame, hits: DataFrame, n: int = GRAM, stretch: int =
 
 def candidates(hits: DataFrame, grams: DataFrame, seeds: DataFrame, n: int = GRAM) -> DataFrame:
     """doc_id, item_id of the pairs to align: the document has the seed of a stretch that may have leaked whole, or, as an edited
-    copy has, any n-grams (rare or not) at two places of the item that do not overlap; of an item too short for two, any."""
+    copy has, any n-grams (rare or not) at two places of the item that do not overlap and lie about as far apart in the
+    document; of an item too short for two, any n-gram.
+
+    About as far apart: by less than MATCH * 2 * n words more or less. Two runs that are shorter than two n-grams are worth less than
+    that, so an alignment never spans a larger difference to join them; a longer run has two such places itself. Differences
+    are compared in bands of that width, each with the next, so some more pairs are aligned than need be and none fewer."""
     text = ["item_id", "copy"]
-    known = grams.join(seeds.withColumn("whole", F.lit(True)), [*text, "gram", "pos"], "left")
-    known = known.join(grams.groupBy(text).agg(F.max("pos").alias("last")), text)
-    met = hits.join(known, "gram").groupBy("doc_id", *text).agg(F.max("whole").alias("whole"), (F.max("pos") - F.min("pos") >= F.when(F.max("last") < n, 0).otherwise(n)).alias("apart"))
-    return met.where("whole or apart").select("doc_id", "item_id").distinct()
+    known = grams.join(grams.groupBy(text).agg(F.max("pos").alias("last")), text)
+    band = F.floor((F.col("at") - F.col("pos")) / F.lit(MATCH * 2 * n))
+    met = hits.join(known, "gram").select("doc_id", *text, "pos", "last", F.explode(F.array(band, band + 1)).alias("band"))
+    apart = met.groupBy("doc_id", *text, "band").agg((F.max("pos") - F.min("pos")).alias("wide"), F.max("last").alias("last")).where((F.col("wide") >= n) | (F.col("last") < n))
+    return apart.select("doc_id", "item_id").unionByName(hits.join(seeds, "gram").select("doc_id", "item_id")).distinct()
 
 
 def mixed_grams(codes: np.ndarray, n: int = GRAM) -> np.ndarray:

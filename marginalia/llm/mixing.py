@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 #: More targets than this are joined by a shuffle instead of a broadcast.
 MOST_BROADCAST_SOURCES = 10_000
 _BUCKETS = 1 << 31
+#: How texts are cut before byte pairs are merged (fixed value of the public vocabulary).
+BPE_PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
 def whitespace_tokens(text: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -91,6 +92,14 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.shares(table(spark, d, "documents"), table(spark, d, "mix_targets"))
 
 
+def p9_bpe_plan(spark: SparkSession, d: str) -> DataFrame:
+    """The plan in tokens of a public byte-level BPE; MARGINALIA_VOCABULARY names its file of ranks. Each text is tokenised once."""
+    count = mixing.bpe_tokens(os.environ.get("MARGINALIA_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.tiktoken"), mixing.BPE_PATTERN)
+    sized = materialize(table(spark, d, "documents").select("doc_id", "source", count("text").alias("tokens")), "sized-documents")
+    plan = mixing.source_rates(sized, table(spark, d, "mix_targets"), F.col("tokens"))
+    return plan.select("source", "tokens", "capped", F.round("wanted", 3).alias("wanted"), F.round("rate", 6).alias("rate"))
+
+
 def p9_copies(spark: SparkSession, d: str) -> DataFrame:
     """Whether each document of a target source is used as often as its rate says, the fraction rounded down or up by the draw."""
     documents, targets = table(spark, d, "documents"), table(spark, d, "mix_targets")
@@ -128,7 +137,7 @@ def p10_kept(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        p1_found, p1_clean, p3_found, p3_scores, p4_found, p4_neighbors, p4_search, p5_found, p5_classes, p6_found, p6_pieces, p6_coverage, p8_found, p8_leaks, p9_found, p9_mix, p9_plan, p9_copies, p9_reached, p9_shares, p10_found, p10_shared, p10_kept,
+        p1_found, p1_clean, p3_found, p3_scores, p4_found, p4_neighbors, p4_search, p5_found, p5_classes, p6_found, p6_pieces, p6_coverage, p8_found, p8_leaks, p9_found, p9_mix, p9_plan, p9_bpe_plan, p9_copies, p9_reached, p9_shares, p10_found, p10_shared, p10_kept,
     )
 }
 
