@@ -15,7 +15,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder all executors share, as the session names it in ``spark.checkpoint.dir``.
+    """The folder of this application in the one all executors share, which the session names in ``spark.checkpoint.dir``.
 
     Only where the setting is absent and the master is local (tests) is a folder of this machine used instead; on a cluster
     that would lose data, so it is refused.
@@ -26,7 +26,7 @@ def scratch_dir(spark: SparkSession) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="marginalia-")
         spark.sparkContext.setCheckpointDir(named)
-    return named
+    return f"{named.rstrip('/')}/marginalia-{spark.sparkContext.applicationId}"
 
 
 #: Lets Spark delete the shuffles of a query when it ends (a setting of Spark).
@@ -62,3 +62,10 @@ def release(df: DataFrame) -> None:
     with contextlib.suppress(Exception):
         hpath = jvm.org.apache.hadoop.fs.Path(path)
         hpath.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(hpath, True)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Delete all tables this application has written to the shared folder. Results that read them must have been used."""
+    with contextlib.suppress(Exception):
+        root = spark._jvm.org.apache.hadoop.fs.Path(scratch_dir(spark))
+        root.getFileSystem(spark._jsc.hadoopConfiguration()).delete(root, True)

@@ -192,3 +192,14 @@ def test_unprocessed(spark):
     assert got == {("note", "b.md"), ("note", "f.md"), ("attachment", "d.pdf"), ("chunk", "b::0"), ("chunk", "n::0")}
     none = incremental.unprocessed(files.limit(0), chunks.limit(0), cache.limit(0), vectors.limit(0), runs.limit(0))
     assert none.count() == 0
+
+
+def test_scratch_tables_are_swept(spark):
+    import os
+
+    from marginalia import session
+
+    t = session.materialize(spark.range(3).toDF("x"), "t")
+    assert os.path.isdir(t._scratch_path) and t._scratch_path.startswith(session.scratch_dir(spark)) and t.count() == 3
+    session.release(t)
+    assert not os.path.isdir(t._scratch_path)
