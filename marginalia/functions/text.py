@@ -141,7 +141,12 @@ def inline_tags(c: Column) -> Column:
 
 
 def fnv1a(c: Column) -> Column:
-    """FNV-1a of 32 bits over the characters of a text, as hexadecimal digits."""
+    """FNV-1a of 32 bits over the UTF-16 units of a text, as hexadecimal digits."""
     codes = F.transform(F.filter(F.split(c, ""), lambda s: s != ""), lambda s: F.ascii(s).cast("long"))
-    h = F.aggregate(codes, F.lit(2166136261).cast("long"), lambda a, x: (a.bitwiseXOR(x) * 16777619).bitwiseAND(F.lit(4294967295)))
+
+    def units(x: Column) -> Column:
+        beyond = x - 65536
+        return F.when(x > 65535, F.array(F.shiftright(beyond, 10) + 55296, beyond.bitwiseAND(F.lit(1023)) + 56320)).otherwise(F.array(x))
+
+    h = F.aggregate(F.flatten(F.transform(codes, units)), F.lit(2166136261).cast("long"), lambda a, x: (a.bitwiseXOR(x) * 16777619).bitwiseAND(F.lit(4294967295)))
     return F.lower(F.hex(h))

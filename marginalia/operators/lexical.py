@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from dataclasses import dataclass, replace
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -94,7 +95,10 @@ def build(chunks: DataFrame, buckets: int | None = None) -> Index:
 
     def written(df: DataFrame, kind: str, order: str) -> DataFrame:
         name = f"marginalia_{kind}_{uuid.uuid4().hex}"
-        df.write.bucketBy(buckets, "chunk_id").sortBy(order).option("path", f"{scratch_dir(spark)}/{name}").saveAsTable(name)
+        try:
+            df.write.bucketBy(buckets, "chunk_id").sortBy(order).option("path", f"{scratch_dir(spark)}/{name}").saveAsTable(name)
+        except AnalysisException:  # a session whose catalog cannot take tables: the same rows, without buckets
+            return materialize(df.sortWithinPartitions(order), kind)
         return spark.table(name)
 
     base = written(_tokenised(chunks).repartition(buckets, "chunk_id"), "chunks", "chunk_id")

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import math
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -46,34 +45,37 @@ def best(scored: DataFrame, k: int = DEFAULT, key: str = "note_path") -> DataFra
     return scored.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= clamp(k)).drop("__n")
 
 
-def pick_diverse(scores: list[float], vectors: list[list[float]], k: int) -> list[int]:
-    """Greedy choice of units that are good and unlike those chosen before; the earliest of equals."""
+def _cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Cosines of the rows of ``a`` with those of ``b``; 0 where one is all zero."""
+    norms = [np.linalg.norm(x, axis=1, keepdims=True) for x in (a, b)]
+    a, b = (np.divide(x, n, out=np.zeros_like(x), where=n > 0) for x, n in zip((a, b), norms, strict=True))
+    return a @ b.T
 
-    def like(a: list[float], b: list[float]) -> float:
-        norm = math.sqrt(sum(x * x for x in a)) * math.sqrt(sum(x * x for x in b))
-        return sum(x * y for x, y in zip(a, b, strict=False)) / norm if norm and len(a) == len(b) else 0.0
 
-    chosen: list[int] = []
+def pick_diverse(scores: np.ndarray, like: np.ndarray, k: int) -> list[int]:
+    """Greedy choice of units that are good and unlike those chosen before (``like``: their similarities); the earliest of equals."""
+    scores, closest, chosen = np.asarray(scores, float), np.zeros(len(scores)), []
     while len(chosen) < min(k, len(scores)):
-        rest = [i for i in range(len(scores)) if i not in chosen]
-        chosen.append(max(rest, key=lambda i: (BALANCE * scores[i] - (1 - BALANCE) * max([0.0, *(like(vectors[i], vectors[j]) for j in chosen)]), -i)))
+        value = BALANCE * scores - (1 - BALANCE) * closest
+        value[chosen] = -np.inf
+        chosen.append(int(value.argmax()))
+        closest = np.maximum(closest, like[chosen[-1]])
     return sorted(chosen)
 
 
 def best_diverse(vector_units: DataFrame, k: int = DEFAULT, key: str = "note_path") -> DataFrame:
-    """Units with vectors (key, pos, v): those nearest to the centroid of their note and unlike each other. A note has at most MOST_UNITS units."""
+    """Units with vectors (key, pos, v): those nearest to the centroid of their note and unlike each other. A note has at most MOST_UNITS units.
+
+    Vectors of another length than the longest of their note are like nothing."""
 
     def choose(note: pd.DataFrame) -> pd.DataFrame:
         note = note.sort_values("pos")
-        vectors = [list(v) for v in note["v"]]
-        width = max(map(len, vectors), default=0)
-        middle = [sum(v[i] if i < len(v) else 0.0 for v in vectors) / len(vectors) for i in range(width)]
-        norm = math.sqrt(sum(x * x for x in middle))
-        scores = []
-        for v in vectors:
-            n = norm * math.sqrt(sum(x * x for x in v))
-            scores.append(sum(a * b for a, b in zip(v, middle, strict=False)) / n if n and len(v) == width else 0.0)
-        return note.iloc[pick_diverse(scores, vectors, clamp(k))][[key, "pos"]]
+        width = max(map(len, note["v"]), default=0)
+        x = np.array([np.pad(np.asarray(v, float), (0, width - len(v))) for v in note["v"]]).reshape(len(note), width)
+        whole = np.array([len(v) == width for v in note["v"]])
+        scores = np.where(whole, _cosines(x, x.mean(axis=0, keepdims=True))[:, 0], 0.0)
+        like = np.where(whole[:, None] & whole[None, :], _cosines(x, x), 0.0)
+        return note.iloc[pick_diverse(scores, like, clamp(k))][[key, "pos"]]
 
     kind = vector_units.schema[key].dataType.simpleString()
     return vector_units.select(key, F.col("pos").cast("int").alias("pos"), "v").groupBy(key).applyInPandas(choose, f"{key} {kind}, pos int")

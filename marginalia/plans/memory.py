@@ -95,10 +95,10 @@ _TAGLINE = f"(SELECT string_agg(t, ' ' ORDER BY i) FROM (SELECT t, min(i) AS i F
 _HASHTAGS = f"(SELECT string_agg('#' || t, ' ' ORDER BY i) FROM (SELECT t, min(i) AS i FROM (SELECT unnest({_TAGS}) AS t, generate_subscripts({_TAGS}, 1) AS i) GROUP BY t))"
 _PATHS = f"CASE WHEN len(coalesce(related_paths, [])) > 0 THEN chr(10) || 'Related files:' || chr(10) || chr(10) || array_to_string(list_transform(related_paths, lambda p: '* ' || {_ONE('p')}), chr(10)) END"
 _KEY = S.collapse(S.strip("content"))
-_FOLDER = S.strip(S.collapse(S.strip(f"regexp_replace(regexp_replace(regexp_replace({S.strip('project')}, '[\\\\/]+', '-', 'g'), '[<>:\"|?*]+', '', 'g'), '[.]+$', '')")))
+FOLDER = S.strip(S.collapse(S.strip(f"regexp_replace(regexp_replace(regexp_replace({S.strip('project')}, '[\\\\/]+', '-', 'g'), '[<>:\"|?*]+', '', 'g'), '[.]+$', '')")))
 _TITLE = "array_to_string(list_transform(string_split(replace(entry_type, '-', ' '), ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ')"
 _APPLIED = f"concat_ws(chr(10), '## ' || {_TITLE} || ' — ' || timestamp_label || chr(10), {S.strip('content')}, {_PATHS}, chr(10) || '_Applied from review · ' || concat_ws(' · ', CASE WHEN coalesce(source, '') <> '' THEN 'source: ' || source END, 'tags: ' || {_HASHTAGS}) || '_' || chr(10))"
-_DEST = f"""CASE WHEN coalesce({_FOLDER}, '') NOT IN ('', '.', '..') THEN 'Memory/Projects/' || {_FOLDER} || '/' || CASE entry_type WHEN 'architecture' THEN 'architecture' WHEN 'decision' THEN 'decisions' WHEN 'task' THEN 'tasks' WHEN 'action-item' THEN 'tasks' WHEN 'open-question' THEN 'open-questions' ELSE 'overview' END || '.md'
+_DEST = f"""CASE WHEN coalesce({FOLDER}, '') NOT IN ('', '.', '..') THEN 'Memory/Projects/' || {FOLDER} || '/' || CASE entry_type WHEN 'architecture' THEN 'architecture' WHEN 'decision' THEN 'decisions' WHEN 'task' THEN 'tasks' WHEN 'action-item' THEN 'tasks' WHEN 'open-question' THEN 'open-questions' ELSE 'overview' END || '.md'
   ELSE 'Memory/Global/' || CASE WHEN entry_type = 'preference' THEN 'preferences' WHEN entry_type IN ('decision', 'architecture', 'action-item', 'task', 'open-question') THEN 'conventions' ELSE 'profile' END || '.md' END"""
 
 SQL = {
@@ -116,7 +116,7 @@ SQL = {
     "f14_content_keys": f"SELECT entry_id, lower({_KEY}) AS k FROM pending_entries",
     "f16_tag_lists": f"SELECT entry_id, {_TAGLINE} AS tags FROM pending_entries",
     "f17_one_line": f"SELECT entry_id, {_ONE('content')} AS line FROM pending_entries",
-    "f21_project_folders": f"SELECT entry_id, CASE WHEN coalesce({_FOLDER}, '') NOT IN ('', '.', '..') THEN {_FOLDER} END AS folder FROM pending_entries",
+    "f21_project_folders": f"SELECT entry_id, CASE WHEN coalesce({FOLDER}, '') NOT IN ('', '.', '..') THEN {FOLDER} END AS folder FROM pending_entries",
     "k8_applied_files": f"""SELECT path, count(*) AS blocks, sum(length(block))::BIGINT AS chars FROM (SELECT CASE WHEN entry_type IN ('decision', 'task') THEN {_DEST} ELSE 'Memory/Inbox/pending-memory.md' END AS path, CASE WHEN entry_type IN ('decision', 'task') THEN {_APPLIED} ELSE raw END AS block FROM pending_entries) GROUP BY path""",
     "e3_round_trip": f"SELECT entry_id, {_ONE('entry_type')} AS entry_type, {S.strip('content')} AS content, len(list_distinct({_TAGS}))::INT - 1 AS tags FROM pending_entries",
 }

@@ -8,6 +8,7 @@ from marginalia.functions import text as T
 from marginalia.operators import budget, chunker, context, embed, links, measure, ordered, summarize
 from marginalia.operators.lexical import distinct_chunks, field_terms
 from marginalia.plans import sqlparts as S
+from marginalia.plans.memory import FOLDER
 from marginalia.session import table
 
 _EMPTY = "array<string>"
@@ -144,7 +145,18 @@ def g12_projects(spark, d):
 
 
 def g10_index_stats(spark, d):
-    return _chunks(spark, d).agg(F.countDistinct("note_path").alias("notes"), F.count("*").alias("chunks"), F.max("mtime").alias("latest"))
+    """Size and age of the index, and the attachments whose latest extraction gave no text."""
+    built = _chunks(spark, d).agg(F.countDistinct("note_path").alias("notes"), F.count("*").alias("chunks"), F.max("mtime").alias("latest"), F.unix_micros(F.max("indexed_at").cast("timestamp")).alias("built_us"))
+    cache = table(spark, d, "cache_entries").groupBy("path").agg(F.max_by(F.col("extracted_text").isNull(), F.struct("run_id", "mtime", F.col("extracted_text").isNull())).alias("none"))
+    return built.withColumn("skipped", cache.agg(F.count(F.when(F.col("none"), 1)).alias("n")).scalar())
+
+
+def j16_project_notes(spark, d):
+    """How many notes lie in the folders of the projects that proposals name."""
+    named = table(spark, d, "pending_entries").select(T.project_folder(F.col("project")).alias("folder")).where("folder is not null").distinct()
+    notes = table(spark, d, "chunks").select("note_path").distinct().where(F.col("note_path").startswith("Projects/"))
+    inside = notes.select("note_path", F.split("note_path", "/")[1].alias("folder"))
+    return named.join(inside, "folder", "left").groupBy("folder").agg(F.count("note_path").alias("notes"))
 
 
 def q7_summaries(spark, d):
@@ -199,7 +211,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         m2_hashed_words, f10_markdown_links, d2_minute_labels, g17_distinct_sentences, g18_percentiles, u4_removed_vectors, i2_sections, i1_whole_sections, i1_chunk_notes, i6_build_counts, f7_metadata, f8_inline_tags, f9_link_targets, f12_titles, f15_fnv_hashes, f18_breadcrumbs, f19_line_ranges, f20_clipped, d1_day_labels, q6_related_notes, j9_link_edges, g8_paths_per_key,
-        g11_note_mtimes, w3_ordinals, w6_budgeted_blocks, w7_listed_links, b9_line_range, q8_outline, q8_passages, q9_project_context, q10_recent_sessions, g12_projects, g10_index_stats, q7_summaries, q7_note_summaries, t6_diverse_vectors, u2_term_sources,
+        g11_note_mtimes, w3_ordinals, w6_budgeted_blocks, w7_listed_links, b9_line_range, q8_outline, q8_passages, q9_project_context, q10_recent_sessions, g12_projects, g10_index_stats, j16_project_notes, q7_summaries, q7_note_summaries, t6_diverse_vectors, u2_term_sources,
     )
 }
 
@@ -251,7 +263,7 @@ SQL = {
     "b9_line_range": "SELECT DISTINCT chunk_id FROM chunks WHERE end_line + 1 >= 10 AND start_line + 1 <= 30",
     "q10_recent_sessions": "SELECT DISTINCT note_path FROM chunks WHERE starts_with(note_path, 'Meetings/') ORDER BY note_path DESC LIMIT 5",
     "g12_projects": "SELECT DISTINCT string_split(path, '/')[2] AS project FROM vault_files WHERE starts_with(path, 'Projects/')",
-    "g10_index_stats": f"{_DC} SELECT count(DISTINCT note_path) AS notes, count(*) AS chunks, max(mtime) AS latest FROM dchunks",
+    "g10_index_stats": f"{_DC}, e AS (SELECT path, arg_max(extracted_text IS NULL, (run_id, mtime, extracted_text IS NULL)) AS none FROM cache_entries GROUP BY path) SELECT count(DISTINCT note_path) AS notes, count(*) AS chunks, max(mtime) AS latest, epoch_us(max(indexed_at)) AS built_us, (SELECT count(*) FROM e WHERE none) AS skipped FROM dchunks",
     "q7_summaries": f"""WITH {_UNITS}, s AS (SELECT note_path, list_filter(list_transform(flatten(list_transform(lines, lambda x: CASE WHEN len(regexp_extract_all(x, '[^.!?]+(?:[.!?]+|$)')) > 0 THEN regexp_extract_all(x, '[^.!?]+(?:[.!?]+|$)') ELSE [x] END)), lambda y: trim(y)), lambda z: length(z) >= 2) AS s FROM l),
         e AS (SELECT note_path, unnest(s) AS sentence, generate_subscripts(s, 1) AS i FROM s), f AS (SELECT note_path, sentence, i FROM e QUALIFY row_number() OVER (PARTITION BY note_path, lower(sentence) ORDER BY i) = 1),
         u AS (SELECT note_path, sentence, row_number() OVER (PARTITION BY note_path ORDER BY i) - 1 AS pos FROM f QUALIFY row_number() OVER (PARTITION BY note_path ORDER BY i) <= 200),
@@ -303,3 +315,5 @@ SQL["f7_metadata"] = f"""WITH {_SECTIONS}, pr AS (SELECT note_path, string_agg(x
       list_concat(list_transform(regexp_extract_all(prose, '\\[\\[([^\\]|#]+)(?:[#|][^\\]]*)?\\]\\]', 1), lambda t: trim(t)), list_filter(list_transform(regexp_extract_all(prose, '\\[[^\\]]*\\]\\(([^)]+)\\)', 1), lambda t: trim(t)), lambda t: NOT regexp_matches(t, '(?i)^([a-z][a-z0-9+.-]*://|mailto:)'))) AS links FROM al)
     SELECT note_path, array_to_string({_ONCE('tags')}, ' ') AS tags, array_to_string({_ONCE('aliases')}, ' ') AS aliases, array_to_string({_ONCE('links')}, ' ') AS links,
       coalesce(nullif(regexp_replace(trim(regexp_extract(front, '(?mi)^title[ \\t]*:[ \\t]*(.*)$', 1)), '^["'']|["'']$', '', 'g'), ''), nullif({S.strip("regexp_extract(body, '(?m)^#[ \\t]+(.+)$', 1)")}, '')) AS title, skip::INT AS body_line FROM ls"""
+SQL["j16_project_notes"] = f"""WITH f AS (SELECT DISTINCT {FOLDER} AS folder FROM pending_entries), n AS (SELECT note_path, string_split(note_path, '/')[2] AS folder FROM (SELECT DISTINCT note_path FROM chunks WHERE starts_with(note_path, 'Projects/')))
+    SELECT folder, count(note_path) AS notes FROM f LEFT JOIN n USING (folder) WHERE coalesce(folder, '') NOT IN ('', '.', '..') GROUP BY folder"""

@@ -178,3 +178,16 @@ def test_written_index_gives_the_same_pages(spark):
     assert pages(index) == pages(c) and len(pages(c)) > 10
     some = F.col("note_path") == "a.md"
     assert pages(index.where(some)) == pages(c.where(some)) and index.where(some).n == 9
+
+
+def test_fnv_hashes_run_over_utf16_units(spark):
+    def fnv(s):
+        h = 2166136261
+        raw = s.encode("utf-16-le")
+        for i in range(0, len(raw), 2):
+            h = ((h ^ int.from_bytes(raw[i : i + 2], "little")) * 16777619) & 0xFFFFFFFF
+        return f"{h:x}"
+
+    texts = ["", "a", "Notes/é.md", "emoji 😀 字"]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(T.fnv1a(F.col("t"))).collect()
+    assert [r[0] for r in got] == [fnv(t) for t in texts]
