@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.operators.skew import lookup
+from marginalia.session import materialize
 
 _FIELD = "[^:=;\\n{}\"]++[:=]"
 _JSON = "map<string,string>"
@@ -68,4 +69,5 @@ def members(entries: DataFrame, key: str, text: str, *labels: str) -> DataFrame:
     fingerprint = F.sha2(F.to_json(F.struct(*[F.col(n) for n in names]), {"ignoreNullFields": "false"}), 256)
     known = raw.join(reps, "rep").select(fingerprint.alias("print"), "first")
     own = entries.select(F.col(key), *[F.col(c).alias(n) for c, n in zip((text, *labels), names, strict=True)]).where(F.col(key).isNotNull())
-    return lookup(own.select(key, fingerprint.alias("print")), known, "print", "inner").select("first", key).distinct()
+    printed = materialize(own.select(key, fingerprint.alias("print")), "fingerprints")  # read for the hot ones, and by both joins
+    return lookup(printed, known, "print", "inner").select("first", key).distinct()

@@ -160,11 +160,12 @@ def candidates(hits: DataFrame, grams: DataFrame, seeds: DataFrame, n: int = GRA
     About as far apart: by less than MATCH * 2 * n words more or less. Two runs that are shorter than two n-grams are worth less than
     that, so an alignment never spans a larger difference to join them; a longer run has two such places itself. Differences
     are compared in bands of that width, each with the next, so some more pairs are aligned than need be and none fewer."""
-    text = ["item_id", "copy"]
-    known = grams.join(grams.groupBy(text).agg(F.max("pos").alias("last")), text)
-    band = F.floor((F.col("at") - F.col("pos")) / F.lit(MATCH * 2 * n))
-    met = hits.join(known, "gram").select("doc_id", *text, "pos", "last", F.explode(F.array(band, band + 1)).alias("band"))
-    apart = met.groupBy("doc_id", *text, "band").agg((F.max("pos") - F.min("pos")).alias("wide"), F.max("last").alias("last")).where((F.col("wide") >= n) | (F.col("last") < n))
+    named = grams.withColumn("text", F.xxhash64("item_id", "copy"))  # one number a text keeps the rows that move small
+    band = F.floor((F.col("at") - F.col("pos")) / F.lit(MATCH * 2 * n)).cast("int")
+    met = hits.join(named.select("gram", "text", "pos"), "gram").select("doc_id", "text", "pos", F.explode(F.array(band, band + 1)).alias("band"))
+    wide = met.groupBy("doc_id", "text", "band").agg((F.max("pos") - F.min("pos")).alias("wide"))
+    texts = named.groupBy("text", "item_id").agg(F.max("pos").alias("last"))
+    apart = wide.join(texts, "text").where((F.col("wide") >= n) | (F.col("last") < n))
     return apart.select("doc_id", "item_id").unionByName(hits.join(seeds, "gram").select("doc_id", "item_id")).distinct()
 
 
