@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -251,14 +253,16 @@ def align(pairs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.nd
 def _scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """item_id, doc_id, text, item_text: the best values of every pair; what is held at once is bounded however long the texts."""
     for b in batches:
-        code: dict[str, int] = {}
-        coded: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+        columns = [b.column(c).to_pylist() for c in (2, 3)]
+        texts = list(dict.fromkeys(t for c in columns for t in c))
+        split = [words(t) for t in texts]
+        size = np.array([len(w) for w in split], np.int64)
+        ends = np.cumsum(size)
+        codes = pd.factorize(np.array(list(chain.from_iterable(split)), object))[0].astype(np.int64)
+        grams = mixed_grams(codes)  # those across two texts are cut off below
+        coded = {t: (codes[e - n : e], grams[e - n : max(e - n, e - GRAM + 1)]) for t, n, e in zip(texts, size, ends, strict=True)}
         todo = []
-        for i, pair in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)):
-            for t in pair:
-                if t not in coded:
-                    c = np.array([code.setdefault(w, len(code)) for w in words(t)], np.int64)
-                    coded[t] = c, mixed_grams(c)
+        for i, pair in enumerate(zip(*columns, strict=True)):
             (doc, seen), (item, own) = coded[pair[0]], coded[pair[1]]
             todo += [(i, part, item) for part in stretches(doc, seen, len(item), own)]
         todo.sort(key=lambda x: len(x[2]))
