@@ -260,3 +260,15 @@ def test_importing_needs_no_session():
     import sys
 
     subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; assert len(e.queries()) >= len(e.oracle_sql()) > 90"], check=True)
+
+
+def test_commands(spark, tmp_path, capsys):
+    from marginalia.__main__ import main
+
+    home, store = str(tmp_path / "vault"), str(tmp_path / "store")
+    vault.write_files(spark.createDataFrame([(p, c) for p, c, _ in NOTES], "path string, content string"), home)
+    assert main(["search", home, "--store", store, "--query", "kettle"]) == 1
+    assert main(["index", home, "--store", store]) == 0
+    assert main(["search", home, "--store", store, "--query", "kettle", "--limit", "2"]) == 0
+    out = capsys.readouterr().out
+    assert "no index" in out and "4 notes" in out and "1. Kettle.md" in out
