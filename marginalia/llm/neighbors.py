@@ -35,6 +35,9 @@ MEETING = 64
 STEADY = 0.02
 LEAST_ROUNDS = 4
 _BITS = 24
+#: Tables that hold the surroundings of the nodes for a search, so that a part of them is shuffled at a time. Searches see vectors as 16-bit numbers, of which this is 1.
+SLICES = 4
+_UNIT = 32767.0
 
 
 def members(records: DataFrame, key: str, vector: str, dim: int = DIM) -> DataFrame:
@@ -334,8 +337,8 @@ def build_graph(nodes: DataFrame, keep: int = KEEP, trees: int | None = None, ro
     return graph
 
 
-def exact_similarity(pairs: DataFrame, nodes: DataFrame, dim: int = DIM) -> DataFrame:
-    """``pairs`` (node, other) with ``sim`` as the exact cosine of the two."""
+def exact_similarity(pairs: DataFrame, nodes: DataFrame, dim: int = DIM, firsts: DataFrame | None = None) -> DataFrame:
+    """``pairs`` (node, other) with ``sim`` as the exact cosine of the two; ``firsts`` has the vectors of ``node`` if ``nodes`` hasn't."""
 
     def dot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -343,7 +346,7 @@ def exact_similarity(pairs: DataFrame, nodes: DataFrame, dim: int = DIM) -> Data
             norm = np.sqrt((a * a).sum(axis=1) * (o * o).sum(axis=1))
             yield pa.record_batch([b.column(0), b.column(1), pa.array((a * o).sum(axis=1) / np.where(norm > 0, norm, 1))], names=["node", "other", "sim"])
 
-    a, o = nodes.select("node", F.col("vec").alias("va")), nodes.select(F.col("node").alias("other"), F.col("vec").alias("vo"))
+    a, o = (nodes if firsts is None else firsts).select("node", F.col("vec").alias("va")), nodes.select(F.col("node").alias("other"), F.col("vec").alias("vo"))
     return pairs.select("node", "other").join(a, "node").join(o, "other").select("node", "other", "va", "vo").mapInArrow(dot, "node long, other long, sim double")
 
 
@@ -384,46 +387,154 @@ def close_pairs(records: DataFrame, key: str, vector: str, least: float = 0.9, k
     return near.select(F.least("key", "other_key").alias("key_a"), F.greatest("key", "other_key").alias("key_b")).distinct()
 
 
-def search(records: DataFrame, key: str, vector: str, queries: DataFrame, query_key: str, query_vector: str, k: int = K, beam: int = 32, starts: int = 256, dim: int = DIM, **build: int) -> DataFrame:
-    """Greedy search of a stated query set in the neighbour graph: query, other_key, sim, rank (from 1).
+def _fixed(x: np.ndarray) -> np.ndarray:
+    """Unit vectors as 16-bit numbers: products of them are summed exactly, so a pair has one similarity wherever it is met."""
+    return np.rint(x * np.float32(_UNIT)).astype("<i2")
 
-    Every query starts from ``starts`` nodes of the index (the smallest hashes: a bounded, fixed sample of entry points; all
-    nodes are in the graph) and keeps a pool of its ``beam`` best nodes; each step joins the pool's unexpanded nodes with
-    the graph and the neighbours with their vectors, until no pool changes (pools only get better, so this ends). Invalid queries have no
-    rows; a record with the query's own key is left out.
+
+def _parts(col: pa.Array, dtype: str, width: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """A binary column of packed rows: where each row begins (and the last ends), counted in items, and all items."""
+    offsets = np.frombuffer(col.buffers()[1], np.int32)[col.offset : col.offset + len(col) + 1]
+    raw = np.frombuffer(col.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].view(dtype)
+    return (offsets - offsets[0]) // (np.dtype(dtype).itemsize * width), raw.reshape(-1, width) if width > 1 else raw
+
+
+def _surroundings(graph: DataFrame, nodes: DataFrame, dim: int) -> list[DataFrame]:
+    """The neighbours of every node in either direction with their vectors, in SLICES tables: node, others, vecs, packed."""
+
+    def fixed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.record_batch([b.column(0), _binary(_fixed(_matrix(b.column(1), "<f4", dim)))], names=["other", "vec"])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            node, other, x = b.column(0).to_numpy(), b.column(1).to_numpy(), _matrix(b.column(2), "u1", 2 * dim)
+            begin = np.flatnonzero(np.append(True, node[1:] != node[:-1])) if len(node) else np.empty(0, np.int64)
+            bounds = np.append(begin, len(node))
+            others, vecs = (pa.Array.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer((bounds * w).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(y))]) for y, w in ((other, 8), (x, 2 * dim)))
+            yield pa.record_batch([pa.array(node[begin]), others, vecs], names=["node", "others", "vecs"])
+
+    edges = edges_of(graph).select("node", "other")
+    both = materialize(edges.unionByName(edges.select(F.col("other").alias("node"), F.col("node").alias("other"))).distinct(), "search-graph")
+    vecs = nodes.select("node", "vec").mapInArrow(fixed, "other long, vec binary")
+    out = []
+    for i in range(SLICES):
+        rows = both.where(F.pmod("node", F.lit(SLICES)) == i).join(vecs, "other").select("node", "other", "vec")
+        packed = rows.repartition("node").sortWithinPartitions("node").mapInArrow(pack, "node long, others binary, vecs binary")
+        out.append(materialize(packed, "surroundings"))
+    release(both)
+    return out
+
+
+def search(records: DataFrame, key: str, vector: str, queries: DataFrame, query_key: str, query_vector: str, k: int = K, beam: int = 32, starts: int = 256, dim: int = DIM, wide: int = 8, **build: int) -> DataFrame:
+    """Greedy search of a query set of any size in the neighbour graph: query, other_key, sim, rank (from 1).
+
+    Every query vector starts from ``starts`` nodes of the index (the smallest hashes: a bounded, fixed sample of entry points; all
+    nodes are in the graph) and keeps a pool of its ``beam`` best nodes; in each step the ``wide`` best nodes of the pool
+    that are not yet expanded meet their neighbours, until all pools are expanded (pools only get better, so this ends). What
+    moves in a step is each node with its neighbours once and each query vector ``wide`` times at most, and only neighbours
+    better than a pool's worst go back to it. Equal query vectors are searched once. Invalid queries have no rows; a record with
+    the query's own key is left out; the cosines given out are exact.
     """
     own = materialize(members(records, key, vector, dim), "members")
     nodes = materialize(own.groupBy("node").agg(F.first("vec").alias("vec")), "nodes")
-    graph = edges_of(build_graph(nodes, dim=dim, **build)).select("node", "other")
-    both = materialize(graph.unionByName(graph.select(F.col("other").alias("node"), F.col("node").alias("other"))).distinct(), "search-graph")
-    asked = materialize(members(queries, query_key, query_vector, dim).select(F.col("key").alias("query"), F.col("vec").alias("qv")).dropDuplicates(["query"]), "queries")
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    graph = build_graph(nodes, dim=dim, **build)
+    slices = _surroundings(graph, nodes, dim)
+    release(graph)
+    askers = materialize(members(queries, query_key, query_vector, dim).withColumnRenamed("key", "query").dropDuplicates(["query"]), "queries")
+    asked = materialize(askers.groupBy("node").agg(F.first("vec").alias("vec")), "asked")
+    few = asked.count() * wide <= 200_000
+    entries = nodes.orderBy(F.xxhash64("node"), "node").limit(starts).select("node", "vec").collect()
+    entry = np.array([r["node"] for r in entries], np.int64)
+    entry_x = _fixed(np.frombuffer(b"".join(r["vec"] for r in entries), "<f4").reshape(-1, dim)).astype(np.float64)
+
+    def begun(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = min(beam, len(entry))
         for b in batches:
-            q, v = _matrix(b.column(1), "<f4", dim), _matrix(b.column(3), "<f4", dim)
-            yield pa.record_batch([b.column(0), b.column(2), pa.array((q * v).sum(axis=1, dtype=np.float64))], names=["query", "node", "sim"])
+            q = _fixed(_matrix(b.column(1), "<f4", dim)).astype(np.float64)
+            sims = (q @ entry_x.T / _UNIT**2).astype(np.float32)
+            i, j = _best_of_rows(sims, m) if m else (np.empty(0, np.int64),) * 2
+            yield _packed(*_top(b.column(0).to_numpy()[i], entry[j], sims[i, j], np.ones(len(i), bool), beam))
+
+    def chosen(size: np.ndarray, fresh: np.ndarray) -> np.ndarray:
+        """The first ``wide`` fresh entries of every pool, whose entries are sorted, the best first."""
+        upto = np.cumsum(fresh)
+        begin = np.cumsum(size) - size
+        before = np.where(begin > 0, upto[begin - 1], 0)
+        return fresh & (upto - np.repeat(before, size) <= wide)
 
-    def measured(pairs: DataFrame) -> DataFrame:
-        full = pairs.join(asked, "query").join(nodes, "node").select("query", "qv", "node", "vec")
-        return full.mapInArrow(compare, "query string, node long, sim double")
+    def settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            node, other, sim, fresh = _unpacked(b)
+            yield _packed(node, other, sim, fresh & ~chosen(b.column(4).to_numpy(), fresh)) if len(node) else b
 
-    best = W.Window.partitionBy("query").orderBy(F.desc("sim"), "node")
+    def requests(part: int):
+        def request(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                _, other, sim, fresh = _unpacked(b)
+                size, row = b.column(4).to_numpy(), np.repeat(np.arange(b.num_rows), b.column(4).to_numpy())
+                worst = np.where(size >= beam, sim[np.cumsum(size) - 1], -2).astype(np.float32)
+                at = np.flatnonzero(chosen(size, fresh) & (other % SLICES == part)) if len(row) else np.empty(0, np.int64)
+                x = _fixed(_matrix(b.column(6), "<f4", dim))[row[at]]
+                yield pa.record_batch([pa.array(other[at]), pa.array(b.column(0).to_numpy()[row[at]]), pa.array(worst[row[at]]), _binary(x)], names=["node", "query", "worst", "vecs"])
 
-    def pooled(rows: DataFrame) -> DataFrame:
-        once = rows.groupBy("query", "node").agg(F.max("sim").alias("sim"), F.max("done").alias("done"))
-        return once.withColumn("r", F.row_number().over(best)).where(F.col("r") <= beam).drop("r")
+        return request
 
-    entries = nodes.orderBy(F.xxhash64("node"), "node").limit(starts).select("node")
-    pool = materialize(pooled(measured(asked.select("query").crossJoin(F.broadcast(entries))).withColumn("done", F.lit(False))), "pool")
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, ids, x = None, np.empty(0, np.int64), np.empty((0, dim))
+        for b in batches:
+            if not b.num_rows:
+                continue
+            node, asks, query, worst = (b.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            id_at, all_ids = _parts(b.column(4), "<i8")
+            vec_at, vecs = _parts(b.column(5), "<i2", dim)
+            cut = np.append(np.flatnonzero(np.append(True, (node[1:] != node[:-1]) | (asks[1:] != asks[:-1]))), len(node))
+            out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+            for lo, hi in zip(cut[:-1], cut[1:], strict=True):
+                if not asks[lo]:  # the neighbours of a node, in one row or several
+                    some, y = all_ids[id_at[lo] : id_at[hi]], vecs[vec_at[lo] : vec_at[hi]].astype(np.float64)
+                    ids, x = (np.append(ids, some), np.vstack([x, y])) if node[lo] == at else (some, y)
+                    at = node[lo]
+                elif node[lo] == at:
+                    step = max(1, (1 << 21) // len(ids))
+                    for r in range(lo, hi, step):
+                        z = min(r + step, hi)
+                        s = (vecs[vec_at[r] : vec_at[z]].astype(np.float64) @ x.T / _UNIT**2).astype(np.float32)
+                        i, j = np.nonzero(s > worst[r:z, None]) if len(ids) <= 4 * beam else _best_of_rows(s, beam)
+                        sim = s[i, j]
+                        better = sim > worst[r + i]
+                        out.append((query[r + i[better]], ids[j[better]], sim[better]))
+            if out:
+                q, o, s = (np.concatenate(c) for c in zip(*out, strict=True))
+                order = np.argsort(q, kind="stable")
+                yield _packed(q[order], o[order], s[order], np.ones(len(q), bool))
+
+    pool = materialize(asked.select("node", "vec").mapInArrow(begun, _GRAPH), "pool")
     while True:
-        ahead = pool.where("not done").join(both, "node").select("query", F.col("other").alias("node")).distinct()
-        new = measured(ahead.join(pool.select("query", "node"), ["query", "node"], "left_anti")).withColumn("done", F.lit(False))
-        better = materialize(pooled(pool.withColumn("done", F.lit(True)).unionByName(new)), "pool")
-        release(pool)
+        open_pools = pool.where("new > 0").join(asked, "node")
+        found = []
+        for part, around in enumerate(slices):
+            asking = open_pools.mapInArrow(requests(part), "node long, query long, worst float, vecs binary")
+            if few:
+                around = around.join(F.broadcast(asking.select("node").distinct()), "node", "left_semi")
+            none = around.select("node", F.lit(False).alias("asks"), F.lit(0).cast("long").alias("query"), F.lit(0.0).cast("float").alias("worst"), "others", "vecs")
+            both = none.unionByName(asking.select("node", F.lit(True).alias("asks"), "query", "worst", F.lit(b"").alias("others"), "vecs"))
+            ordered = both.repartition("node").sortWithinPartitions("node", "asks")
+            found.append(materialize(ordered.mapInArrow(meet, _GRAPH), "found"))
+        better = pool.mapInArrow(settled, _GRAPH)
+        for x in found:
+            better = better.unionByName(x)
+        better = materialize(_merge(better, beam), "pool")
+        for x in (pool, *found):
+            release(x)
         pool = better
-        if pool.where("not done").isEmpty():
+        if pool.where("new > 0").isEmpty():
             break
+    for x in slices:
+        release(x)
+    pairs = exact_similarity(edges_of(pool, k + 6), nodes, dim, asked).withColumnsRenamed({"node": "asked", "other": "node"})  # a few more, as the pool's own cosines are rounded
     people = own.select("node", F.col("key").alias("other_key")).distinct().withColumn("r", F.row_number().over(W.Window.partitionBy("node").orderBy("other_key"))).where(F.col("r") <= k + 1).drop("r")
     order = W.Window.partitionBy("query").orderBy(F.desc("sim"), "other_key")
-    found = pool.join(people, "node").where(F.col("other_key") != F.col("query")).withColumn("rank", F.row_number().over(order))
+    each = pairs.join(people, "node").select("asked", "other_key", "sim").join(askers.select(F.col("node").alias("asked"), "query"), "asked")
+    found = each.where(F.col("other_key") != F.col("query")).withColumn("rank", F.row_number().over(order))
     return found.where(F.col("rank") <= k).select("query", "other_key", "sim", "rank")

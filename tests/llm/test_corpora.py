@@ -308,3 +308,21 @@ def test_search_query_runs_over_the_current_vectors(spark, tmp_path):
     spark.createDataFrame(rows, "chunk_id string, h string, v array<double>, run_id int").write.parquet(f"{tmp_path}/vectors.parquet")
     found = queries.p4_search(spark, str(tmp_path)).collect()
     assert found and len(found) == 10 * len({r["query"] for r in found}) and {r["query"] for r in found} | {r["other_key"] for r in found} <= {r[0] for r in rows}
+
+
+def test_search_query_asks_for_every_current_vector(spark, tmp_path):
+    from marginalia.llm import queries
+
+    x = _vectors(150, 5)
+    rows = [(f"n::{i}", "h", [float(a) for a in v], 1) for i, v in enumerate(x)]
+    rows += [("n::copy", "h", rows[7][2], 1), ("n::none", "h", None, 1), ("n::zero", "h", [0.0] * 64, 1), ("n::short", "h", [1.0], 1), ("n::3", "h", rows[7][2], 2)]
+    spark.createDataFrame(rows, "chunk_id string, h string, v array<double>, run_id int").write.parquet(f"{tmp_path}/vectors.parquet")
+    current = {r[0]: np.array(r[2]) / np.linalg.norm(r[2]) for r in rows if r[2] and len(r[2]) == 64 and any(r[2])}
+    got = {}
+    for r in queries.p4_search(spark, str(tmp_path)).collect():
+        got.setdefault(r["query"], []).append((r["rank"], r["other_key"], r["sim"]))
+        assert abs(r["sim"] - current[r["query"]] @ current[r["other_key"]]) < 1e-6
+    assert got.keys() == current.keys() and all(sorted(a for a, _, _ in v) == list(range(1, 11)) for v in got.values())
+    assert {o for _, o, _ in sorted(got["n::7"])[:2]} == {"n::3", "n::copy"}
+    want = {c: {o for _, o in sorted((-(current[c] @ y), o) for o, y in current.items() if o != c)[:10]} for c in current}
+    assert sum(len(want[c] & {o for _, o, _ in got[c]}) for c in current) >= 0.95 * 10 * len(current)
