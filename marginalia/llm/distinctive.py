@@ -45,6 +45,7 @@ def ppmi(records: DataFrame, key: str, *parts: Column, alpha: float = ALPHA) ->
 def distinctive_terms(chunks: DataFrame, least: int = 3, most_records: int = 6) -> DataFrame:
     """Terms that a chunk uses at least ``least`` times and that 2 to ``most_records`` chunks use at all, with their score.
 
-    A score of 0 is one too: a chunk may use such a term much less than another of the few."""
+    The counts alone decide which terms these are, the score decides nothing: one of 0 stays, as a chunk may use such a term
+    much less than another of the few. A query that leaves the score out has it pruned from its plan."""
     scored = ppmi(chunks, "chunk_id", F.col("text"), F.array_join("aliases", "\n"))
-    return scored.where((F.col("n") >= least) & F.col("records").between(2, most_records) & (F.col("ppmi") >= 0)).withColumnRenamed("record", "chunk_id")
+    return scored.where((F.col("n") >= least) & F.col("records").between(2, most_records)).withColumnRenamed("record", "chunk_id")

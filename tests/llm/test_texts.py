@@ -180,6 +180,21 @@ def test_ppmi_equals_brute_force(spark):
     assert distinctive.distinctive_terms(df.limit(0)).count() == 0
 
 
+def test_counts_decide_what_is_distinctive_and_unused_scores_are_pruned(spark, tmp_path):
+    from marginalia.llm import queries
+
+    rows = [("much", "alpha " * 300, []), ("little", "alpha " * 3 + "other " * 997, []), ("twice", "bravo bravo", ["bravo"]), ("again", "bravo", None), ("alone", "delta " * 3, [])]
+    df = spark.createDataFrame(rows, "chunk_id string, text string, aliases array<string>")
+    got = {(r["chunk_id"], r["term"]): r["ppmi"] for r in distinctive.distinctive_terms(df).collect()}
+    scores = {(r["record"], r["term"]): r["ppmi"] for r in distinctive.ppmi(df, "chunk_id", F.col("text"), F.array_join("aliases", "\n")).collect()}
+    assert got.keys() == {("much", "alpha"), ("little", "alpha"), ("twice", "bravo")} and got == {k: scores[k] for k in got}
+    assert got["little", "alpha"] == 0 < got["much", "alpha"]
+    df.write.parquet(f"{tmp_path}/chunks.parquet")
+    found = queries.p3_found(spark, str(tmp_path))
+    assert {tuple(r) for r in found.collect()} == got.keys()
+    assert "log2" not in found._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
 def test_canonical_duplicates(spark):
     rows = [
         (5, "Keep it – simple.", "note", "My Project"),
